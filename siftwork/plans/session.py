@@ -29,6 +29,7 @@ def local_session(cores: int | str = 8, app: str = "siftwork") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
