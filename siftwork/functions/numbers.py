@@ -4,32 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from siftwork.functions.text import strip
 
-_DECIMAL = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-_WHOLE = r"^[+-]?[0-9]+$"
+# Surrounding white space is allowed; type suffixes and hexadecimal forms, which a cast takes, are not.
+_NUMBER = r"(?i)^\s*(?:[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:e[+-]?[0-9]+)?|[+-]?inf(?:inity)?|nan)\s*$"
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def lenient_double(c: Column) -> Column:
     """Decimal text, ``nan`` and ``inf`` in any case; else null."""
-    t = F.lower(strip(c.cast("string")))
-    sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return (
-        F.when(t.rlike(_DECIMAL), t.try_cast("double"))
-        .when(t.rlike("^[+-]?inf(inity)?$"), sign * F.lit(float("inf")))
-        .when(t.rlike("^[+-]?nan$"), F.lit(float("nan")))
-    )
+    t = c.cast("string")
+    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def lenient_long(c: Column) -> Column:
     """Whole part of a decimal text; null for text, nan, inf and values out of range."""
-    d = lenient_double(c)
-    return F.when(F.abs(d) < 9.2e18, F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).try_cast("long"))
+    return lenient_double(c).try_cast("long")
 
 
 def whole_long(c: Column) -> Column:
     """Whole-number text only."""
-    t = strip(c.cast("string"))
+    t = c.cast("string")
     return F.when(t.rlike(_WHOLE), t.try_cast("long"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftwork.plans.pin import exploded
+
 # The characters that end a line, and those that count as white space,
 # in the text model the findings are defined on (Unicode white space plus FS..US).
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -32,15 +34,13 @@ def line_array(text: Column) -> Column:
     """Lines of ``text``; no line follows a final line break. Null or empty text has none."""
     # Plain "\n" is the common case and splits without the regex engine.
     unix = F.when(text.rlike(RARE_BREAK), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
-    body = F.when(unix.endswith("\n"), F.left(unix, F.length(unix) - 1)).otherwise(unix)
-    return F.when(text != "", F.split(body, "\n"))
+    return F.when(text != "", F.split(F.regexp_replace(unix, "\n\\z", ""), "\n"))
 
 
 def explode_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per line with its 1-based ``line`` number and ``line_text``."""
-    return df.select(
-        *keep, F.posexplode(line_array(F.col(text))).alias("_pos", "line_text")
-    ).select(*keep, (F.col("_pos") + 1).alias("line"), "line_text")
+    lines = exploded(df, list(keep), line_array(F.col(text)), "_pos", "line_text")
+    return lines.select(*keep, (F.col("_pos") + 1).alias("line"), "line_text")
 
 
 def stripped_lines(text: Column) -> Column:

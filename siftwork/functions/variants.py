@@ -55,20 +55,14 @@ def first_text_at(v: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(strip(text_at(v, p)), F.lit("")) for p in paths])
 
 
+# JSON text of the values that count as false.
+_FALSE = r'^(?:null|false|""|\[\]|\{\}|-?0(?:[.]0*)?(?:[eE][+-]?[0-9]+)?)$'
+
+
 def truthy(v: Column, path: str, default: Column) -> Column:
     """Truth of a JSON value: null, false, zero and empties are false; a missing key is ``default``."""
-    item = F.try_variant_get(v, path, "variant")
-    k = kind(item)
-    t = text_at(v, path)
-    yes = (
-        F.when(k == "VOID", F.lit(False))
-        .when(k == "BOOLEAN", t == "true")
-        .when(k == "STRING", t != "")
-        .when(k.startswith("ARRAY"), F.size(array_at(v, path)) > 0)
-        .when(k.startswith("OBJECT"), k != "OBJECT<>")
-        .otherwise(F.coalesce(t.try_cast("double") != 0, F.lit(True)))
-    )
-    return F.when(item.isNull(), default).otherwise(yes)
+    item = F.to_json(F.try_variant_get(v, path, "variant"))
+    return F.coalesce(~item.rlike(_FALSE), default)
 
 
 def json_list(v: Column) -> Column:

@@ -11,6 +11,7 @@ from siftwork.functions.numbers import is_finite, lenient_double
 from siftwork.functions.paths import inside_base
 from siftwork.functions.text import blank_to_null, first_text, line_array, strip
 from siftwork.operators.phrases import phrase_hits
+from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
 
 # Lowest confidence that is ever accepted, and the default floor per severity.
@@ -43,20 +44,20 @@ def read_candidates(candidates: DataFrame) -> DataFrame:
         "evidence": V.text_at(raw, "$.evidence"),
         "tool": F.lit("llm"),
     }
-    out = candidates
-    for name, value in made.items():
-        if name not in candidates.columns:
-            out = out.withColumn(name, value)
-    return (
-        out.withColumn("severity", F.upper("severity"))
-        .withColumn("line", F.coalesce(V.int_at(raw, "$.line"), F.lit(0)))
-        .withColumn("confidence", confidence_of(raw))
-        .withColumn(
-            "_rule",
-            first_text(V.text_at(raw, "$.rule_id"), V.text_at(raw, "$.ruleId"), V.text_at(raw, "$.kind")),
-        )
-        .withColumn("_object", V.is_object(raw))
-    )
+    kept = {name: F.col(name) for name in made if name in candidates.columns}
+    cols = {**made, **kept}
+    return pinned(
+        candidates,
+        **{
+            **cols,
+            "severity": F.upper(cols["severity"]),
+            "line": F.coalesce(V.int_at(raw, "$.line"), F.lit(0)),
+            "confidence": confidence_of(raw),
+            "_shown": F.coalesce(V.text_at(raw, "$.confidence"), F.lit("null")),
+            "_rule": first_text(V.text_at(raw, "$.rule_id"), V.text_at(raw, "$.ruleId"), V.text_at(raw, "$.kind")),
+            "_object": V.is_object(raw),
+        },
+    ).drop("raw")
 
 
 def effective_floor(
@@ -114,7 +115,7 @@ def judge(
             conf.isNull(),
             fail(
                 "schema",
-                F.concat(F.lit("non-numeric confidence: "), F.coalesce(V.text_at(F.col("raw"), "$.confidence"), F.lit("null"))),
+                F.concat(F.lit("non-numeric confidence: "), F.col("_shown")),
             ),
         )
         .when(
@@ -215,13 +216,9 @@ def judge_inputs(configured: DataFrame, files: DataFrame) -> tuple[DataFrame, Da
         F.lit(0),
     )
     is_lines = F.lower(name).endswith(".jsonl")
-    read = (
-        joined.withColumn("_lines", F.when(is_lines, per_line))
-        .withColumn("_doc", F.when(~is_lines, whole))
-        .withColumn("_list", listed)
-        .withColumn("_bad_line", bad_line)
-        .withColumn("_bad_item", bad_item)
-    )
+    read = pinned(joined, _lines=F.when(is_lines, per_line), _doc=F.when(~is_lines, whole))
+    read = pinned(read, _list=listed, _bad_line=bad_line)
+    read = read.withColumn("_bad_item", bad_item)
     error = (
         F.when(
             ~inside_base(name, F.col("root")),
@@ -248,9 +245,9 @@ def judge_inputs(configured: DataFrame, files: DataFrame) -> tuple[DataFrame, Da
             ),
         )
     )
-    read = read.withColumn("error", error)
+    read = pinned(read, error=error)
     items = F.when(is_lines, F.transform("_lines", lambda s: s["v"])).otherwise(F.col("_list"))
-    candidates = read.filter(F.col("error").isNull()).select("run_id", F.posexplode(items).alias("seq", "raw"))
+    candidates = exploded(read.filter(F.col("error").isNull()), ["run_id"], items, "seq", "raw")
     errors = as_findings(
         read.filter(F.col("error").isNotNull()),
         gate_id=F.lit("llm_judge"),

@@ -14,7 +14,8 @@ from siftwork.functions import variants as V
 from siftwork.functions.numbers import whole_int
 from siftwork.functions.paths import clean_file, posix_path
 from siftwork.functions.severity import cvss_band
-from siftwork.functions.text import first_text, line_array, strip, stripped_lines
+from siftwork.functions.text import explode_lines, first_text, strip, stripped_lines
+from siftwork.plans.pin import exploded
 from siftwork.schemas import as_findings
 
 _ITEM = "array<struct<severity:string,file:string,line:int,title:string,rule_id:string>>"
@@ -264,7 +265,7 @@ def normalize_reports(reports: DataFrame, parity: bool = False) -> DataFrame:
     for name, (_, build, _) in TOOLS.items():
         found = tsc_items(F.col("payload"), parity) if name == "tsc" else build(F.col("payload"))
         items = F.when(F.col("tool") == name, found.cast(_ITEM)).otherwise(items)
-    rows = reports.select("run_id", "tool", F.posexplode(items).alias("seq", "_item"))
+    rows = exploded(reports, ["run_id", "tool"], items, "seq", "_item")
     return as_findings(
         rows.select("run_id", "tool", "seq", "_item.*"), gate_id=gate_of(F.col("tool"))
     )
@@ -274,7 +275,7 @@ def normalize_tool(reports: DataFrame, tool: str, parity: bool = False) -> DataF
     """Findings of one tool's reports."""
     gate, build, _ = TOOLS[tool]
     found = tsc_items(F.col("payload"), parity) if tool == "tsc" else build(F.col("payload"))
-    rows = reports.filter(F.col("tool") == tool).select("run_id", "tool", F.posexplode(found).alias("seq", "_item"))
+    rows = exploded(reports.filter(F.col("tool") == tool), ["run_id", "tool"], found, "seq", "_item")
     return as_findings(rows.select("run_id", "tool", "seq", "_item.*"), gate_id=F.lit(gate))
 
 
@@ -284,9 +285,7 @@ def persona_candidates(reports: DataFrame) -> DataFrame:
     Input ``(run_id, tool, payload)`` with the persona as ``tool``.
     """
     v = V.parse(F.col("payload"))
-    rows = reports.select(
-        "run_id", "tool", F.posexplode(V.objects(V.json_list(v))).alias("seq", "raw")
-    )
+    rows = exploded(reports, ["run_id", "tool"], V.objects(V.json_list(v)), "seq", "raw")
     raw = F.col("raw")
     return (
         rows.withColumn("file", clean_file(V.text_at(raw, "$.file")))
@@ -329,9 +328,7 @@ SANDBOX_MARKERS = {
 
 def sandbox_violations(logs: DataFrame, platform: str = "linux") -> DataFrame:
     """Blocked actions named in log text of ``(run_id, payload)``, one row per matching line."""
-    lines = logs.select("run_id", F.posexplode(line_array(F.col("payload"))).alias("_pos", "_raw")).select(
-        "run_id", (F.col("_pos") + 1).alias("line"), strip(F.col("_raw")).alias("raw_line")
-    )
+    lines = explode_lines(logs, "payload", "run_id").withColumn("raw_line", strip(F.col("line_text"))).drop("line_text")
     found = F.lit(None).cast("string")
     for marker, kind in reversed(SANDBOX_MARKERS[platform]):
         found = F.when(F.lower("raw_line").contains(marker), kind).otherwise(found)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftwork.plans.pin import exploded
+
 KEY_WORDS = 3  # a phrase is looked up by its first words, at most this many
 
 
@@ -55,7 +57,8 @@ def phrase_hits(
     split = body.withColumn("_w", _words(F.col("_text")))
     keys = F.array_distinct(F.concat(*[_shingles(F.col("_w"), n) for n in range(1, KEY_WORDS + 1)]))
     carried = ["_text"] if carry_text else []
-    near = split.select(*keep, *carried, F.explode(keys).alias("_key")).join(book, [*on, "_key"])
+    shingled = exploded(split, [*keep, *carried], keys, "_pos", "_key").drop("_pos")
+    near = shingled.join(book, [*on, "_key"])
     if not carry_text:
         near = near.select(*keep, "phrase").distinct().join(body, keep)
     return near.filter(contains_phrase(F.col("_text"), F.col("phrase"))).select(*keep, "phrase").distinct()

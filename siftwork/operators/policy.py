@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftwork.functions import variants as V
 from siftwork.functions.numbers import lenient_double, whole_long
 from siftwork.functions.text import strip
+from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import DECISIONS, SEVERITIES
 
 # Newest schema version, gates with (enabled, behaviour) defaults, and gate aliases.
@@ -23,48 +24,62 @@ GATE_DEFAULTS = {
 GATE_ALIASES = {"security_scan": "security", "static": "static_analysis"}
 
 
-def behavior_or(value: Column, fallback: Column) -> Column:
-    v = F.lower(strip(value))
-    return F.when(v.isin(*DECISIONS), v).otherwise(fallback)
-
-
-def _behavior_at(v: Column, path: str, fallback: Column) -> Column:
-    """Behaviour word at ``path``; a value that is not text counts as garbage."""
-    is_text = V.kind(F.try_variant_get(v, path, "variant")) == "STRING"
-    return behavior_or(F.when(is_text, V.text_at(v, path)), fallback)
+def _behavior_at(v: Column, path: str) -> Column:
+    """Behaviour word at ``path``: null if there is none, empty if it is not one of the three."""
+    item = F.to_json(F.try_variant_get(v, path, "variant"))
+    word = F.lower(strip(F.regexp_extract(item, '^"(.*)"$', 1)))
+    return F.when(item != "null", F.when(word.isin(*DECISIONS), word).otherwise(""))
 
 
 def gate_name(v: Column) -> Column:
     name = F.replace(strip(F.coalesce(V.text_at(v, "$.id"), F.lit(""))), F.lit("-"), F.lit("_"))
     for alias, target in GATE_ALIASES.items():
-        name = F.when(name == alias, target).otherwise(name)
+        name = F.regexp_replace(name, f"^{alias}$", target)
     return name
 
 
-def _not_null_at(v: Column, path: str) -> Column:
-    item = F.try_variant_get(v, path, "variant")
-    return item.isNotNull() & (V.kind(item) != "VOID")
+def _entry(g: Column) -> Column:
+    """What a policy document says about one gate."""
+    return F.struct(
+        gate_name(g).alias("name"),
+        V.truthy(g, "$.enabled", F.lit(None).cast("boolean")).alias("enabled"),
+        _behavior_at(g, "$.behavior").alias("behavior"),
+        F.when(F.to_json(F.try_variant_get(g, "$.hard", "variant")) != "null", V.truthy(g, "$.hard", F.lit(True))).alias("hard"),
+        F.try_variant_get(g, "$.config", "variant").alias("config"),
+    )
 
 
-def _toggle(entry: Column, name: str) -> Column:
-    on, behavior = GATE_DEFAULTS[name]
-    legacy = F.when(V.truthy(entry, "$.hard", F.lit(True)), "deny").otherwise("allow")
-    resolved = (
-        F.when(entry.isNull(), F.lit(behavior))
-        .when(_not_null_at(entry, "$.behavior"), _behavior_at(entry, "$.behavior", F.lit(behavior)))
-        .when(_not_null_at(entry, "$.hard"), legacy)
-        .otherwise(F.lit(behavior))
-    )
-    enabled = F.when(entry.isNull(), F.lit(on)).otherwise(V.truthy(entry, "$.enabled", F.lit(on)))
+def _resolved(entry: Column, default: Column) -> Column:
+    """Gate switch: explicit behaviour, else the legacy ``hard`` flag, else the gate's default."""
+    said = F.nullif(entry["behavior"], F.lit(""))
+    legacy = F.when(entry["behavior"].isNull(), F.when(entry["hard"], "deny").when(~entry["hard"], "allow"))
+    behavior = F.coalesce(said, legacy, default["behavior"])
     return F.struct(
-        F.lit(name).alias("gate_id"),
-        enabled.alias("enabled"),
-        (resolved == "deny").alias("hard"),
-        resolved.alias("behavior"),
-        F.try_variant_get(entry, "$.config", "variant").alias("config"),
+        default["gate_id"].alias("gate_id"),
+        F.coalesce(entry["enabled"], default["enabled"]).alias("enabled"),
+        (behavior == "deny").alias("hard"),
+        behavior.alias("behavior"),
+        entry["config"].alias("config"),
     )
 
 
+def _switches(entries: Column) -> Column:
+    """All gates, each with the last entry that names it."""
+    defaults = F.array(
+        *[
+            F.struct(F.lit(g).alias("gate_id"), F.lit(on).alias("enabled"), F.lit(b).alias("behavior"))
+            for g, (on, b) in GATE_DEFAULTS.items()
+        ]
+    )
+    paired = F.transform(
+        defaults,
+        lambda d: F.struct(
+            d.alias("d"), F.get(F.reverse(F.filter(entries, lambda e: e["name"] == d["gate_id"])), F.lit(0)).alias("e")
+        ),
+    )
+    return F.transform(paired, lambda p: _resolved(p["e"], p["d"]))
+
+
 def load_error(v: Column) -> Column:
     """Why a policy cannot be used, or null. Such a policy fails closed: it yields no gates."""
     version = F.when(~V.has(v, "$.version"), F.lit(SCHEMA_VERSION)).otherwise(V.int_at(v, "$.version"))
@@ -80,13 +95,10 @@ def load_error(v: Column) -> Column:
 
 def read_policies(policies: DataFrame) -> DataFrame:
     """Policy texts ``(run_id, payload)`` with ``load_error``, ``gates`` (all seven) and list columns."""
-    df = policies.withColumn("_v", V.parse(F.col("payload")))
+    df = pinned(policies.select("run_id", "payload"), _v=V.parse(F.col("payload")))
     df = df.withColumn("load_error", load_error(F.col("_v")))
-    v = F.when(F.col("load_error").isNull(), F.col("_v"))
-    df = df.withColumn("_v", v).withColumn("_gates", V.objects(V.array_at(F.col("_v"), "$.gates")))
-
-    def last(name: str) -> Column:
-        return F.get(F.reverse(F.filter("_gates", lambda g: gate_name(g) == name)), F.lit(0))
+    df = df.withColumn("_v", F.when(F.col("load_error").isNull(), F.col("_v")))
+    df = pinned(df, _gates=F.transform(V.objects(V.array_at(F.col("_v"), "$.gates")), _entry))
 
     def words(path: str, default: tuple[str, ...]) -> Column:
         items = F.filter(
@@ -95,8 +107,8 @@ def read_policies(policies: DataFrame) -> DataFrame:
         )
         return F.when(F.size(items) > 0, items).otherwise(F.array(*[F.lit(d) for d in default]))
 
-    first_policy = F.get(F.filter("_gates", lambda g: gate_name(g) == "policy"), F.lit(0))
-    df = df.withColumn("_own", F.try_variant_get(first_policy, "$.config", "variant"))
+    first_policy = F.get(F.filter("_gates", lambda g: g["name"] == "policy"), F.lit(0))
+    df = df.withColumn("_own", first_policy["config"])
     # A key in the gate's own config wins over the top-level block, even if its value is useless.
     for key in ("forbid_patterns", "coverage_min"):
         own = F.try_variant_get("_own", f"$.{key}", "variant")
@@ -107,7 +119,7 @@ def read_policies(policies: DataFrame) -> DataFrame:
         "load_error",
         F.when(ok, F.coalesce(V.int_at(F.col("_v"), "$.version"), F.lit(SCHEMA_VERSION))).alias("version"),
         F.nullif(strip(V.text_at(F.col("_v"), "$.spec_id")), F.lit("")).alias("spec_id"),
-        F.when(ok, F.array(*[_toggle(last(n), n) for n in GATE_DEFAULTS])).alias("gates"),
+        F.when(ok, _switches(F.col("_gates"))).alias("gates"),
         V.array_at(F.col("_forbid_patterns")).alias("rule_items"),
         lenient_double(V.text_at(F.col("_coverage_min"), "$")).alias("coverage_min"),
         F.when(ok, words("$.severity_gate.block_on", ("P0", "P1"))).alias("block_on"),
@@ -117,7 +129,7 @@ def read_policies(policies: DataFrame) -> DataFrame:
 
 def policy_gates(read: DataFrame) -> DataFrame:
     """One row per run and gate."""
-    return read.select("run_id", F.inline("gates"))
+    return exploded(read, ["run_id"], F.col("gates"), "_pos", "_g").select("run_id", "_g.*")
 
 
 def policy_rules(read: DataFrame) -> DataFrame:
@@ -130,13 +142,12 @@ def policy_rules(read: DataFrame) -> DataFrame:
             F.upper(F.coalesce(F.nullif(V.text_at(x, "$.severity"), F.lit("")), F.lit("P2"))).alias("severity"),
             F.coalesce(V.text_at(x, "$.message"), F.lit("")).alias("message"),
             F.nullif(glob, F.lit("")).alias("in_glob"),
-            _behavior_at(x, "$.behavior", F.lit("deny")).alias("behavior"),
+            F.coalesce(F.nullif(_behavior_at(x, "$.behavior"), F.lit("")), F.lit("deny")).alias("behavior"),
         )
 
     usable = F.filter(F.transform(V.objects(F.col("rule_items")), one), lambda r: r["pattern"] != "")
-    return read.select("run_id", F.posexplode(usable).alias("_pos", "_r")).select(
-        "run_id", (F.col("_pos") + 1).alias("rule_no"), "_r.*"
-    )
+    rows = exploded(read, ["run_id"], usable, "_pos", "_r")
+    return rows.select("run_id", (F.col("_pos") + 1).alias("rule_no"), "_r.*")
 
 
 def tool_enabled(config: Column, keys: tuple[str, ...], default: bool) -> Column:

@@ -62,7 +62,7 @@ def discover_specs(files: DataFrame, limit: int = SPEC_MAX_FILES) -> DataFrame:
 
 def content_hash(text: Column) -> Column:
     """SHA-256 of the normal form; null for text that is empty by then."""
-    return F.when(normal_form(text) != "", F.sha2(normal_form(text), 256))
+    return F.nullif(F.sha2(normal_form(text), 256), F.sha2(F.lit("").cast("binary"), 256))
 
 
 def manifest_hash(sources: DataFrame, files: DataFrame) -> DataFrame:

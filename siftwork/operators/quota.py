@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftwork.functions.headers import has_quota_facts, quota_facts
+from siftwork.functions.headers import has_quota_facts, with_quota_facts
 from siftwork.plans.carry import carry_forward
 
 # Warn when utilisation >= first and window progress <= second, first match wins.
@@ -44,8 +44,7 @@ def quota_events(events: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     df = events
     if "manual_reset" not in df.columns:
         df = df.withColumn("manual_reset", F.lit(False))
-    for name, value in quota_facts(F.col("headers")).items():
-        df = df.withColumn("_reset" if name == "resets_at" else name, value)
+    df = with_quota_facts(df).withColumnRenamed("resets_at", "_reset")
 
     manual = F.coalesce(F.col("manual_reset"), F.lit(False))
     limited = F.col("http_status") == 429

@@ -135,7 +135,7 @@ def _scan_literals(files: DataFrame, good: list[tuple[int, Rule, patterns.Prepar
             for i, r, _ in good
         ]
     )
-    found = lines.select("*", F.explode(F.array_compact(F.array(*hits))).alias("_n"))
+    found = lines.select("*", F.explode(F.array(*hits)).alias("_n")).filter(F.col("_n").isNotNull())
     found = found.withColumn("_rule", F.get(table, F.col("_n"))).select("run_id", "file", "line", "line_text", "_rule.*")
     return as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftwork.functions import variants as V
 from siftwork.functions.numbers import lenient_double
-from siftwork.functions.text import first_text, line_array, strip
+from siftwork.functions.text import explode_lines, first_text, strip
+from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import JSON_KEYS, as_findings
 
 
@@ -17,7 +18,7 @@ class BadFindings(ValueError):
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of JSON-lines files with source ``file_name``, ``raw`` VARIANT and ``bad`` flag."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), strip(F.col("value")).alias("value"))
-    lines = lines.filter(F.col("value") != "").withColumn("raw", V.parse(F.col("value")))
+    lines = pinned(lines.filter(F.col("value") != ""), raw=V.parse(F.col("value")))
     return lines.withColumn("bad", ~V.is_object(F.col("raw")))
 
 
@@ -33,10 +34,11 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     failure that the line-wise read has already found.
     """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), "value")
-    rows = whole.select("file_name", F.posexplode(line_array(F.col("value"))).alias("_pos", "value"))
-    v = V.parse(strip(F.col("value")))
-    return rows.filter((strip(F.col("value")) != "") & ~V.is_object(v)).select(
-        "file_name", (F.col("_pos") + 1).alias("line"), F.when(v.isNull(), "not JSON").otherwise("not an object").alias("why")
+    v = V.parse(strip(F.col("line_text")))
+    return (
+        explode_lines(whole, "value", "file_name")
+        .filter((strip(F.col("line_text")) != "") & ~V.is_object(v))
+        .select("file_name", "line", F.when(v.isNull(), "not JSON").otherwise("not an object").alias("why"))
     )
 
 
@@ -96,7 +98,7 @@ def read_findings(spark: SparkSession, path: str, mode: str = "skip", parity: bo
 def read_judge_json(spark: SparkSession, path: str) -> DataFrame:
     """Candidates of whole JSON files, a list or an object with ``findings``: ``(file_name, seq, raw)``."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), "value")
-    return whole.select("file_name", F.posexplode(V.json_list(V.parse(F.col("value")))).alias("seq", "raw"))
+    return exploded(whole, ["file_name"], V.json_list(V.parse(F.col("value"))), "seq", "raw")
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftwork.functions.text import SPACES
 from siftwork.operators.scan import Rule
+from siftwork.plans.pin import pinned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,13 +89,13 @@ CHAT_HITS_SQL = _hits_sql(lines_sql("role", CHAT_FILE_SQL, "conversations"))
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the columns that reports and requests are built from."""
     e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return e.select(
+    k = F.col("k")
+    return pinned(e, k=F.get_json_object("props", "$.k").try_cast("int")).select(
         "event_id",
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"),
         F.col("event_type").alias("kind"),
         "value",
-        k.alias("k"),
+        "k",
         F.col("ts").cast("timestamp").alias("ts"),
         F.floor("value").cast("int").alias("line"),
         F.concat(F.lit("src/"), "event_type", F.lit("/f"), k.cast("string"), F.lit(".ts")).alias("file"),

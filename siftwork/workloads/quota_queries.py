@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftwork.functions.headers import has_quota_facts, quota_facts
+from siftwork.functions.headers import has_quota_facts, with_quota_facts
 from siftwork.functions.severity import normal_counts
 from siftwork.operators import gates, quota
+from siftwork.plans.pin import pinned
 from siftwork.workloads.inputs import EVENTS_SQL, by_kind, events
 from siftwork.workloads.registry import query
 
@@ -40,18 +41,18 @@ def quota_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     none = F.array(pair("content-type", F.lit("text/plain")), pair("ratelimit-unified-reset", now))
     headers = F.map_from_entries(by_kind(seven, limited, plain, none, five))
-    return e.select(
+    return pinned(e, headers=headers).select(
         F.col("run_id").alias("stream_key"),
         F.col("event_id").alias("seq"),
         "ts",
         F.when(F.col("kind") == "error", 429).otherwise(200).alias("http_status"),
-        headers.alias("headers"),
+        "headers",
         ((F.col("kind") == "signup") & (k < 3)).alias("manual_reset"),
     )
 
 
 FACTS_SQL = f"""
-    SELECT run_id AS stream_key, event_id AS seq, kind, k, now, epoch_us(ts) / 1000000.0 AS at, kind = 'signup' AND k < 3 AS manual,
+    SELECT run_id AS stream_key, event_id AS seq, kind, k, now, epoch_us(ts) / 1000000.0 AS clock, kind = 'signup' AND k < 3 AS manual,
       CASE WHEN kind = 'purchase' THEN CASE WHEN k < 20 THEN 'rejected' ELSE 'allowed' END END AS status,
       CASE WHEN kind = 'view' THEN value / 100 END AS u5, CASE WHEN kind = 'click' THEN value / 100 END AS u7,
       CASE kind WHEN 'click' THEN now + k * 6000 WHEN 'view' THEN now + k * 180 WHEN 'signup' THEN now
@@ -74,8 +75,8 @@ STEPS_SQL = f"""
         ELSE 'status=allowed' END AS reason,
       CASE WHEN NOT manual AND NOT (kind = 'error' AND k BETWEEN 30 AND 49) THEN reset END AS mark,
       CASE WHEN kind = 'error' AND k BETWEEN 30 AND 49 THEN true WHEN manual THEN false END AS over
-    FROM (SELECT *, greatest(0.0, least(1.0, (at - (reset - 18000)) / 18000)) AS p5,
-                 greatest(0.0, least(1.0, (at - (reset - 604800)) / 604800)) AS p7 FROM ({FACTS_SQL}))
+    FROM (SELECT *, greatest(0.0, least(1.0, (clock - (reset - 18000)) / 18000)) AS p5,
+                 greatest(0.0, least(1.0, (clock - (reset - 604800)) / 604800)) AS p7 FROM ({FACTS_SQL}))
     WHERE kind <> 'signup' OR manual"""
 
 TIMELINE_SQL = f"""
@@ -145,8 +146,7 @@ def quota_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
           kind IN ('click', 'purchase', 'view') AS has_quota FROM ({FACTS_SQL})""",
 )
 def quota_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = quota_log(spark, sf_dir)
-    facts = log.select("stream_key", "seq", *[c.alias(n) for n, c in quota_facts(F.col("headers")).items()])
+    facts = with_quota_facts(quota_log(spark, sf_dir))
     has = has_quota_facts(F.col("status"), F.col("util_5h"), F.col("util_7d"), F.col("resets_at"))
     return facts.select(
         "stream_key", "seq", F.lower("status").alias("status"), "util_5h", "util_7d", "resets_at",
