@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftwork.functions.text import strip
+from siftwork.plans.pin import let
+
+
+_END = "<end of text>"
 
 
 def parse(text: Column) -> Column:
-    return F.try_parse_json(text)
+    """JSON text as VARIANT, or null if it is not exactly one JSON value.
+
+    The parser stops after the first value, so the text is read as the first item of a list with a
+    known second item: anything after the value then breaks the list or moves that item.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return let(
+        listed,
+        lambda v: F.when(
+            F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant")
+        ),
+    )
 
 
 def text_at(v: Column, path: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftwork.functions import variants as V
 from siftwork.functions.paths import base_name, hygiene_reason, slashed
 from siftwork.functions.text import ascii_json, line_array, normal_form, shorten, strip
+from siftwork.plans.pin import pinned
 from siftwork.plans.ranking import first_per_group, top_per_group
 
 # What makes a file a specification candidate, and the limits.
@@ -73,9 +74,7 @@ def manifest_hash(sources: DataFrame, files: DataFrame) -> DataFrame:
     ``files(run_id, path, text)`` is joined on the path; only path and hash go on from there.
     """
     wanted = clean_paths(sources).select("run_id", "path", "path_key")
-    hashed = files.join(wanted, ["run_id", "path"]).select(
-        "run_id", "path_key", "path", content_hash(F.col("text")).alias("content_hash")
-    )
+    hashed = pinned(files.join(wanted, ["run_id", "path"]), content_hash=content_hash(F.col("text"))).drop("text")
     entry = F.struct("path_key", F.struct("content_hash", "path").alias("e"))
     listed = hashed.filter(F.col("content_hash").isNotNull()).groupBy("run_id").agg(
         F.sort_array(F.collect_list(entry)).alias("_list")

@@ -3,11 +3,13 @@
 Spark moves filters below projections by copying the projected expressions into them, merges
 adjacent projections, and puts a non-empty test of a computed array below an ``explode`` of it. For
 cheap expressions that is right; for JSON parsing, regexes and header look-ups it multiplies the
-work. Two plain plan shapes prevent it.
+work. The plan shapes here prevent it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -20,6 +22,11 @@ def pinned(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if c not in cols], F.inline(F.array(row)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def exploded(df: DataFrame, keep: list[str], array: Column, pos: str, item: str) -> DataFrame:
     """``posexplode`` of a computed array that is evaluated once; null and empty arrays give no rows.
 

@@ -13,6 +13,8 @@ TUNING = {
     # Split a hot join key even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A repeated JSON key keeps its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 

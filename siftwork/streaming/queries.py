@@ -20,13 +20,19 @@ def severity_windows(findings: DataFrame, delay: str = "10 minutes", width: str
     )
 
 
-def unique_findings(findings: DataFrame, delay: str = "1 day") -> DataFrame:
+def unique_findings(findings: DataFrame, delay: str = "1 day", spread: int = 16) -> DataFrame:
     """First arrival per run and fingerprint.
 
     Arrival decides: a backend row does not displace a local row of an earlier micro-batch, as it
     does in the batch merge. A repeat later than ``delay`` after the first passes again.
+
+    Copies of one finding may be a large share of a micro-batch, so they are first dropped within
+    ``spread`` slices of each fingerprint, and only what is left of the slices meets in one task.
     """
-    return findings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "fingerprint"])
+    rest = [c for c in findings.columns if c not in ("run_id", "fingerprint")]
+    sliced = findings.withWatermark("ts", delay).withColumn("_slice", F.pmod(F.xxhash64(*rest), F.lit(spread)))
+    thinned = sliced.dropDuplicatesWithinWatermark(["run_id", "fingerprint", "_slice"]).drop("_slice")
+    return thinned.dropDuplicatesWithinWatermark(["run_id", "fingerprint"])
 
 
 def quota_state(events: DataFrame) -> DataFrame:
