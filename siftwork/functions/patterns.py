@@ -127,31 +127,45 @@ def text_gate_is_exact(pattern: str) -> bool:
     return not re.search(r"[\^$]|\\[AZ]|\(\?(?!:|P<)|[*+?}]\+", re.sub(r"\\[\^$]|\[\^", "", pattern))
 
 
+def loose_regex(pattern: str) -> str | None:
+    """The pattern in Java syntax without its word-boundary tests, if it has any.
+
+    It matches whatever the pattern matches and more, and its search need not classify characters
+    at every position.
+    """
+    bare = _SYNTAX.sub(lambda m: "" if m["esc"] == r"\b" else m[0], pattern)
+    if bare == pattern or re.search(r"\\b[*+?{]|\(\?", pattern):
+        return None
+    return java_regex(bare)
+
+
 class Prepared(NamedTuple):
-    reject_kind: str | None
-    reject_reason: str | None
-    regex: str | None
-    glob: str | None
-    literal: str | None
-    gate: bool
+    reject_kind: str | None = None
+    reject_reason: str | None = None
+    regex: str | None = None
+    glob: str | None = None
+    literal: str | None = None
+    loose: str | None = None
+    gate: bool = False
 
 
 def prepare(pattern: str, in_glob: str | None) -> Prepared:
     """Check one rule and translate it; a rejected rule has a kind and a reason instead."""
     reason = unsafe_reason(pattern)
     if reason:
-        return Prepared("unsafe-regex", reason, None, None, None, False)
+        return Prepared("unsafe-regex", reason)
     try:
         re.compile(pattern)
     except (re.error, OverflowError, RecursionError) as exc:
-        return Prepared("invalid-regex", str(exc), None, None, None, False)
+        return Prepared("invalid-regex", str(exc))
     if _NOT_IN_JAVA.search(pattern):
-        return Prepared("invalid-regex", "construct is not supported by the scan", None, None, None, False)
+        return Prepared("invalid-regex", "construct is not supported by the scan")
     return Prepared(
         None,
         None,
         java_regex(pattern),
         glob_regex(in_glob) if in_glob else None,
         required_literal(pattern),
+        loose_regex(pattern),
         text_gate_is_exact(pattern),
     )

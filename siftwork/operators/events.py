@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwork.functions import variants as V
 from siftwork.functions.text import strip
+from siftwork.plans.pin import let, pinned
 
 
 def pr_number(v: Column, override: Column) -> Column:
@@ -30,6 +31,5 @@ def pr_number(v: Column, override: Column) -> Column:
 
 def resolve_pr_numbers(events: DataFrame) -> DataFrame:
     """Events ``(payload, override, ...)`` with ``pr_number`` and ``resolved``."""
-    n = pr_number(V.parse(F.col("payload")), F.col("override"))
-    out = events.withColumn("pr_number", n)
-    return out.withColumn("resolved", F.col("pr_number").isNotNull())
+    n = let(V.parse(F.col("payload")), lambda v: pr_number(v, F.col("override")))
+    return pinned(events, pr_number=n).withColumn("resolved", F.col("pr_number").isNotNull())

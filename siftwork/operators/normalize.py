@@ -15,7 +15,7 @@ from siftwork.functions.numbers import whole_int
 from siftwork.functions.paths import clean_file, posix_path
 from siftwork.functions.severity import cvss_band
 from siftwork.functions.text import explode_lines, first_text, strip, stripped_lines
-from siftwork.plans.pin import exploded
+from siftwork.plans.pin import exploded, let
 from siftwork.schemas import as_findings
 
 _ITEM = "array<struct<severity:string,file:string,line:int,title:string,rule_id:string>>"
@@ -243,9 +243,8 @@ TOOLS: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
 def parse_failed(tool: Column, payload: Column) -> Column:
     """A JSON tool's report that is neither blank nor JSON. It is an error, not zero findings."""
     json_tools = [name for name, (_, _, is_json) in TOOLS.items() if is_json]
-    broken = (strip(payload) != "") & V.parse(payload).isNull()
-    not_a_list = (tool == "eslint") & ~V.is_array(V.parse(payload)) & (strip(payload) != "")
-    return F.coalesce(tool.isin(*json_tools) & (broken | not_a_list), F.lit(False))
+    bad = let(V.parse(payload), lambda v: v.isNull() | ((tool == "eslint") & ~V.is_array(v)))
+    return F.when(tool.isin(*json_tools) & (strip(payload) != ""), bad).otherwise(F.lit(False))
 
 
 def gate_of(tool: Column) -> Column:

@@ -11,8 +11,13 @@ from siftwork.plans.pin import exploded
 KEY_WORDS = 3  # a phrase is looked up by its first words, at most this many
 
 
+# Runs of ASCII word characters, and runs of other letters, marks and digits. A phrase with word
+# edges has the same runs where it occurs, and ASCII text never pays for Unicode classes.
+_WORD = r"[a-z0-9_]+|[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]+"
+
+
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
 
 
 def _shingles(words: Column, n: int) -> Column:
@@ -52,10 +57,13 @@ def phrase_hits(
                 F.raise_error(F.concat(F.lit("phrase without a word: "), F.col("phrase")))
             ),
         )
-        .drop("_n")
     )
+    sizes = [r[0] for r in book.select("_n").distinct().collect()]  # at most KEY_WORDS numbers
+    book = book.drop("_n")
+    if not sizes:
+        sizes = [1]
     split = body.withColumn("_w", _words(F.col("_text")))
-    keys = F.array_distinct(F.concat(*[_shingles(F.col("_w"), n) for n in range(1, KEY_WORDS + 1)]))
+    keys = F.array_distinct(F.concat(*[_shingles(F.col("_w"), n) for n in sorted(sizes)]))
     carried = ["_text"] if carry_text else []
     shingled = exploded(split, [*keep, *carried], keys, "_pos", "_key").drop("_pos")
     near = shingled.join(book, [*on, "_key"])

@@ -41,10 +41,11 @@ def _scoped(file: Column, glob: str | None) -> Column:
     return file.rlike(glob) | base_name(file).rlike(glob)
 
 
-def _hit(subject: Column, literal: str | None, regex: str) -> Column:
-    # Substring search is far cheaper than the regex and settles most lines.
-    test = subject.rlike(regex)
-    return subject.contains(literal) & test if literal else test
+def _hit(subject: Column, p: patterns.Prepared) -> Column:
+    """Exact test, behind the cheaper ones that settle most lines: fixed text, then the loose form."""
+    tests = [subject.contains(p.literal)] if p.literal else []
+    tests += [subject.rlike(r) for r in (p.loose, p.regex) if r]
+    return reduce(lambda a, b: a & b, tests)
 
 
 def _finding_columns(rule_no: Column, pattern: Column, message: Column) -> dict[str, Column]:
@@ -112,16 +113,17 @@ def _scan_literals(files: DataFrame, good: list[tuple[int, Rule, patterns.Prepar
     text, file = F.col("text"), F.col("file")
 
     def maybe(p: patterns.Prepared) -> Column:
-        if p.gate:
-            return _scoped(file, p.glob) & _hit(text, p.literal, p.regex)
-        return _scoped(file, p.glob) & (text.contains(p.literal) if p.literal else F.lit(True))
+        tests = [_scoped(file, p.glob)]
+        tests += [text.contains(p.literal)] if p.literal else []
+        tests += [text.rlike(p.loose or p.regex)] if p.gate else []
+        return reduce(lambda a, b: a & b, tests)
 
     any_rule = reduce(lambda a, b: a | b, [maybe(p) for _, _, p in good])
     lines = X.explode_lines(files.select("run_id", "file", "text").filter(any_rule), "text", "run_id", "file")
 
     line = F.col("line_text")
     hits = [
-        F.when(_scoped(file, p.glob) & _hit(line, p.literal, p.regex), F.lit(n)) for n, (_, _, p) in enumerate(good)
+        F.when(_scoped(file, p.glob) & _hit(line, p), F.lit(n)) for n, (_, _, p) in enumerate(good)
     ]
     table = F.array(
         *[
@@ -140,7 +142,7 @@ def _scan_literals(files: DataFrame, good: list[tuple[int, Rule, patterns.Prepar
     return as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
 
 
-_PREPARED = "reject_kind string, reject_reason string, regex string, glob string, literal string, gate boolean"
+_PREPARED = "reject_kind string, reject_reason string, regex string, glob string, literal string, loose string, gate boolean"
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def scan_run_rules(files: DataFrame, rules: DataFrame, policy_file: str = "polic
     """
     prepared = prepare_rules(rules)
     good = prepared.filter(F.col("reject_kind").isNull()).select(
-        "run_id", "rule_no", "pattern", "severity", "message", "behavior", "regex", "glob", "literal", "gate"
+        "run_id", "rule_no", "pattern", "severity", "message", "behavior", "regex", "glob", "literal", "loose", "gate"
     )
     f, r = files.select("run_id", "file", "text").alias("f"), good.alias("r")
     text, file = F.col("f.text"), F.col("f.file")
@@ -182,7 +184,7 @@ def scan_run_rules(files: DataFrame, rules: DataFrame, policy_file: str = "polic
         (F.col("f.run_id") == F.col("r.run_id"))
         & (glob.isNull() | F.rlike(file, glob) | F.rlike(base_name(file), glob))
         & (literal.isNull() | text.contains(literal))
-        & (~F.col("r.gate") | F.rlike(text, regex))
+        & (~F.col("r.gate") | F.rlike(text, F.coalesce(F.col("r.loose"), regex)))
     )
     pairs = f.join(r, possible).select("f.*", *[f"r.{c}" for c in good.columns if c != "run_id"])
     carried = ("run_id", "file", "rule_no", "pattern", "severity", "message", "behavior", "regex", "literal")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftwork.functions.text import SPACES
 from siftwork.operators.scan import Rule
-from siftwork.plans.pin import pinned
+from siftwork.plans.pin import pinned, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ RULES = [
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of one run per source."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("source").alias("run_id"),
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file"),
@@ -35,7 +35,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as files of one run per role."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     name = F.concat_ws("/", F.lit("chat"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return c.select(F.col("role").alias("run_id"), name.alias("file"), "text")
 
@@ -88,7 +88,7 @@ CHAT_HITS_SQL = _hits_sql(lines_sql("role", CHAT_FILE_SQL, "conversations"))
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the columns that reports and requests are built from."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.col("k")
     return pinned(e, k=F.get_json_object("props", "$.k").try_cast("int")).select(
         "event_id",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftwork.functions import numbers as N, paths as P, text as X, variants as V
 from siftwork.functions.severity import normal_counts
 from siftwork.operators import events as E, gates, policy, profile
-from siftwork.plans.pin import pinned
+from siftwork.plans.pin import pinned, spread
 from siftwork.operators.scan import prepare_rules, rejected_rules, scannable
 from siftwork.workloads.inputs import EVENTS_SQL, WS_SQL, by_kind, events, table, text
 from siftwork.workloads.registry import query
@@ -208,7 +208,7 @@ def readme_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spec_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree per source; the language decides the folder."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     n = F.col("doc_id").cast("string")
     path = (
         F.when(F.col("lang") == "en", F.concat(F.lit("docs\\spec-"), n, F.lit(".md")))
@@ -249,7 +249,7 @@ def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("content_hashes", f"SELECT doc_id, CASE WHEN n <> '' THEN sha256(n) END AS hash FROM (SELECT doc_id, {_NORMAL_SQL} AS n FROM documents)")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", profile.content_hash(F.col("text")).alias("hash"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", profile.content_hash(F.col("text")).alias("hash"))
 
 
 # ---- text ----
@@ -261,7 +261,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)""",
 )
 def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.shorten(F.col("text")).alias("short"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", X.shorten(F.col("text")).alias("short"))
 
 
 @query(
@@ -271,7 +271,7 @@ def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
          trim(regexp_replace(html, '[^A-Za-z0-9_.-]+', '-', 'g').regexp_replace('-+', '-', 'g'), '-')[:64] AS suffix FROM pages""",
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         "page_id",
         X.file_slug(F.col("url")).alias("file_slug"),
         X.branch_slug(F.col("html")).alias("branch_slug"),
@@ -449,9 +449,9 @@ def tool_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
         text('{"osv_scanner":{},"osv-scanner":false,"confidence_floors":{"P0":"0.9","p2":0.5,"P3":"x"},"prettier":"no"}'),
         text('{"prettier":[1]}'), text('{"osv_scanner":""}'), text('{"prettier":{"enabled":null},"confidence_floors":{"P2":0,"p2":1}}'),
     )
-    v = V.parse(doc)
+    v = F.col("v")
     floors = policy.confidence_floors(v)
-    return events(spark, sf_dir).select(
+    return pinned(events(spark, sf_dir), v=V.parse(doc)).select(
         "event_id",
         policy.tool_enabled(v, ("osv_scanner", "osv-scanner"), True).alias("osv"),
         policy.tool_enabled(v, ("prettier",), True).alias("prettier"),
