@@ -10,7 +10,7 @@ from siftwork.functions import variants as V
 from siftwork.functions.numbers import is_finite, lenient_double
 from siftwork.functions.paths import inside_base
 from siftwork.functions.text import blank_to_null, first_text, line_array, strip
-from siftwork.operators.phrases import phrase_hits
+from siftwork.operators.phrases import any_phrase, few_phrases, phrase_hits
 from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
 
@@ -89,7 +89,7 @@ def judge(
     """Every candidate as a finding row with ``reject_class`` and ``reject_reason``; null = accepted.
 
     ``(run_id, seq)`` names a candidate. ``categories(category)`` and ``phrases(kind, phrase)`` are
-    the user's lists. Only candidates that pass all other tests are matched against phrases.
+    the user's lists; only candidates that pass all other tests are matched against phrases.
     """
     c = read_candidates(candidates)
     known = categories.select(F.lower(strip(F.col("category"))).alias("category")).distinct()
@@ -134,21 +134,27 @@ def judge(
         )
         .when(F.col("title") == "", fail("schema", F.lit("empty title")))
     )
-    tested = c.withColumn("_early", early)
-
     words = F.concat_ws(" ", "title", "description")
-    stays = tested.filter(F.col("_early").isNull()).select(
-        "run_id",
-        "seq",
-        F.inline(
-            F.array(
-                F.struct(F.lit("exclusion").alias("kind"), F.concat_ws(" ", words, "category").alias("hay")),
-                F.struct(F.lit("precedent").alias("kind"), words.alias("hay")),
-            )
-        ),
-    )
-    hits = phrase_hits(stays, phrases, ["run_id", "seq"], "hay", on=["kind"], carry_text=True)
-    late = hits.groupBy("run_id", "seq").agg(F.min("kind").alias("_kind"))  # exclusion is tested first
+    hays = {"exclusion": F.concat_ws(" ", words, "category"), "precedent": words}
+    tested = pinned(c, _early=early)
+    few = few_phrases(phrases)
+    if few is not None:
+        # A short list is part of the plan: every candidate is judged in place, nothing is shuffled.
+        kind = F.lit(None).cast("string")
+        for name in ("precedent", "exclusion"):
+            book = [p for k, p in few if k == name]
+            kind = F.when(any_phrase(F.lower(hays[name]), book), name).otherwise(kind)
+        flagged = tested.withColumn("_kind", F.when(F.col("_early").isNull(), kind))
+    else:
+        stays = tested.filter(F.col("_early").isNull()).select(
+            "run_id",
+            "seq",
+            F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hay")) for k, h in hays.items()])),
+        )
+        hits = phrase_hits(stays, phrases, ["run_id", "seq"], "hay", on=["kind"], carry_text=True)
+        # Exclusions are tested before precedents, and come first by name.
+        late = hits.groupBy("run_id", "seq").agg(F.min("kind").alias("_kind"))
+        flagged = tested.join(late, ["run_id", "seq"], "left")
     failed = F.coalesce(
         F.col("_early"),
         F.when(F.col("_kind") == "exclusion", fail("exclusion", F.lit("matches hard exclusion"))),
@@ -156,8 +162,7 @@ def judge(
     )
     rule = strip(F.coalesce(F.col("_rule"), F.lit("")))
     fallback = F.when(F.col("category") != "", F.concat(F.lit("llm:"), F.col("category"))).otherwise("llm:unknown")
-    out = tested.join(late, ["run_id", "seq"], "left").withColumn("_fail", failed)
-    out = out.withColumns(
+    out = pinned(flagged, _fail=failed).withColumns(
         {
             "gate_id": F.lit(gate_id),
             "rule_id": F.when(rule != "", F.left(rule, F.lit(120))).otherwise(fallback),

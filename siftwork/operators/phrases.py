@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwork.plans.pin import exploded
 
+FEW_PHRASES = 128  # up to this many phrases go into the plan as one pattern
 KEY_WORDS = 3  # a phrase is looked up by its first words, at most this many
 
 
@@ -33,6 +35,19 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return text.contains(phrase) & F.rlike(text, F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
 
 
+def few_phrases(phrases: DataFrame, limit: int = FEW_PHRASES) -> list[tuple[str, str]] | None:
+    """The ``(kind, phrase)`` rows if there are at most ``limit``, else None; never reads more."""
+    rows = phrases.select("kind", "phrase").distinct().limit(limit + 1).collect()
+    return [(r.kind, r.phrase) for r in rows] if len(rows) <= limit else None
+
+
+def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
+    """Whether the lower-case text holds one of a few phrases as whole words."""
+    if not phrases:
+        return F.lit(False)
+    return text.rlike(r"(?U)\b(?:" + "|".join(re.escape(p) for p in sorted(phrases)) + r")\b")
+
+
 def phrase_hits(
     texts: DataFrame, phrases: DataFrame, ids: Sequence[str], text: str, on: Sequence[str] = (), carry_text: bool = False
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftwork.functions import patterns, text as X
 from siftwork.functions.paths import base_name, in_excluded_dir
 from siftwork.functions.severity import known_or_p2
-from siftwork.schemas import as_findings
+from siftwork.schemas import SEVERITIES, as_findings
 
 # Fixed value: larger files are not scanned.
 MAX_FILE_BYTES = 1_000_000
@@ -28,6 +28,11 @@ class Rule(NamedTuple):
     behavior: str = "deny"
 
 
+def _severity(rule: Rule) -> str:
+    word = (rule.severity or "P2").strip().upper()
+    return word if word in SEVERITIES else "P2"
+
+
 def scannable(files: DataFrame, excluded: Sequence[str] | None = None) -> DataFrame:
     """Files of ``(file, size, ...)`` inside the size limit and outside excluded directories."""
     keep = F.col("size") <= MAX_FILE_BYTES
@@ -130,7 +135,7 @@ def _scan_literals(files: DataFrame, good: list[tuple[int, Rule, patterns.Prepar
             F.struct(
                 F.lit(i).alias("rule_no"),
                 F.lit(r.pattern.strip()).alias("pattern"),
-                known_or_p2(F.lit(r.severity)).alias("severity"),
+                F.lit(_severity(r)).alias("severity"),
                 F.lit(r.message).alias("message"),
                 F.lit(r.behavior).alias("behavior"),
             )

@@ -37,6 +37,7 @@ def local_session(cores: int | str = 8, app: str = "siftwork") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.files.openCostInBytes", str(1 << 20))
         .config("spark.log.level", "ERROR")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     return tune(spark)
