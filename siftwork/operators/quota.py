@@ -78,7 +78,7 @@ def quota_events(events: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         F.col("_step.state").alias("state"),
         F.col("_step.reason").alias("reason"),
         F.when(~manual & ~overage, F.col("_reset")).alias("reset_mark"),
-        F.when(overage, F.lit(True)).when(manual, F.lit(False)).alias("overage_mark"),
+        F.when(manual, F.lit(False)).when(overage, F.lit(True)).alias("overage_mark"),
     )
 
 
