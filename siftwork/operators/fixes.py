@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftwork.functions.paths import clean_file
 from siftwork.functions.text import branch_slug, first_text, strip
 from siftwork.operators.routing import KNOWN_PERSONAS
+from siftwork.plans.lookup import lookup
 from siftwork.plans.ranking import first_per_group, top_per_group
 
 FIX_LIMIT = 3
@@ -61,7 +62,7 @@ def admit_fixes(
         )
     else:
         winners = top_per_group(first, ["build_id"], [F.col("first_seq")], limit)
-    out = requests.join(winners.withColumn("_won", F.lit(True)), ["build_id", "finding_id"], "left")
+    out = lookup(requests, winners.withColumn("_won", F.lit(True)), ["build_id", "finding_id"])
     won, now = F.col("_won").isNotNull(), F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
     name = F.col("finding_id")
     return (
@@ -107,7 +108,7 @@ def match_findings(requests: DataFrame, findings: DataFrame, key: str = "build_i
     named = findings.select(key, "seq", *_MATCHED, F.inline(names)).filter(F.col("finding_id").isNotNull())
     order = [F.col(c) for c in ("key_rank", "seq", "file", "line", "title")]
     index = first_per_group(named, [key, "finding_id"], order).withColumn("found", F.lit(True))
-    out = requests.join(index.drop("seq", "key_rank"), [key, "finding_id"], "left")
+    out = lookup(requests, index.drop("seq", "key_rank"), [key, "finding_id"])
     return out.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -148,7 +149,7 @@ def plan_fixes(
     """
     df = matched.withColumn("_file", clean_file(F.col("file")))
     owners = ownership.select(key, F.col("file").alias("_file"), F.col("persona").alias("_owner"))
-    df = df.join(owners, [key, "_file"], "left")
+    df = lookup(df, owners, [key, "_file"])
     persona = select_persona(F.col("persona_override"), F.col("_owner"), F.col("tool"))
     df = df.withColumn("persona", persona)
     status = (

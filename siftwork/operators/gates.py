@@ -11,6 +11,7 @@ from siftwork.functions import severity as S, variants as V
 from siftwork.functions.numbers import whole_int
 from siftwork.functions.text import first_text, permalink, shorten, strip
 from siftwork.operators.normalize import gate_of, parse_failed
+from siftwork.plans.lookup import lookup
 from siftwork.plans.ranking import first_per_group, top_per_group
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
 
@@ -237,7 +238,7 @@ def merge_feeds(backend: DataFrame, local: DataFrame) -> DataFrame:
 def backend_or_local(backend: DataFrame, local: DataFrame) -> DataFrame:
     """Backend findings of a run if it has any, else its local ones."""
     covered = backend.select("run_id").distinct()
-    return backend.unionByName(local.join(covered, "run_id", "left_anti"))
+    return backend.unionByName(lookup(local, covered, ["run_id"], "left_anti"))
 
 
 # ---- tools and gates ----

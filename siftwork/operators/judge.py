@@ -11,6 +11,7 @@ from siftwork.functions.numbers import is_finite, lenient_double
 from siftwork.functions.paths import inside_base
 from siftwork.functions.text import blank_to_null, first_text, line_array, strip
 from siftwork.operators.phrases import any_phrase, few_phrases, phrase_hits
+from siftwork.plans.lookup import lookup
 from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
 
@@ -93,7 +94,7 @@ def judge(
     """
     c = read_candidates(candidates)
     known = categories.select(F.lower(strip(F.col("category"))).alias("category")).distinct()
-    c = c.join(known.withColumn("_known", F.lit(True)), "category", "left")
+    c = lookup(c, known.withColumn("_known", F.lit(True)), ["category"])
     floor = effective_floor(F.col("severity"), floors, global_floor)
     conf = F.col("confidence")
     shown = F.format_string("%.2f", conf)

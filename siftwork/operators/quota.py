@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwork.functions.headers import has_quota_facts, with_quota_facts
 from siftwork.plans.carry import carry_forward
+from siftwork.plans.lookup import lookup
 
 # Warn when utilisation >= first and window progress <= second, first match wins.
 EARLY_WARNING = (
@@ -82,7 +83,7 @@ def quota_events(events: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def quota_timeline(events: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+def quota_timeline(events: DataFrame, span: int = 1_000_000) -> DataFrame:
     """Each event with its state, the reset time known by then and the overage flag."""
     steps = quota_events(events)
     carried = carry_forward(
@@ -90,7 +91,7 @@ def quota_timeline(events: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame
         "stream_key",
         "seq",
         {"resets_at": F.col("reset_mark"), "using_overage": F.col("overage_mark")},
-        bucket_rows,
+        span,
     )
     return carried.withColumn("using_overage", F.coalesce("using_overage", F.lit(False))).drop(
         "reset_mark", "overage_mark"
@@ -142,7 +143,7 @@ def admission(state: Column, tokens: Column, throttle: int = THROTTLE_TOKENS, wa
 def admit_calls(requests: DataFrame, latest: DataFrame) -> DataFrame:
     """Requests ``(stream_key, tokens, ...)`` against the latest state; an unknown stream is normal."""
     known = latest.select("stream_key", "state")
-    out = requests.join(known, "stream_key", "left").withColumn("state", F.coalesce("state", F.lit("normal")))
+    out = lookup(requests, known, ["stream_key"]).withColumn("state", F.coalesce("state", F.lit("normal")))
     return out.withColumn("_a", admission(F.col("state"), F.col("tokens"))).select("*", "_a.*").drop("_a")
 
 

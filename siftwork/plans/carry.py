@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def carry_forward(
-    df: DataFrame, key: str, seq: str, values: dict[str, Column], bucket_rows: int = 1_000_000
+    df: DataFrame, key: str, seq: str, values: dict[str, Column], span: int = 1_000_000
 ) -> DataFrame:
     """Add each of ``values`` as its last non-null value at or before the row.
 
     A plain running window would put a whole key in one task. Here a key's log is cut into buckets
-    of ``seq``: each bucket yields its last values (a partial aggregate), one small running window
+    of ``span`` consecutive ``seq`` values: each bucket yields its last values (a partial aggregate), one small running window
     over the bucket summaries gives every bucket its starting values, and a second window runs
     inside buckets only. A key that holds a third of all rows is spread over all of its buckets.
 
     ``seq`` is a whole number that grows with the log; ``key`` is not null.
     """
-    cut = df.withColumn("_bucket", F.floor(F.col(seq) / bucket_rows))
+    cut = df.withColumn("_bucket", F.floor(F.col(seq) / span))
     for name, value in values.items():
         cut = cut.withColumn(f"_in_{name}", value)
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.functions import variants as V
 from siftwork.operators import gates, normalize
+from siftwork.plans.pin import exploded, pinned
 from siftwork.plans.session import shared_folder
 from siftwork.sources import findings as source, sinks
-from siftwork.workloads.inputs import CHAT_HITS_SQL, DOC_HITS_SQL, WS_SQL, report_rows_sql, reports, table
+from siftwork.workloads.inputs import CHAT_HITS_SQL, DOC_HITS_SQL, EVENTS_SQL, WS_SQL, by_kind, events, report_rows_sql, reports, table
 from siftwork.workloads.registry import query
 from siftwork.workloads.scan_queries import chat_findings, doc_findings
 
@@ -67,6 +68,55 @@ def lenient_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("severity", "file", F.col("line").cast("long").alias("line"), "title")
 
 
+def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as external findings with the path and line under one of several names."""
+    e = events(spark, sf_dir)
+    n = F.col("line")
+    doc = by_kind(
+        F.to_json(F.struct(F.struct(F.concat(F.lit(" "), "file").alias("path"), n.alias("line_start")).alias("scope"), F.lit("x").alias("file"))),
+        F.to_json(F.struct(F.struct(F.lit("").alias("path"), F.col("file").alias("file"), n.cast("string").alias("lineStart")).alias("scope"))),
+        F.to_json(F.struct(F.lit(5).alias("scope"), F.col("file").alias("path"), (-n).alias("line"))),
+        F.to_json(F.struct(F.lit(" ").alias("filename"), F.lit("7th").alias("line"))),
+        F.to_json(F.struct(F.col("file").alias("filename"), F.lit(0).alias("line"), n.alias("line_start"), F.lit("id").alias("finding_id"))),
+    )
+    return pinned(e, raw=V.parse(doc)).select("run_id", F.col("event_id").alias("seq"), "raw")
+
+
+@query(
+    "finding_locator",
+    f"""SELECT event_id AS seq, CASE kind WHEN 'signup' THEN 'repo' ELSE file END AS file,
+          CAST(CASE kind WHEN 'purchase' THEN 0 WHEN 'signup' THEN 0 ELSE line END AS BIGINT) AS line,
+          CASE kind WHEN 'view' THEN 'id' WHEN 'signup' THEN '||repo|0|' WHEN 'purchase' THEN '||' || file || '|0|' ELSE '||' || file || '|' || line || '|' END AS fingerprint
+        FROM ({EVENTS_SQL})""",
+)
+def finding_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gates.loose_findings(_loose(spark, sf_dir))
+    fp = gates.fingerprint(*[F.col(c) for c in ("given", "severity", "kind", "file", "line", "title")])
+    return out.select("seq", "file", F.col("line").cast("long").alias("line"), fp.alias("fingerprint"))
+
+
+@query(
+    "judge_json",
+    f"""SELECT severity, title, n FROM (SELECT CASE kind WHEN 'error' THEN 'P0' ELSE 'P3' END AS severity, 'Event ' || event_id AS title,
+          CAST(unnest(CASE kind WHEN 'view' THEN [0, 1] ELSE [0] END) AS BIGINT) AS n FROM ({EVENTS_SQL}) WHERE kind IN ('click', 'error', 'view'))""",
+)
+def judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of judge documents: lists, objects with findings, and text that holds neither."""
+    e = events(spark, sf_dir)
+    item = F.to_json(
+        F.struct(
+            F.when(F.col("kind") == "error", "P0").otherwise("P3").alias("severity"),
+            F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"),
+        )
+    )
+    doc = by_kind(
+        F.concat(F.lit("["), item, F.lit("]")), F.concat(F.lit('{"findings":['), item, F.lit("]}")), F.lit('{"findings":3}'), F.lit("[{]"),
+        F.concat(F.lit('{"Findings":['), item, F.lit(","), item, F.lit("]}")),
+    )
+    rows = exploded(e, [], V.json_list(V.parse(doc)), "n", "raw")
+    return rows.select(V.text_at(F.col("raw"), "$.severity").alias("severity"), V.text_at(F.col("raw"), "$.title").alias("title"), F.col("n").cast("long").alias("n"))
+
+
 @query(
     "merged_written",
     f"""SELECT count(DISTINCT severity || '|' || title || '|' || file || '|' || line) AS n, count(DISTINCT run_id) AS runs FROM (

@@ -96,7 +96,7 @@ def _reason_head(df: DataFrame, name: str = "reason") -> DataFrame:
 
 @query("quota_timeline", TIMELINE_SQL)
 def quota_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reason_head(quota.quota_timeline(quota_log(spark, sf_dir), bucket_rows=1000).drop("ts"))
+    return _reason_head(quota.quota_timeline(quota_log(spark, sf_dir), span=1000).drop("ts"))
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:

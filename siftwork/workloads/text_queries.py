@@ -206,6 +206,37 @@ def readme_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.readme_label(one_readme(tree.withColumn("text", F.regexp_replace("text", "##  # ", "## "))))
 
 
+@query(
+    "repo_synopsis",
+    f"""SELECT run_id, 'README: not found. Architecture: ' || layout || '. Stack: ' || tags || '. Entry points: ' || entry_points || '.' AS synopsis
+        FROM ({_LAYOUT_SQL}) JOIN (SELECT run_id, CASE WHEN tags = '' THEN 'unspecified' ELSE tags END AS tags FROM (SELECT run_id, concat_ws(', ',
+          CASE WHEN bool_or(f = 'pkg') THEN 'Node.js' END, CASE WHEN bool_or(f = 'pkg' AND lang = 'en') THEN 'Next.js' END,
+          CASE WHEN bool_or(f = 'pkg' AND lang IN ('en', 'fr')) THEN 'React' END, CASE WHEN bool_or(f = 'ts') THEN 'TypeScript' END,
+          CASE WHEN bool_or(f = 'tf') THEN 'Terraform' END, CASE WHEN bool_or(f = 'docker') THEN 'Docker' END) AS tags
+        FROM ({_KIND_SQL}) GROUP BY run_id)) USING (run_id)""",
+)
+def repo_synopsis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees whose readmes are blank."""
+    tree = repo_files(spark, sf_dir)
+    return profile.synopsis(tree.withColumn("text", F.when(F.col("path") == "README.md", " # ").otherwise(F.col("text"))))
+
+
+@query(
+    "dependency_keys",
+    f"""SELECT run_id, count(*) AS files, count(DISTINCT lang) FILTER (lang IN ('en', 'fr')) AS kinds, CAST(sum(CASE lang WHEN 'en' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END) AS BIGINT) AS names
+        FROM ({_KIND_SQL}) WHERE f = 'pkg' GROUP BY run_id""",
+)
+def dependency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = repo_files(spark, sf_dir).filter(F.col("path") == "package.json")
+    keys = pinned(packages, keys=profile.dependency_keys(F.col("text")))
+    shown = F.array_join(F.array_sort("keys"), ",")
+    return keys.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_distinct(F.when(F.size("keys") > 0, shown)).alias("kinds"),
+        F.sum(F.size("keys")).alias("names"),
+    )
+
+
 def spec_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree per source; the language decides the folder."""
     d = spread(table(spark, sf_dir, "documents"))
