@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from siftwork.operators import fixes, gates, quota
 
 
 def severity_windows(findings: DataFrame, delay: str = "10 minutes", width: str = "1 day") -> DataFrame:
-    """Severity counts per run and event-time window; a window is final once the watermark passes it."""
+    """Severity counts per run and event-time window; a window is final once the watermark passes it.
+
+    Rows that come after that are dropped; ``late_rows`` tells how many.
+    """
     w = F.window("ts", width)
     return (
         findings.withWatermark("ts", delay)
@@ -20,6 +24,11 @@ def severity_windows(findings: DataFrame, delay: str = "10 minutes", width: str
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the stateful operators of a running or ended query dropped as too late, of its recent batches."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def unique_findings(findings: DataFrame, delay: str = "1 day", spread: int = 16) -> DataFrame:
     """First arrival per run and fingerprint.
 

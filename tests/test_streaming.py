@@ -75,6 +75,18 @@ def test_unique_findings(spark, tmp_path):
     assert sorted(got) == sorted({d[1] for d in data})
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    data = [("r", "P0", 100), ("r", "P1", 200_000), ("r", "P0", 300_000), ("r", "P0", 150), ("r", "P0", 400_000), ("r", "P3", 400_001)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "seq long, run_id string, severity string, at long")
+    src = stream_of(spark, df.withColumn("ts", F.timestamp_seconds("at")), tmp_path, "seq", 6)
+    at = folder(spark)
+    q = S.severity_windows(src).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/c")
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert S.late_rows(q) == 1
+    assert rows(spark.read.parquet(f"{at}/rows"), "p0", "p1") == [(0, 1), (1, 0), (1, 0)]
+
+
 def test_run_ends_time_out(spark, tmp_path):
     data = [("a", 10, "queued"), ("a", 100, "completed"), ("b", 200, "queued"), ("b", 1200, "failed"), ("c", 90_000, "queued"), ("z", 99_000, "queued"), ("z", 99_001, "failed")]
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "seq long, run_id string, at long, status string")
