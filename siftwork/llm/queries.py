@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.llm import near_dedup
+from siftwork.llm import mixing, near_dedup, sharding, url_filter, warc
 from siftwork.plans.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,68 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets share 85 percent."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, sha256(body) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT d.page_id, n AS payload_bytes, d.h AS payload_digest,
+  CASE WHEN first IS NOT NULL AND d.page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN d.page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.h = f.h
+"""
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_filter.judge_pages(_table(spark, sf_dir, "pages"))
+
+
+SQL["op5_url_filter"] = rf"""
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, '.' || host AS h,
+    CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '(^|[.-])({'|'.join(url_filter.BLOCKED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shuffled shards, read back from the written shards."""
+    written, _ = sharding.shuffled_shards(_table(spark, sf_dir, "documents"))
+    return written.select(
+        "row.doc_id",
+        "size",
+        F.crc32(F.encode(F.coalesce("row.text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of all documents at the target entropy of the sources."""
+    used = mixing.schedule(_table(spark, sf_dir, "documents"))
+    return used.select("row.doc_id", "row.source", "tokens", "share", "weight", "exponent", "budget", "pass", "block", "place")
