@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.llm import mixing, near_dedup, sharding, url_filter, warc
+from siftwork.llm import langid, mixing, near_dedup, quality, sharding, url_filter, warc
 from siftwork.plans.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of all documents at the target entropy of the sources."""
     used = mixing.schedule(_table(spark, sf_dir, "documents"))
     return used.select("row.doc_id", "row.source", "tokens", "share", "weight", "exponent", "budget", "pass", "block", "place")
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with thresholds certified on the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality.learn(docs, _table(spark, sf_dir, "labels"))
+    return quality.judged(docs.select("doc_id", "text", "lang"), rules).select("doc_id", "quality.*")
+
+
+@_query
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    models = langid.learn(docs)
+    found = langid.identified(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", (~langid.training_fold(F.col("doc_id"))).alias("held_out"), "language.*")
