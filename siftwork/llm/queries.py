@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.llm import langid, mixing, near_dedup, quality, sharding, url_filter, warc
+from siftwork.llm import langid, mixing, near_dedup, packing, quality, sharding, url_filter, warc
 from siftwork.plans.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = langid.learn(docs)
     found = langid.identified(docs.select("doc_id", "text"), models)
     return found.select("doc_id", (~langid.training_fold(F.col("doc_id"))).alias("held_out"), "language.*")
+
+
+@_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
