@@ -78,7 +78,7 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = max(1, -(-count // STRETCH_ROWS))
     # Cuts between stretches: at most one number for every few thousand documents.
     cuts = sorted({int(x) for x in known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], min(0.01, 0.2 / parts))}) if parts > 1 else []
-    at = F.coalesce(_place(F.col("doc_id"), cuts), F.lit(0))
+    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(F.col("doc_id"), cuts))
     firsts = rows.select("doc_id", at.alias("s")).groupBy("s").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id")).orderBy("s").collect()
     before = {r.id: firsts[k - 1].s for k, r in enumerate(firsts)}
     spark = docs.sparkSession

@@ -20,7 +20,7 @@ def brute(rows):
         k = len(text) // 4
         edited = text[: len(text) - k] + following[:k]
         a, b, c = one(text), one(edited), one(following)
-        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), float(simhash.likeness(a, b)), float(simhash.likeness(a, c))))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(float(simhash.likeness(a, b)), 9), round(float(simhash.likeness(a, c)), 9)))
     return out
 
 
@@ -31,7 +31,8 @@ def table(n=200, seed=3):
 
 
 def found(df):
-    return sorted((tuple(r) for r in df.select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = df.select("doc_id", "n_chars", "edited_sha256", F.round("near_edited", 9), F.round("near_next", 9)).collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0))
 
 
 def test_equals_brute_force(spark, monkeypatch):
