@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.llm import langid, mixing, near_dedup, packing, quality, sharding, simhash, url_filter, warc
+from siftwork.llm import katz, langid, mixing, near_dedup, packing, quality, sharding, simhash, url_filter, warc
 from siftwork.plans.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return simhash.fingerprinted(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the model that the training documents give."""
+    return katz.scored(_table(spark, sf_dir, "documents"))
