@@ -87,6 +87,23 @@ def in_excluded_dir(path: Column, excluded: tuple[str, ...] = EXCLUDED_DIRS) ->
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in excluded]))
 
 
+def _glob_set(body: str) -> str:
+    """Regex of a bracket's body; a range whose ends are reversed holds nothing."""
+    head = "^" if body.startswith("!") else ""
+    body, out, at = body[len(head) :], "", 0
+    while at < len(body):
+        if body[at + 1 : at + 2] == "-" and at + 2 < len(body):
+            if body[at] <= body[at + 2]:
+                out += f"{re.escape(body[at])}-{re.escape(body[at + 2])}"
+            at += 3
+        else:
+            out += re.sub(r"([\[\]^&~|\\-])", r"\\\1", body[at])
+            at += 1
+    if not out:
+        return "." if head else "(?!)"
+    return f"[{head}{out}]"
+
+
 def glob_regex(glob: str) -> str:
     """Regex of a file glob: ``*`` crosses slashes, ``[!..]`` negates, an open ``[`` is literal."""
     def one(m: re.Match[str]) -> str:
@@ -95,12 +112,7 @@ def glob_regex(glob: str) -> str:
             return ".*"
         if tok == "?":
             return "."
-        if len(tok) > 1:
-            body = tok[1:-1]
-            head = "^" if body.startswith("!") else ""
-            body = body[len(head) :]
-            return f"[{head}{re.sub(r'([\[\]^&~|\\])', r'\\\1', body)}]"
-        return re.escape(tok)
+        return _glob_set(tok[1:-1]) if len(tok) > 1 else re.escape(tok)
 
     return "(?s)^" + re.sub(r"\[!?\]?[^\]]*\]|[\s\S]", one, glob) + r"\z"
 

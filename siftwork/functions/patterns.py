@@ -48,7 +48,8 @@ _SYNTAX = re.compile(
     r"(?P<esc>\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|0[0-7]{0,2}|.))"
     r"|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])"
     r"|(?P<named>\(\?P<)"
-    r"|(?P<upto>\{,\d+\})",
+    r"|(?P<times>\{(?:\d+(?:,\d*)?|,\d*)\})"
+    r"|(?P<brace>\{)",
     re.S,
 )
 _NOT_IN_JAVA = re.compile(r"(?<!\\)(?:\(\?\(|\(\?[aLu]|\(\?[imsx-]*[aLu][a-zA-Z-]*[:)])|\\N\{")
@@ -86,7 +87,10 @@ def java_regex(pattern: str) -> str:
             return _java_escape(m["esc"], False)
         if m["set"]:
             return _java_set(m["set"])
-        return "(?<" if m["named"] else "{0" + m["upto"][1:]
+        if m["named"]:
+            return "(?<"
+        # A brace that opens no repetition is itself; a repetition without a lower end begins at none.
+        return r"\{" if m["brace"] else m["times"].replace("{,", "{0,")
 
     out = _SYNTAX.sub(one, pattern)
     return ("(?U)" if re.search(r"\\[wWdDsSbB]|\(\?[a-z]*i", pattern) else "") + out

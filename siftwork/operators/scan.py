@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftwork.functions import patterns, text as X
 from siftwork.functions.paths import base_name, in_excluded_dir
 from siftwork.functions.severity import known_or_p2
+from siftwork.plans.pin import pinned
 from siftwork.schemas import SEVERITIES, as_findings
 
 # Fixed value: larger files are not scanned.
@@ -46,11 +49,34 @@ def _scoped(file: Column, glob: str | None) -> Column:
     return file.rlike(glob) | base_name(file).rlike(glob)
 
 
-def _hit(subject: Column, p: patterns.Prepared) -> Column:
-    """Exact test, behind the cheaper ones that settle most lines: fixed text, then the loose form."""
-    tests = [subject.contains(p.literal)] if p.literal else []
-    tests += [subject.rlike(r) for r in (p.loose, p.regex) if r]
-    return reduce(lambda a, b: a & b, tests)
+# A prepared rule inside the array of rules that a file meets.
+_RULE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("pattern", "severity", "message", "behavior", "regex", "glob", "literal", "loose")]
+    + [T.StructField("rule_no", T.LongType()), T.StructField("gate", T.BooleanType())]
+)
+
+
+def _matched(files: DataFrame, rules: Column) -> DataFrame:
+    """``(run_id, file, line, line_text)`` and the rule, for every rule of the array that matches a line.
+
+    One row per file and one per line of files that some rule can match, whatever the number of rules: the rules are
+    elements of an array, so the plan does not grow with them and no text is copied per rule.
+    """
+    text, file, line = F.col("text"), F.col("file"), F.col("line_text")
+
+    def possible(r: Column) -> Column:
+        scoped = r["glob"].isNull() | F.rlike(file, r["glob"]) | F.rlike(base_name(file), r["glob"])
+        held = r["literal"].isNull() | text.contains(r["literal"])
+        return scoped & held & (~r["gate"] | F.rlike(text, F.coalesce(r["loose"], r["regex"])))
+
+    def hit(r: Column) -> Column:
+        held = r["literal"].isNull() | line.contains(r["literal"])
+        return held & (r["loose"].isNull() | F.rlike(line, r["loose"])) & F.rlike(line, r["regex"])
+
+    near = pinned(files, _near=F.filter(rules, possible)).filter(F.size("_near") > 0)
+    lines = X.explode_lines(near.select("run_id", "file", "text", "_near"), "text", "run_id", "file", "_near")
+    found = pinned(lines, _hits=F.filter(F.col("_near"), hit)).filter(F.size("_hits") > 0)
+    return found.select("run_id", "file", "line", "line_text", F.inline("_hits"))
 
 
 def _finding_columns(rule_no: Column, pattern: Column, message: Column) -> dict[str, Column]:
@@ -86,65 +112,43 @@ def _rejected_columns(policy_file: str) -> dict[str, Column]:
 def scan_rules(files: DataFrame, rules: Sequence[Rule], policy_file: str = "policy.yaml") -> DataFrame:
     """Findings of one rule list on all files of ``(run_id, file, text)``.
 
-    The rules are part of the plan as literals, so one corpus pass serves all of them, nothing is
-    joined and no row is shuffled. A file is split into lines only if some rule can match its text;
-    inside, a rule's fixed text is looked for before its regex runs.
+    The rules are one literal of the plan, so one corpus pass serves all of them, nothing is joined and
+    no row is shuffled. A file is split into lines only if some rule can match its text; inside, a
+    rule's fixed text is looked for before its regex runs. A rule that cannot be used becomes a denying
+    finding of every run and leaves the others as they are.
     """
-    prepared = [patterns.prepare(r.pattern.strip(), r.in_glob) for r in rules]
+    jvm = files.sparkSession._jvm
+    prepared = [_checked(jvm, patterns.prepare(r.pattern.strip(), r.in_glob)) for r in rules]
     good = [(i, r, p) for i, (r, p) in enumerate(zip(rules, prepared), 1) if p.reject_kind is None]
     bad = [(i, p) for i, p in enumerate(prepared, 1) if p.reject_kind is not None]
-
-    out = _scan_literals(files, good) if good else None
-    if bad:
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("rule_no"),
-                    F.lit(p.reject_kind).alias("reject_kind"),
-                    F.lit(p.reject_reason).alias("reject_reason"),
-                )
-                for i, p in bad
-            ]
-        )
-        runs = files.select("run_id").distinct().select("run_id", F.inline(rows))
-        rejected = as_findings(runs, **_rejected_columns(policy_file))
-        out = rejected if out is None else out.unionByName(rejected)
-    if out is None:
+    if not rules:
         raise ValueError("no rules")
-    return out
-
-
-def _scan_literals(files: DataFrame, good: list[tuple[int, Rule, patterns.Prepared]]) -> DataFrame:
-    text, file = F.col("text"), F.col("file")
-
-    def maybe(p: patterns.Prepared) -> Column:
-        tests = [_scoped(file, p.glob)]
-        tests += [text.contains(p.literal)] if p.literal else []
-        tests += [text.rlike(p.loose or p.regex)] if p.gate else []
-        return reduce(lambda a, b: a & b, tests)
-
-    any_rule = reduce(lambda a, b: a | b, [maybe(p) for _, _, p in good])
-    lines = X.explode_lines(files.select("run_id", "file", "text").filter(any_rule), "text", "run_id", "file")
-
-    line = F.col("line_text")
-    hits = [
-        F.when(_scoped(file, p.glob) & _hit(line, p), F.lit(n)) for n, (_, _, p) in enumerate(good)
-    ]
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_no"),
-                F.lit(r.pattern.strip()).alias("pattern"),
-                F.lit(_severity(r)).alias("severity"),
-                F.lit(r.message).alias("message"),
-                F.lit(r.behavior).alias("behavior"),
-            )
-            for i, r, _ in good
-        ]
-    )
-    found = lines.select("*", F.explode(F.array(*hits)).alias("_n")).filter(F.col("_n").isNotNull())
-    found = found.withColumn("_rule", F.get(table, F.col("_n"))).select("run_id", "file", "line", "line_text", "_rule.*")
-    return as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
+    table = [
+        {
+            "rule_no": i, "pattern": r.pattern.strip(), "severity": _severity(r), "message": r.message, "behavior": r.behavior,
+            "regex": p.regex, "glob": p.glob, "literal": p.literal, "loose": p.loose, "gate": p.gate,
+        }
+        for i, r, p in good
+    ]
+    # One literal, whatever the number of rules.
+    found = _matched(files, F.from_json(F.lit(json.dumps(table)), T.ArrayType(_RULE)))
+    out = as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
+    if not bad:
+        return out
+    rows = F.inline(F.from_json(F.lit(json.dumps([{"rule_no": i, "reject_kind": p.reject_kind, "reject_reason": p.reject_reason} for i, p in bad])), "array<struct<rule_no:bigint,reject_kind:string,reject_reason:string>>"))
+    runs = files.select("run_id").distinct().select("run_id", rows)
+    return out.unionByName(as_findings(runs, **_rejected_columns(policy_file)))
+
+
+def _checked(jvm, p: patterns.Prepared) -> patterns.Prepared:
+    """The rule, or its rejection where the scan's regex engine refuses one of its patterns."""
+    for regex in (p.regex, p.glob, p.loose):
+        if regex is not None:
+            try:
+                jvm.java.util.regex.Pattern.compile(regex)
+            except (Py4JJavaError, IllegalArgumentException) as exc:
+                return patterns.Prepared("invalid-regex", str(exc).splitlines()[0])
+    return p
 
 
 _PREPARED = "reject_kind string, reject_reason string, regex string, glob string, literal string, loose string, gate boolean"
@@ -163,7 +167,16 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
 
     udf = F.pandas_udf(run, _PREPARED)
     named = rules.withColumn("pattern", X.strip(F.col("pattern"))).filter(F.col("pattern") != "")
-    return named.withColumn("_p", udf("pattern", F.coalesce("in_glob", F.lit("")))).select("*", "_p.*").drop("_p")
+    out = pinned(named, _p=udf("pattern", F.coalesce("in_glob", F.lit("")))).select("*", "_p.*").drop("_p")
+    # What the scan's regex engine refuses fails its rule, not the scan.
+    refused = F.lit(False)
+    for name in ("regex", "glob", "loose"):
+        compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col(name))
+        refused = refused | (F.col(name).isNotNull() & compiled.isNull())
+    out = pinned(out, _refused=refused)
+    kind = F.when(F.col("_refused"), "invalid-regex").otherwise(F.col("reject_kind"))
+    reason = F.when(F.col("_refused"), "pattern is not supported by the scan").otherwise(F.col("reject_reason"))
+    return out.withColumns({"reject_kind": kind, "reject_reason": reason}).drop("_refused")
 
 
 def rejected_rules(prepared: DataFrame, policy_file: str = "policy.yaml") -> DataFrame:
@@ -174,29 +187,13 @@ def rejected_rules(prepared: DataFrame, policy_file: str = "policy.yaml") -> Dat
 def scan_run_rules(files: DataFrame, rules: DataFrame, policy_file: str = "policy.yaml") -> DataFrame:
     """Findings where every run brings its own rules, any number of runs.
 
-    Files meet the rules of their run by an equi-join whose residual condition is the whole-file
-    test, so only matching (file, rule) pairs leave the join; Spark broadcasts the rules when they
-    are small and AQE splits a hot run otherwise. Lines are made for the matching pairs only.
+    A run's rules are one array, so a file meets them in one joined row and its lines are made once. Spark broadcasts the
+    arrays when they are small; AQE splits a hot run otherwise.
     """
     prepared = prepare_rules(rules)
-    good = prepared.filter(F.col("reject_kind").isNull()).select(
-        "run_id", "rule_no", "pattern", "severity", "message", "behavior", "regex", "glob", "literal", "loose", "gate"
-    )
-    f, r = files.select("run_id", "file", "text").alias("f"), good.alias("r")
-    text, file = F.col("f.text"), F.col("f.file")
-    glob, literal, regex = F.col("r.glob"), F.col("r.literal"), F.col("r.regex")
-    possible = (
-        (F.col("f.run_id") == F.col("r.run_id"))
-        & (glob.isNull() | F.rlike(file, glob) | F.rlike(base_name(file), glob))
-        & (literal.isNull() | text.contains(literal))
-        & (~F.col("r.gate") | F.rlike(text, F.coalesce(F.col("r.loose"), regex)))
-    )
-    pairs = f.join(r, possible).select("f.*", *[f"r.{c}" for c in good.columns if c != "run_id"])
-    carried = ("run_id", "file", "rule_no", "pattern", "severity", "message", "behavior", "regex", "literal")
-    lines = X.explode_lines(pairs, "text", *carried)
-    found = lines.filter(
-        (F.col("literal").isNull() | F.col("line_text").contains(F.col("literal")))
-        & F.rlike(F.col("line_text"), F.col("regex"))
-    ).withColumn("severity", known_or_p2(F.col("severity")))
+    good = prepared.filter(F.col("reject_kind").isNull()).withColumn("severity", known_or_p2(F.col("severity")))
+    listed = good.groupBy("run_id").agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _RULE])).alias("_rules"))
+    met = files.select("run_id", "file", "text").join(listed, "run_id")
+    found = _matched(met, F.col("_rules"))
     hits = as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
     return hits.unionByName(rejected_rules(prepared, policy_file))

@@ -8,6 +8,7 @@ from siftwork.functions import severity as S
 from siftwork.functions.text import explode_lines
 from siftwork.operators import gates, scan
 from siftwork.operators.normalize import normalize_tool
+from siftwork.operators.scan import Rule
 from siftwork.schemas import SEVERITIES
 from siftwork.workloads.inputs import (
     CHAT_HITS_SQL, DOC_FILE_SQL, DOC_HITS_SQL, RULES, WS_SQL, chats, files, lines_sql, report_rows_sql, reports, table,
@@ -109,6 +110,40 @@ def run_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "file", long("line"), "severity", "title", "rule_id", "decision")
 
 
+# Rules with literal braces, a group name that only Python's syntax allows, and a glob with a reversed range.
+_ODD_RULES = [
+    Rule("License"),
+    Rule("License{x}|{License}", "P0"),
+    Rule(r"\${[A-Z]+}", "P0"),
+    Rule("(?P<the_name>License)", "P0"),
+    Rule("License", "P1", in_glob="[z-a]*"),
+    Rule("L{1}icense{,0}d?", "P3"),
+]
+
+
+@query(
+    "odd_rules",
+    f"""SELECT run_id, n AS rule_no, count(*) AS hits FROM ({DOC_HITS_SQL}), (VALUES (CAST(1 AS BIGINT))) AS r(n)
+        WHERE rule_no = 4 GROUP BY run_id, n
+        UNION ALL SELECT source, CAST(4 AS BIGINT), CAST(1 AS BIGINT) FROM documents GROUP BY source
+        UNION ALL SELECT source, CAST(6 AS BIGINT), n FROM (
+          SELECT run_id AS source, count(*) AS n FROM ({lines_sql('source', DOC_FILE_SQL, 'documents')})
+          WHERE contains(t, 'Licens') GROUP BY run_id)""",
+)
+def odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that the scan cannot use is a finding of its own; all others work."""
+    out = scan.scan_rules(files(spark, sf_dir), _ODD_RULES)
+    return out.groupBy("run_id", F.col("seq").alias("rule_no")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("many_rules", f"SELECT run_id, file, line, CAST(rule_no + 996 AS BIGINT) AS rule_no FROM ({DOC_HITS_SQL})")
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rules, most of which match nothing."""
+    idle = [Rule(rf"\bnever{k}here\b", "P0") for k in range(996)]
+    out = scan.scan_rules(files(spark, sf_dir), idle + RULES)
+    return out.select("run_id", "file", long("line"), F.col("seq").alias("rule_no"))
+
+
 _COUNTS_SQL = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in SEVERITIES)
 
 

@@ -1,3 +1,4 @@
+import fnmatch
 import random
 import re
 import time
@@ -119,3 +120,48 @@ def test_scannable(spark):
         "file string, size long",
     )
     assert rows(scan.scannable(df), "file") == [(".github/w.yml",), ("a.py",), ("builds/a",)]
+
+
+BRACES = ["foo{bar}", r"\${[A-Z]+}", "a{,}b", "{x", "x}{", "a{1}{", r"[{]a{2}", "({)b", "{}", "a{1,x}", r"\{2}", "}{,2}"]
+
+
+def test_braces_mean_the_same(spark):
+    text = "foo{bar} ${HOME} aab {x x}{ a{ {aa {b {} a{1,x} {{ }} }"
+    lines = [text, *text.split(" "), "b", "fo{bar}", "", "a"]
+    df = spark.createDataFrame([("r", "f", "\n".join(lines))], "run_id string, file string, text string")
+    got = rows(scan.scan_rules(df, [Rule(p) for p in BRACES]), "line", "seq")
+    assert got == sorted(((n, i) for i, p in enumerate(BRACES, 1) for n, t in enumerate(lines, 1) if re.search(p, t)), key=lambda t: tuple((x is not None, str(x)) for x in t))
+
+
+GLOBS = ["[z-a]*", "[!z-a]b", "[a-c-e]x", "[a-]x", "[-a]x", "[]-a]x", "[!]-a]x", "[a-c0-9]x", "[[]x", "[^a]x", "[&&a]x", "[\\\\]x", "[a~b|]x", "[c-b]x"]
+
+
+@pytest.mark.parametrize("glob", GLOBS)
+def test_bracket_globs(spark, glob):
+    names = [c + "x" for c in "abcde0-]^[&~|\\!z"] + ["b", "bb", "x", "ab"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").filter(glob_match(F.col("n"), glob))
+    assert {r.n for r in df.collect()} == {n for n in names if fnmatch.fnmatchcase(n, glob)}
+
+
+def test_bad_rules_of_one_run_leave_the_others(spark, corpus):
+    df = spark.createDataFrame(corpus, "run_id string, file string, text string")
+    bad = ["(?P<a_b>x)", "(", "(a+)+$", "x{2,1}"]
+    table = [(f"r{i}", no, *r) for i in range(3) for no, r in enumerate(RULES, 1)]
+    table += [("r0", 90 + k, p, "P0", "", None, "deny") for k, p in enumerate(bad)] + [("r9", 1, "(", "P0", "", "[z-a]", "deny")]
+    rules = spark.createDataFrame(
+        table, "run_id string, rule_no int, pattern string, severity string, message string, in_glob string, behavior string"
+    )
+    found = scan.scan_run_rules(df, rules)
+    assert rows(found.filter("line > 0"), *COLS) == brute(corpus, RULES)
+    refused = rows(found.filter("line = 0"), "run_id", "seq")
+    assert refused == [("r0", 90), ("r0", 91), ("r0", 92), ("r0", 93), ("r9", 1)]
+    got = rows(scan.scan_rules(df, RULES + [Rule(p) for p in bad]), *COLS)
+    assert [r for r in got if r[2]] == brute(corpus, RULES) and len([r for r in got if not r[2]]) == 3 * len(bad)
+
+
+def test_a_thousand_rules(spark, corpus):
+    df = spark.createDataFrame(corpus, "run_id string, file string, text string")
+    many = [Rule(rf"\bnothing{k}\b") for k in range(1000)]
+    start = time.time()
+    got = rows(scan.scan_rules(df, RULES + many), *COLS)
+    assert got == brute(corpus, RULES) and time.time() - start < 60
