@@ -15,10 +15,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from siftwork.llm.common import Scratch, blocks, mix, text_session
+from siftwork.llm.common import Scratch, Texts, blocks, mix, text_session
 
 WINDOW = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,18 +27,43 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 TASK_TOKENS = 6_000_000
 K1, B = 1.2, 0.75
-_CACHED = 300_000  # words and word stems that a worker remembers
+_CACHED = 1_200_000  # words, and word stems, that a worker remembers; about 25 bytes each
 
-# Characters that Python takes for white space and the tokenizer may not.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
-# A stem of Latin letters and marks behind it are tokenised apart by the vocabulary's rule; apostrophes are not.
+# A stem of Latin letters and the marks behind it are one token group each by the vocabulary's rule; apostrophes are not.
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class _Known:
+    """Lists of ids under 64-bit hashes: a sorted array of hashes beside a pool of ids."""
+
+    def __init__(self, kind: np.dtype):
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, kind)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Keys that are missing, sorted, with their ids one behind the other."""
+        place = np.searchsorted(self.keys, keys)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, begin), (self.size, size)))
+        self.pool = np.concatenate([self.pool, ids])
+
+    def get(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``keys[back]``, one behind the other, and how many each has."""
+        at = np.searchsorted(self.keys, keys)[back]
+        size = self.size[at]
+        behind = np.cumsum(size)
+        return self.pool[np.arange(int(size.sum())) + np.repeat(self.at[at] - behind + size, size)], size
+
+
 class WordIds:
     """Token ids of texts, word by word: white space always ends a token here, so words are tokenised once and remembered.
 
-    Give ``by_word=False`` for a tokenizer whose tokens may reach over white space.
+    Words are known by a 64-bit hash. Give ``by_word=False`` for a tokenizer whose tokens may reach over white space.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -47,49 +73,58 @@ class WordIds:
     def __getstate__(self):
         return {"path": self.path, "by_word": self.by_word, "tokenizer": None}
 
-    def _load(self):
+    def load(self) -> None:
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.encode_special_tokens = True
             self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-            self.words, self.stems = {}, {}
-        return self.tokenizer
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self._load().encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > _CACHED:
-            self.words = {}
-        if len(self.stems) > _CACHED:
-            self.stems = {}
-        split = {w: m.groups() for w in words if (m := _STEM.fullmatch(w))}
-        need = {p for stem, marks in split.values() for p in (stem.lower(), marks) if p}.difference(self.stems)
-        need = list(need)
-        self.stems.update(zip(need, self._encode(need)))
-        self.stems[""] = b""
-        self.words.update((w, self.stems[a.lower()] + self.stems[b]) for w, (a, b) in split.items())
-        rest = [w for w in words if w not in split]
-        self.words.update(zip(rest, self._encode(rest)))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        self._load()
-        plain = [self.by_word and not _ODD.search(t or "") for t in texts]
-        words = [(t or "").split() if p else [] for t, p in zip(texts, plain)]
-        every = set(chain.from_iterable(words))
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > _CACHED:
-            self.words = {}
-            new = every
-        self._learn(new)
-        known = self.words.__getitem__
-        out = [b"".join(map(known, w)) for w in words]
-        odd = [i for i, p in enumerate(plain) if not p]
-        for i, ids in zip(odd, self._encode([texts[i] or "" for i in odd])):
-            out[i] = ids
-        return out
+            self.words, self.groups = _Known(self.type), _Known(self.type)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.type), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _of_groups(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are one token group each."""
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
+        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.groups.keys) + len(own) > _CACHED:
+            self.groups = _Known(self.type)
+        new = self.groups.missing(own)
+        if new.any():
+            self.groups.add(own[new], *self._encode([texts[i] for i in first[new]]))
+        return self.groups.get(own, back)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        split = [_STEM.fullmatch(w) for w in words]
+        simple = np.array([m is not None for m in split], bool)
+        if simple.any():
+            # A stem and its marks; a word without marks has an empty group, which has no ids.
+            ids, size = self._of_groups([g for m in split if m for g in (m[1].lower(), m[2])])
+            size = size.reshape(-1, 2).sum(axis=1)
+            self.words.add(keys[simple], ids, size)
+        if not simple.all():
+            self.words.add(keys[~simple], *self._encode([w for w, m in zip(words, split) if not m]))
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        self.load()
+        if not self.by_word:
+            ids, size = self._encode([t or "" for t in column.to_pylist()])
+            return np.split(ids, np.cumsum(size)[:-1])
+        t = Texts(column)
+        keys, first, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
+        new = self.words.missing(keys)
+        if len(self.words.keys) + int(new.sum()) > _CACHED:
+            self.words = _Known(self.type)
+            new[:] = True
+        if new.any():
+            data = t.data.tobytes()
+            self._learn(keys[new], [data[a:b].decode() for a, b in zip(t.starts[first[new]], t.ends[first[new]])])
+        tokens, size = self.words.get(keys, back)
+        cuts = np.concatenate([[0], np.cumsum(size)])[t.first]
+        return [tokens[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def tokenised(docs: DataFrame, ids_of: WordIds, end_id: int = END_ID) -> DataFrame:
@@ -99,8 +134,8 @@ def tokenised(docs: DataFrame, ids_of: WordIds, end_id: int = END_ID) -> DataFra
         pack = zstandard.ZstdCompressor(level=1)
         for b in blocks(batches, "text"):
             n, place, ids = [], [], []
-            for got in ids_of(b.column("text").to_pylist()):
-                tokens = np.append(np.frombuffer(got, ids_of.type), ids_of.type.type(end_id))
+            for got in ids_of(b.column("text")):
+                tokens = np.append(got, ids_of.type.type(end_id))
                 n.append(len(tokens))
                 pairs = tokens.astype(np.uint64)
                 pairs = pairs[:-1] << np.uint64(32) | pairs[1:] if len(pairs) > 1 else pairs
@@ -205,7 +240,7 @@ def pack(
 
         first = TaskContext.get().partitionId() << 32
         unpack = zstandard.ZstdDecompressor()
-        ids_of._load()
+        ids_of.load()
         sequences = 0
         held, size = [], 0
 

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,11 +27,13 @@ def test_word_by_word_equals_whole_texts(monkeypatch):
     texts = ODD + ["".join(rng.choice("abÉ é'.,!1 \n\x1fst") for _ in range(rng.randint(0, 80))) for _ in range(400)]
     want = [true_ids(t)[:-1] for t in texts]
     ids = packing.WordIds(packing.TOKENIZER)
-    assert [np.frombuffer(x, ids.type).tolist() for x in ids(texts)] == want
+    assert [x.tolist() for x in ids(pa.array(texts, pa.string()))] == want
     monkeypatch.setattr(packing, "_CACHED", 5)
     ids = packing.WordIds(packing.TOKENIZER)
     for _ in range(2):
-        assert [np.frombuffer(x, ids.type).tolist() for x in ids(texts)] == want
+        assert [x.tolist() for x in ids(pa.array(texts, pa.string()))] == want
+    ids = packing.WordIds(packing.TOKENIZER, by_word=False)
+    assert [x.tolist() for x in ids(pa.array(texts, pa.string()))] == want
 
 
 def check(rows, texts, window):
