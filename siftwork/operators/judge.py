@@ -10,7 +10,7 @@ from siftwork.functions import variants as V
 from siftwork.functions.numbers import is_finite, lenient_double
 from siftwork.functions.paths import inside_base
 from siftwork.functions.text import blank_to_null, first_text, line_array, strip
-from siftwork.operators.phrases import any_phrase, few_phrases, phrase_hits
+from siftwork.operators.phrases import phrase_hits
 from siftwork.plans.lookup import lookup
 from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
@@ -89,8 +89,9 @@ def judge(
 ) -> DataFrame:
     """Every candidate as a finding row with ``reject_class`` and ``reject_reason``; null = accepted.
 
-    ``(run_id, seq)`` names a candidate. ``categories(category)`` and ``phrases(kind, phrase)`` are
-    the user's lists; only candidates that pass all other tests are matched against phrases.
+    ``(run_id, seq)`` is carried along and need not be unique: several reports of one run count from
+    zero each. ``categories(category)`` and ``phrases(kind, phrase)`` are the user's lists; only
+    candidates that pass all other tests are matched against phrases.
     """
     c = read_candidates(candidates)
     known = categories.select(F.lower(strip(F.col("category"))).alias("category")).distinct()
@@ -138,28 +139,21 @@ def judge(
     words = F.concat_ws(" ", "title", "description")
     hays = {"exclusion": F.concat_ws(" ", words, "category"), "precedent": words}
     tested = pinned(c, _early=early)
-    few = few_phrases(phrases)
-    if few is not None:
-        # A short list is part of the plan: every candidate is judged in place, nothing is shuffled.
-        kind = F.lit(None).cast("string")
-        for name in ("precedent", "exclusion"):
-            book = [p for k, p in few if k == name]
-            kind = F.when(any_phrase(F.lower(hays[name]), book), name).otherwise(kind)
-        flagged = tested.withColumn("_kind", F.when(F.col("_early").isNull(), kind))
-    else:
-        stays = tested.filter(F.col("_early").isNull()).select(
-            "run_id",
-            "seq",
-            F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hay")) for k, h in hays.items()])),
-        )
-        hits = phrase_hits(stays, phrases, ["run_id", "seq"], "hay", on=["kind"], carry_text=True)
-        # Exclusions are tested before precedents, and come first by name.
-        late = hits.groupBy("run_id", "seq").agg(F.min("kind").alias("_kind"))
-        flagged = tested.join(late, ["run_id", "seq"], "left")
+    # Whether a phrase occurs depends on the words alone, so hits are found per distinct text and come back by its hash.
+    for kind, hay in hays.items():
+        tested = tested.withColumn(f"_at_{kind}", F.when(F.col("_early").isNull(), F.sha2(F.encode(F.concat_ws(":", F.lit(kind), hay), "UTF-8"), 256)))
+    stays = tested.filter(F.col("_early").isNull()).select(
+        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_at_{k}").alias("_at"), h.alias("hay")) for k, h in hays.items()]))
+    )
+    hits = phrase_hits(stays.distinct(), phrases, ["_at"], "hay", on=["kind"], carry_text=True).select("kind", "_at").distinct()
+    flagged = tested
+    for kind in hays:
+        own = hits.filter(F.col("kind") == kind).select(F.col("_at").alias(f"_at_{kind}"), F.lit(True).alias(f"_{kind}"))
+        flagged = lookup(flagged, own, [f"_at_{kind}"])
     failed = F.coalesce(
         F.col("_early"),
-        F.when(F.col("_kind") == "exclusion", fail("exclusion", F.lit("matches hard exclusion"))),
-        F.when(F.col("_kind") == "precedent", fail("precedent", F.lit("matches known-safe precedent"))),
+        F.when(F.col("_exclusion"), fail("exclusion", F.lit("matches hard exclusion"))),
+        F.when(F.col("_precedent"), fail("precedent", F.lit("matches known-safe precedent"))),
     )
     rule = strip(F.coalesce(F.col("_rule"), F.lit("")))
     fallback = F.when(F.col("category") != "", F.concat(F.lit("llm:"), F.col("category"))).otherwise("llm:unknown")

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwork.plans.pin import exploded
 
-FEW_PHRASES = 128  # up to this many phrases go into the plan as one pattern
-KEY_WORDS = 3  # a phrase is looked up by its first words, at most this many
-
-
 # Runs of ASCII word characters, and runs of other letters, marks and digits. A phrase with word
 # edges has the same runs where it occurs, and ASCII text never pays for Unicode classes.
 _WORD = r"[a-z0-9_]+|[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]+"
@@ -22,30 +17,24 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
 
 
-def _shingles(words: Column, n: int) -> Column:
-    last = F.size(words) - n
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+# What lies between two words. A phrase without a word has word edges only where it is all of it.
+_BETWEEN = r"[^\p{L}\p{M}\p{N}_]+"
 
 
-def contains_phrase(text: Column, phrase: Column) -> Column:
-    quoted = F.regexp_replace(phrase, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return text.contains(phrase) & F.rlike(text, F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
+def _key(phrase: Column) -> Column:
+    """What a text must hold to hold the phrase: its longest word, or the whole phrase if it has no word."""
+    longest = F.array_max(F.transform(_words(phrase), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return F.coalesce(longest["w"], F.concat(F.lit("\0"), phrase))
 
 
-def few_phrases(phrases: DataFrame, limit: int = FEW_PHRASES) -> list[tuple[str, str]] | None:
-    """The ``(kind, phrase)`` rows if there are at most ``limit``, else None; never reads more."""
-    rows = phrases.select("kind", "phrase").distinct().limit(limit + 1).collect()
-    return [(r.kind, r.phrase) for r in rows] if len(rows) <= limit else None
+def _keys(text: Column) -> Column:
+    between = F.regexp_extract_all(text, F.lit(_BETWEEN), F.lit(0))
+    return F.array_distinct(F.concat(_words(text), F.transform(F.array_distinct(between), lambda r: F.concat(F.lit("\0"), r))))
 
 
-def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
-    """Whether the lower-case text holds one of a few phrases as whole words."""
-    if not phrases:
-        return F.lit(False)
-    return text.rlike(r"(?U)\b(?:" + "|".join(re.escape(p) for p in sorted(phrases)) + r")\b")
+def contains_phrase(text: Column, phrase: Column) -> Column:
+    quoted = F.regexp_replace(phrase, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    return text.contains(phrase) & F.rlike(text, F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
 
 
 def phrase_hits(
@@ -53,35 +42,18 @@ def phrase_hits(
 ) -> DataFrame:
     """Distinct ``(ids, on, phrase)`` where the lower-cased text holds the phrase as whole words.
 
-    A phrase with word edges can only match where its words stand next to each other, so an
-    equi-join on the leading words finds every candidate without pairing all texts with all
-    phrases; the exact test then runs on the candidates alone. With ``carry_text`` the text rides
-    along with its shingles, which suits short texts; long texts are joined back by ``ids``.
-    Phrases are lower case and hold at least one word character.
+    A phrase can only match where its longest word occurs, so an equi-join on that word finds every
+    candidate without pairing all texts with all phrases; the exact test then runs on the candidates
+    alone. With ``carry_text`` the text rides along with its words, which suits short texts; long
+    texts are joined back by ``ids``. Phrases are lower case; empty ones match nothing. Nothing runs
+    while the plan is built, and the plan is the same for any number of phrases.
     """
     keep = [*ids, *on]
     body = texts.select(*keep, F.lower(F.col(text)).alias("_text"))
-    words = _words(F.col("phrase"))
-    book = (
-        phrases.select(*on, "phrase")
-        .distinct()
-        .withColumn("_n", F.least(F.size(words), F.lit(KEY_WORDS)))
-        .withColumn(
-            "_key",
-            F.when(F.col("_n") > 0, F.array_join(F.slice(words, F.lit(1), F.col("_n")), " ")).otherwise(
-                F.raise_error(F.concat(F.lit("phrase without a word: "), F.col("phrase")))
-            ),
-        )
-    )
-    sizes = [r[0] for r in book.select("_n").distinct().collect()]  # at most KEY_WORDS numbers
-    book = book.drop("_n")
-    if not sizes:
-        sizes = [1]
-    split = body.withColumn("_w", _words(F.col("_text")))
-    keys = F.array_distinct(F.concat(*[_shingles(F.col("_w"), n) for n in sorted(sizes)]))
+    book = phrases.select(*on, "phrase").filter(F.col("phrase") != "").distinct().withColumn("_key", _key(F.col("phrase")))
     carried = ["_text"] if carry_text else []
-    shingled = exploded(split, [*keep, *carried], keys, "_pos", "_key").drop("_pos")
-    near = shingled.join(book, [*on, "_key"])
+    keyed = exploded(body, [*keep, *carried], _keys(F.col("_text")), "_pos", "_key").drop("_pos")
+    near = keyed.join(book, [*on, "_key"])
     if not carry_text:
         near = near.select(*keep, "phrase").distinct().join(body, keep)
     return near.filter(contains_phrase(F.col("_text"), F.col("phrase"))).select(*keep, "phrase").distinct()

@@ -74,11 +74,17 @@ def test_accepted_and_rejected_are_the_input(spark):
     assert c["accepted"] == J.accepted(out).count() and sum(c[k] for k in J.REJECT_CLASSES) == J.rejected(out).count()
 
 
-def test_long_phrase_list_gives_the_same_classes(spark, monkeypatch):
-    items = [{**BASE, "title": t} for t in ("rate-limit bypass", "a rate-limit  bypass", "logging urls is safe.", "none")]
-    short = classes(spark, items)
-    monkeypatch.setattr(J, "few_phrases", lambda p: None)
-    assert classes(spark, items) == short == ["exclusion", None, "precedent", None]
+def test_idle_phrases_change_no_verdict(spark):
+    items = [{**BASE, "title": t} for t in ("rate-limit bypass", "a rate-limit  bypass", "logging urls is safe.", "none", "a++b")]
+    data = [("r", i % 2, json.dumps(x)) for i, x in enumerate(items)]  # numbers repeat, as with several reports of a run
+    df = spark.createDataFrame(data, "run_id string, seq long, j string").select("run_id", "seq", V.parse(F.col("j")).alias("raw"))
+    cats = spark.createDataFrame([("sql",)], "category string")
+    book = [("exclusion", "rate-limit bypass"), ("precedent", "logging urls is safe"), ("precedent", "++"), ("exclusion", "")]
+    for idle in (0, 3, 1500):
+        extra = [(k, f"idle phrase {n}") for n in range(idle) for k in ("exclusion", "precedent")]
+        out = J.judge(df, cats, spark.createDataFrame(book + extra, "kind string, phrase string"))
+        got = {r.title: r.reject_class for r in out.collect()}
+        assert got == dict(zip([i["title"] for i in items], ["exclusion", None, "precedent", None, "precedent"]))
 
 
 @pytest.mark.parametrize("carry", [True, False])
@@ -87,7 +93,7 @@ def test_phrase_hits_equal_brute_force(spark, carry):
     words = ["rate", "limit", "café", "été", "x1", "don", "t", "кот", "c"]
     seps = [" ", "-", ". ", "’", " “", "++ ", "_"]
     texts = [(i, "".join(rnd.choice(words).upper() + rnd.choice(seps) for _ in range(12))) for i in range(80)]
-    book = {"rate", "rate limit", "limit-rate", "don’t", "café été", "кот", "x1_c", "c++ c", "rate limit x1 don", "t. t"}
+    book = {"rate", "rate limit", "limit-rate", "don’t", "café été", "кот", "x1_c", "c++ c", "rate limit x1 don", "t. t", "-", " “", "++ "}
     df = spark.createDataFrame(texts, "id long, t string")
     phrases = spark.createDataFrame([(p,) for p in book], "phrase string")
     want = sorted((i, p) for i, t in texts for p in book if re.search(r"\b" + re.escape(p) + r"\b", t.lower()))
