@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwork.functions import severity as S, variants as V
 from siftwork.functions.numbers import whole_int
@@ -118,26 +118,40 @@ def is_terminal(status: Column) -> Column:
     return s.isin("completed", "failed", "error", "cancelled", "blocked")
 
 
-def bridge_verdicts(findings: DataFrame, status: DataFrame, gate: str = "P1") -> DataFrame:
-    """Verdict per run of ``status(run_id, status, waited)``, with the bridge's blocking rule."""
-    counts = severity_counts(findings)
-    out = status.join(counts, "run_id", "left")
-    out = out.withColumns({s.lower(): F.coalesce(s.lower(), F.lit(0)) for s in SEVERITIES})
-    total = S.blocking_total(gate, {s: F.col(s.lower()) for s in SEVERITIES})
-    return out.withColumn("blocking", total).withColumn(
+def bridge_verdicts(findings: DataFrame, status: DataFrame, gate: str = "P1", parity: bool = False) -> DataFrame:
+    """Verdict per run of ``status(run_id, status, waited)``, with the bridge's blocking rule.
+
+    Counts cover all findings; those whose ``decision`` is ``ask`` or ``allow`` do not block. With
+    ``parity`` the decision is not looked at.
+    """
+    severity = F.upper(strip(F.coalesce("severity", F.lit(""))))
+    free = F.lit(False)
+    if "decision" in findings.columns and not parity:
+        free = F.coalesce(F.col("decision").isin("ask", "allow"), F.lit(False))
+    counts = findings.groupBy("run_id").agg(
+        *_count_columns(severity), *[F.count_if((severity == s) & ~free).alias(f"_{s}") for s in SEVERITIES]
+    )
+    out = status.join(counts, "run_id", "left").fillna(0, [*(s.lower() for s in SEVERITIES), *(f"_{s}" for s in SEVERITIES)])
+    total = S.blocking_total(gate, {s: F.col(f"_{s}") for s in SEVERITIES})
+    return out.withColumn("blocking", total).drop(*(f"_{s}" for s in SEVERITIES)).withColumn(
         "verdict", S.verdict(F.col("blocking"), F.col("waited"), F.col("status"))
     )
 
 
 def run_timeouts(triggers: DataFrame, samples: DataFrame, wait_seconds: int = 900) -> DataFrame:
-    """Per triggered run: whether a terminal status came within the wait limit."""
-    ended = samples.filter(is_terminal(F.col("status"))).groupBy("run_id").agg(F.min("ts").alias("ended_at"))
+    """Per trigger: the first terminal status at or after it, and whether that came within the wait limit.
+
+    Ends before a trigger belong to something else. One row per trigger; a run's triggers and ends are ordered together,
+    so a trigger is not paired with every end.
+    """
+    starts = triggers.select("run_id", F.col("started_at").alias("_at"), F.lit(True).alias("_start"))
+    ends = samples.filter(is_terminal(F.col("status"))).select("run_id", F.col("ts").alias("_at"), F.lit(False).alias("_start"))
+    # A trigger sorts before an end of the same moment.
+    later = Window.partitionBy("run_id").orderBy("_at", F.desc("_start")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ordered = starts.unionByName(ends).withColumn("ended_at", F.min(F.when(~F.col("_start"), F.col("_at"))).over(later))
     limit = F.col("started_at") + F.make_dt_interval(secs=F.lit(wait_seconds))
-    return (
-        triggers.select("run_id", "started_at")
-        .join(ended, "run_id", "left")
-        .withColumn("timed_out", F.coalesce(F.col("ended_at") > limit, F.lit(True)))
-    )
+    found = ordered.filter("_start").select("run_id", F.col("_at").alias("started_at"), "ended_at")
+    return found.withColumn("timed_out", F.coalesce(F.col("ended_at") > limit, F.lit(True)))
 
 
 # ---- ranked report ----
@@ -181,15 +195,23 @@ def omitted_counts(findings: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
 
 
 def report_rows(top: DataFrame, repo: Column, commit: Column) -> DataFrame:
-    """Display columns of ranked findings: shortened texts, locator and link."""
+    """Display columns of ranked findings: shortened texts, locator and link.
+
+    Takes findings and loose rows alike: ``category`` goes before the tool, and ``impact`` is shown where there is one.
+    """
+
+    def own(name: str) -> Column:
+        return F.col(name) if name in top.columns else F.lit(None).cast("string")
+
     return top.select(
         "run_id",
         "rank",
-        F.upper("severity").alias("severity"),
+        first_text(F.upper(strip(F.col("severity"))), F.lit("P3")).alias("severity"),
         F.when(F.col("line") > 0, F.concat_ws(":", "file", "line")).otherwise(F.col("file")).alias("locator"),
         permalink(repo, commit, F.col("file"), F.col("line")).alias("link"),
         shorten(first_text(F.col("title"), F.col("description"), F.lit("Finding"))).alias("title"),
-        shorten(first_text(F.col("tool"), F.col("gate_id"), F.lit("review")), 80).alias("category"),
+        shorten(first_text(own("category"), own("tool"), own("gate_id"), F.lit("review")), 80).alias("category"),
+        shorten(own("impact"), 220).alias("impact"),
         shorten(F.col("recommended_fix"), 240).alias("fix"),
     )
 
@@ -198,7 +220,10 @@ def report_rows(top: DataFrame, repo: Column, commit: Column) -> DataFrame:
 
 
 def loose_findings(rows: DataFrame) -> DataFrame:
-    """Fields of external findings ``(run_id, seq, raw VARIANT)`` that merging and reports need."""
+    """Fields of external findings ``(run_id, seq, raw VARIANT)`` that merging and reports need, and the whole row.
+
+    The columns from ``title`` on are those of ``report_rows``; an empty severity is P3 there.
+    """
     raw = F.col("raw")
     path, line = locator(
         F.try_variant_get(raw, "$.scope", "variant"),
@@ -219,6 +244,13 @@ def loose_findings(rows: DataFrame) -> DataFrame:
                 V.text_at(raw, "$.finding_fingerprint"), V.text_at(raw, "$.fingerprint"), V.text_at(raw, "$.finding_id")
             )
         ).alias("given"),
+        first_text(V.text_at(raw, "$.category"), V.text_at(raw, "$.tool"), V.text_at(raw, "$.gateId"), V.text_at(raw, "$.gate_id")).alias("category"),
+        V.text_at(raw, "$.description").alias("description"),
+        V.text_at(raw, "$.impact").alias("impact"),
+        first_text(
+            V.text_at(raw, "$.remediation_guidance"), V.text_at(raw, "$.recommended_fix"), V.text_at(raw, "$.recommendedFix")
+        ).alias("recommended_fix"),
+        raw.alias("raw"),
     )
 
 

@@ -61,6 +61,13 @@ def discover_specs(files: DataFrame, limit: int = SPEC_MAX_FILES) -> DataFrame:
     return top_per_group(unique, ["run_id"], [F.col("score"), F.col("path_key")], limit, rank="rank")
 
 
+def spec_counts(files: DataFrame, limit: int = SPEC_MAX_FILES) -> DataFrame:
+    """Per run: specification candidates, and how many of them ``discover_specs`` leaves out."""
+    found = clean_paths(files.filter(is_spec_candidate(F.col("path"), F.col("size"))).withColumn("seq", F.lit(0)))
+    n = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return n.withColumn("omitted", F.greatest(F.col("candidates") - limit, F.lit(0)).cast("long"))
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the normal form; null for text that is empty by then."""
     return F.nullif(F.sha2(normal_form(text), 256), F.sha2(F.lit("").cast("binary"), 256))
@@ -80,8 +87,12 @@ def manifest_hash(sources: DataFrame, files: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(entry)).alias("_list")
     )
     manifest = F.to_json(F.transform("_list", lambda x: x["e"]))
-    return listed.select(
-        "run_id", F.size("_list").cast("long").alias("files"), F.sha2(ascii_json(manifest), 256).alias("manifest_hash")
+    # A run none of whose files has content has no hash.
+    every = sources.select("run_id").distinct().join(listed, "run_id", "left")
+    return every.select(
+        "run_id",
+        F.coalesce(F.size("_list"), F.lit(0)).cast("long").alias("files"),
+        F.when(F.col("_list").isNotNull(), F.sha2(ascii_json(manifest), 256)).alias("manifest_hash"),
     )
 
 

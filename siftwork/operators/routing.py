@@ -79,18 +79,38 @@ def persona_buckets(routes: DataFrame, per_persona: int = FILES_PER_PERSONA) ->
     )
 
 
+def remaining_files(routes: DataFrame, per_persona: int = FILES_PER_PERSONA) -> DataFrame:
+    """The owned files that ``routed_files`` leaves for a later round, as rows."""
+    first = routed_files(routes, per_persona).select("run_id", "persona", "file")
+    return routes.filter(F.col("persona").isNotNull()).select("run_id", "persona", "file").join(first, ["run_id", "persona", "file"], "left_anti")
+
+
 def unrouted_files(routes: DataFrame) -> DataFrame:
     """Files nobody owns, as rows: their number has no bound."""
     return routes.filter(F.col("persona").isNull()).select("run_id", "file")
 
 
-def dispatch_summary(routes: DataFrame, persona_findings: DataFrame | None = None) -> DataFrame:
-    """Per run: personas to invoke, number of unrouted files, number of persona findings."""
-    out = routes.groupBy("run_id").agg(
-        # The set is bounded by the persona list.
+def dispatch_summary(
+    routes: DataFrame,
+    persona_findings: DataFrame | None = None,
+    failures: DataFrame | None = None,
+    per_persona: int = FILES_PER_PERSONA,
+) -> DataFrame:
+    """Per run: personas to invoke, unrouted files, files past the limit of their persona, persona findings.
+
+    ``failures(run_id, persona)`` names personas that were invoked and gave no report.
+    """
+    n = F.col("_n")
+    out = routes.groupBy("run_id", "persona").agg(F.count(F.lit(1)).alias("_n")).groupBy("run_id").agg(
+        # The sets are bounded by the persona list.
         F.sort_array(F.collect_set("persona")).alias("personas"),
-        F.count_if(F.col("persona").isNull()).alias("unrouted"),
+        F.coalesce(F.sum(F.when(F.col("persona").isNull(), n)), F.lit(0)).alias("unrouted"),
+        F.coalesce(F.sum(F.when(F.col("persona").isNotNull(), F.greatest(n - per_persona, F.lit(0)))), F.lit(0)).alias("remaining"),
     )
+    if failures is not None:
+        lost = failures.groupBy("run_id").agg(F.sort_array(F.collect_set("persona")).alias("failed_personas"))
+        out = out.join(lost, "run_id", "left")
+        out = out.withColumn("failed_personas", F.coalesce("failed_personas", F.array().cast("array<string>")))
     if persona_findings is None:
         return out.withColumn("persona_findings", F.lit(0).cast("long"))
     n = persona_findings.groupBy("run_id").agg(F.count(F.lit(1)).alias("persona_findings"))

@@ -36,11 +36,35 @@ def _severity(rule: Rule) -> str:
     return word if word in SEVERITIES else "P2"
 
 
-def scannable(files: DataFrame, excluded: Sequence[str] | None = None) -> DataFrame:
-    """Files of ``(file, size, ...)`` inside the size limit and outside excluded directories."""
-    keep = F.col("size") <= MAX_FILE_BYTES
+def scannable(files: DataFrame, excluded: Sequence[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files of ``(file, size, ...)`` inside the size limit and outside excluded directories.
+
+    ``too_large`` has the files beyond the limit; give them to ``skipped_findings``.
+    """
+    return _outside(files, excluded).filter(F.col("size") <= max_bytes)
+
+
+def too_large(files: DataFrame, excluded: Sequence[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    return _outside(files, excluded).filter(F.col("size") > max_bytes).withColumn("skipped", F.lit("too large"))
+
+
+def _outside(files: DataFrame, excluded: Sequence[str] | None) -> DataFrame:
     args = (tuple(excluded),) if excluded is not None else ()
-    return files.filter(keep & ~in_excluded_dir(F.col("file"), *args))
+    return files.filter(~in_excluded_dir(F.col("file"), *args))
+
+
+def skipped_findings(files: DataFrame) -> DataFrame:
+    """One finding to look at per file of ``(run_id, file, skipped)`` that was not scanned; it counts as an ask."""
+    return as_findings(
+        files.filter(F.col("skipped").isNotNull()),
+        gate_id=F.lit("policy"),
+        tool=F.lit("forbid-patterns"),
+        severity=F.lit("P2"),
+        title=F.lit("File was not scanned"),
+        description=F.concat(F.lit("File was not scanned: "), "skipped"),
+        rule_id=F.lit("policy:not-scanned"),
+        decision=F.lit("ask"),
+    )
 
 
 def _scoped(file: Column, glob: str | None) -> Column:

@@ -22,18 +22,6 @@ def pinned(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if c not in cols], F.inline(F.array(row)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a small input among all cores; an input with more splits stays as it is.
-
-    A small file is one split whatever its rows cost to process. On large data the splits outnumber
-    the cores and nothing is moved.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from siftwork.functions.paths import EXCLUDED_DIRS
 from siftwork.operators.scan import MAX_FILE_BYTES
 
-SCHEMA = "run_id string, file string, size long, text string"
+SCHEMA = "run_id string, file string, size long, text string, skipped string"
 
 
 class _Folder(InputPartition):
@@ -63,20 +63,20 @@ class _TreeReader(DataSourceReader):
                     elif e.name not in self.excluded and e.is_file():
                         if partition.parts > 1 and zlib.crc32(os.fsencode(e.name)) % partition.parts != partition.part:
                             continue
-                        row = self._row(e)
-                        if row:
-                            yield row
-
-    def _row(self, entry: os.DirEntry) -> tuple | None:
-        try:
-            size = entry.stat().st_size
-            if size > self.max_bytes:
-                return None
-            with open(entry.path, encoding="utf-8", newline="") as f:
-                text = f.read()
-        except (OSError, UnicodeDecodeError):
-            return None
-        return self.run_id, os.path.relpath(entry.path, self.root).replace(os.sep, "/"), size, text
+                        yield self._row(e)
+
+    def _row(self, entry: os.DirEntry) -> tuple:
+        """A file that cannot be opened or read fails the scan: a broken disk is not a clean tree."""
+        size, text, skipped = entry.stat().st_size, None, None
+        if size > self.max_bytes:
+            skipped = "too large"
+        else:
+            try:
+                with open(entry.path, encoding="utf-8", newline="") as f:
+                    text = f.read()
+            except UnicodeDecodeError:
+                skipped = "not text"
+        return self.run_id, os.path.relpath(entry.path, self.root).replace(os.sep, "/"), size, text, skipped
 
 
 class SourceTree(DataSource):
@@ -92,13 +92,23 @@ class SourceTree(DataSource):
 
 
 def scan_files(
-    spark: SparkSession, root: str, run_id: str | None = None, partitions: int | None = None, excluded: tuple[str, ...] = ()
+    spark: SparkSession,
+    root: str,
+    run_id: str | None = None,
+    partitions: int | None = None,
+    excluded: tuple[str, ...] = (),
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
-    """``(run_id, file, size, text)`` of the readable text files under ``root``."""
+    """``(run_id, file, size, text, skipped)`` of the files under ``root``.
+
+    ``skipped`` says why a file has no text: it is larger than ``max_bytes`` or not UTF-8. Give those
+    rows to ``scan.skipped_findings``.
+    """
     spark.dataSource.register(SourceTree)
     reader = spark.read.format("source_tree")
     if run_id:
         reader = reader.option("run_id", run_id)
+    reader = reader.option("max_bytes", str(max_bytes))
     if excluded:
         reader = reader.option("excluded", ",".join(excluded))
     n = partitions or spark.sparkContext.defaultParallelism * 4

@@ -16,15 +16,24 @@ class BadFindings(ValueError):
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of JSON-lines files with source ``file_name``, ``raw`` VARIANT and ``bad`` flag."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), strip(F.col("value")).alias("value"))
+    """Non-blank lines of JSON-lines files with source ``file_name``, ``raw`` VARIANT and ``bad`` flag.
+
+    ``position`` orders the lines of a file: the byte at which the line's split of the file begins,
+    plus the number of the row in its task. A line has a byte at least, so splits do not overlap.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_name"),
+        (F.col("_metadata.file_block_start") + row).alias("position"),
+        strip(F.col("value")).alias("value"),
+    )
     lines = pinned(lines.filter(F.col("value") != ""), raw=V.parse(F.col("value")))
     return lines.withColumn("bad", ~V.is_object(F.col("raw")))
 
 
 def read_loose(spark: SparkSession, path: str) -> DataFrame:
     """Object rows only; malformed lines and other JSON values are skipped."""
-    return read_rows(spark, path).filter(~F.col("bad")).select("file_name", "raw")
+    return read_rows(spark, path).filter(~F.col("bad")).select("file_name", "position", "raw")
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +57,7 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     if not rows.filter("bad").isEmpty():
         first = bad_lines(spark, path).orderBy("file_name", "line").first()
         raise BadFindings(f"{first.file_name}: line {first.line} is {first.why}")
-    return rows.select("file_name", "raw")
+    return rows.select("file_name", "position", "raw")
 
 
 def finding_columns(rows: DataFrame, parity: bool = False) -> DataFrame:
@@ -85,14 +94,15 @@ def finding_columns(rows: DataFrame, parity: bool = False) -> DataFrame:
 def read_findings(spark: SparkSession, path: str, mode: str = "skip", parity: bool = False) -> DataFrame:
     """Findings of JSON-lines files. ``mode`` is ``skip`` or ``strict``.
 
-    ``run_id`` is the ``run_id=`` folder of the file where there is one, else the file's name.
+    ``run_id`` is the ``run_id=`` folder of the file where there is one, else the file's name. ``seq``
+    is the row's own, else its position in the file.
     """
     rows = read_strict(spark, path) if mode == "strict" else read_loose(spark, path)
     folder = F.regexp_extract("file_name", r"run_id=([^/]+)", 1)
     run = F.coalesce(F.nullif(folder, F.lit("")), F.substring_index("file_name", "/", -1))
     own = V.text_at(F.col("raw"), "$.runId")
     with_run = rows.withColumn("run_id", F.coalesce(own, run))
-    return finding_columns(with_run.withColumn("seq", F.coalesce(F.try_variant_get("raw", "$.seq", "long"), F.lit(0))), parity)
+    return finding_columns(with_run.withColumn("seq", F.coalesce(F.try_variant_get("raw", "$.seq", "long"), F.col("position"))), parity)
 
 
 def read_judge_json(spark: SparkSession, path: str) -> DataFrame:

@@ -10,31 +10,42 @@ from siftwork.schemas import JSON_KEYS, SEVERITIES
 
 
 def json_findings(findings: DataFrame) -> DataFrame:
-    """Findings under their on-disk keys."""
-    return findings.select("run_id", *[F.col(c).alias(k) for c, k in JSON_KEYS.items()])
+    """Findings under their on-disk keys, with their number in the feed."""
+    return findings.select("run_id", "seq", *[F.col(c).alias(k) for c, k in JSON_KEYS.items()])
 
 
 def write_findings(findings: DataFrame, path: str, by_run: bool = True, mode: str = "overwrite") -> None:
     """JSON lines with nulls kept, one folder per run.
 
-    With very many runs pass ``by_run=False``: the run then is a key of each row.
+    Rows are placed by run first, so that a run has few files; a large run is split. With very many
+    runs pass ``by_run=False``: the run then is a key of each row.
     """
     rows = json_findings(findings)
     if by_run:
-        rows.write.mode(mode).partitionBy("run_id").option("ignoreNullFields", "false").json(path)
+        rows.hint("rebalance", "run_id").write.mode(mode).partitionBy("run_id").option("ignoreNullFields", "false").json(path)
     else:
         rows.withColumnRenamed("run_id", "runId").write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def run_summaries(verdicts: DataFrame, gate_results: DataFrame, threshold: str) -> DataFrame:
-    """One row per run: counts, gates, blocking, ask count. A run has as many gate rows as gates."""
+def run_summaries(verdicts: DataFrame, gate_results: DataFrame, threshold: str, policies: DataFrame | None = None, dispatch: DataFrame | None = None) -> DataFrame:
+    """One row per run: counts, gates, blocking, ask count. A run has as many gate rows as gates.
+
+    ``policies`` has a row per run (``run_id`` and what to tell of its policy: status, path, version,
+    ...), ``dispatch`` is ``routing.dispatch_summary``; each becomes a struct of the summary.
+    """
     gates = gate_results.groupBy("run_id").agg(
         F.sort_array(
             F.collect_list(F.struct("gate_id", "status", "finding_count", "error_message"))
         ).alias("gates")
     )
     counts = F.struct(*[F.col(s.lower()).alias(s) for s in SEVERITIES])
-    return verdicts.join(gates, "run_id", "left").select(
+    blocks = {"policy": policies, "persona_dispatch": dispatch}
+    out = verdicts.join(gates, "run_id", "left")
+    for name, block in blocks.items():
+        if block is not None:
+            body = F.struct(*[c for c in block.columns if c != "run_id"]).alias(name)
+            out = out.join(block.select("run_id", body), "run_id", "left")
+    return out.select(
         "run_id",
         counts.alias("counts"),
         "gates",
@@ -42,6 +53,7 @@ def run_summaries(verdicts: DataFrame, gate_results: DataFrame, threshold: str)
         F.lit(threshold).alias("fail_severity"),
         "ask_count",
         "verdict",
+        *[name for name, block in blocks.items() if block is not None],
     )
 
 
@@ -50,7 +62,15 @@ def write_summaries(summaries: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def write_merged(merged: DataFrame, path: str, mode: str = "overwrite", keys: Sequence[str] = ("run_id",)) -> None:
-    """Merged findings, keys in alphabetical order, one folder per run."""
+    """Merged findings as JSON lines, keys in alphabetical order, one folder per run.
+
+    Rows that carry their ``raw`` VARIANT are written as they came, every key of theirs; others by column.
+    """
+    merged = merged.hint("rebalance", *keys)
+    if "raw" in merged.columns:
+        # A variant keeps the keys of its objects sorted.
+        merged.select(*keys, F.to_json("raw").alias("value")).write.mode(mode).partitionBy(*keys).text(path)
+        return
     rest = sorted(c for c in merged.columns if c not in keys and c != "feed_rank")
     merged.select(*keys, *rest).write.mode(mode).partitionBy(*keys).option("ignoreNullFields", "false").json(path)
 

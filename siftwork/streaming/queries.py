@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
 
 from siftwork.operators import fixes, gates, quota
 
@@ -13,7 +13,7 @@ from siftwork.operators import fixes, gates, quota
 def severity_windows(findings: DataFrame, delay: str = "10 minutes", width: str = "1 day") -> DataFrame:
     """Severity counts per run and event-time window; a window is final once the watermark passes it.
 
-    Rows that come after that are dropped; ``late_rows`` tells how many.
+    Rows that come after that are dropped; ``LateRows`` counts them.
     """
     w = F.window("ts", width)
     return (
@@ -24,9 +24,27 @@ def severity_windows(findings: DataFrame, delay: str = "10 minutes", width: str
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the stateful operators of a running or ended query dropped as too late, of its recent batches."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful operators drop as too late, per query name, over a query's whole life.
+
+    ``spark.streams.addListener(LateRows())`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str | None, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name, 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[p.name] = self.dropped.get(p.name, 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def unique_findings(findings: DataFrame, delay: str = "1 day", spread: int = 16) -> DataFrame:
@@ -55,7 +73,8 @@ def run_ends(triggers: DataFrame, samples: DataFrame, wait_seconds: int = 900, d
 
     An outer join in event time: Spark keeps a trigger until the watermark passes its limit and then
     emits it with nulls, which is the timeout. Terminal samples after the limit do not match.
-    A run with several terminal samples in time gives one row per sample.
+    One row per trigger, with its first end in time; it comes out once the limit has passed, as an
+    earlier end may still arrive before.
     """
     t = triggers.select("run_id", "started_at").withWatermark("started_at", delay).alias("t")
     s = (
@@ -68,8 +87,11 @@ def run_ends(triggers: DataFrame, samples: DataFrame, wait_seconds: int = 900, d
     on = (
         (F.col("t.run_id") == F.col("s.run_id")) & (F.col("s.ts") >= F.col("t.started_at")) & (F.col("s.ts") <= limit)
     )
-    return t.join(s, on, "left_outer").select(
-        "t.run_id", "t.started_at", F.col("s.ts").alias("ended_at"), F.col("s.status"), F.col("s.ts").isNull().alias("timed_out")
+    met = t.join(s, on, "left_outer").select("t.run_id", "t.started_at", F.struct("s.ts", "s.status").alias("end"))
+    # Grouped by the event time itself, so a trigger's row comes out once no earlier end can follow.
+    first = met.groupBy("run_id", F.window("started_at", "1 microsecond").alias("at")).agg(F.min("started_at").alias("started_at"), F.min_by("end", "end.ts").alias("end"))
+    return first.select(
+        "run_id", "started_at", F.col("end.ts").alias("ended_at"), F.col("end.status").alias("status"), F.col("end.ts").isNull().alias("timed_out")
     )
 
 

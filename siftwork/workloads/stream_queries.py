@@ -110,7 +110,7 @@ def stream_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# An open trigger is given up once the watermark, the slower of the two inputs less ten minutes, passes its limit.
+# A trigger's row comes out once the watermark, the slower of the two inputs less ten minutes, passes its limit.
 _ENDS_SQL = f"""
     SELECT t.run_id, t.event_id, t.ts + INTERVAL 7200 SECOND < (SELECT least(max(ts) FILTER (kind = 'signup'),
         max(ts) FILTER (kind IN ('error', 'purchase'))) - INTERVAL 10 MINUTE FROM ({EVENTS_SQL})) AS closed, count(s.event_id) AS n
@@ -121,8 +121,8 @@ _ENDS_SQL = f"""
 
 @query(
     "stream_run_ends",
-    f"""SELECT run_id, count(*) FILTER (n = 0) AS timed_out, CAST(sum(n) AS BIGINT) AS ended
-        FROM ({_ENDS_SQL}) WHERE n > 0 OR closed GROUP BY run_id""",
+    f"""SELECT run_id, count(*) FILTER (n = 0) AS timed_out, count(*) FILTER (n > 0) AS ended
+        FROM ({_ENDS_SQL}) WHERE closed GROUP BY run_id""",
 )
 def stream_run_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups trigger runs; errors and purchases of the same user end them if within two hours."""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftwork.functions import numbers as N, paths as P, text as X, variants as V
 from siftwork.functions.severity import normal_counts
 from siftwork.operators import events as E, gates, policy, profile
-from siftwork.plans.pin import pinned, spread
+from siftwork.plans.pin import pinned
 from siftwork.operators.scan import prepare_rules, rejected_rules, scannable
 from siftwork.workloads.inputs import EVENTS_SQL, WS_SQL, by_kind, events, table, text
 from siftwork.workloads.registry import query
@@ -239,7 +239,7 @@ def dependency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spec_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree per source; the language decides the folder."""
-    d = spread(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     n = F.col("doc_id").cast("string")
     path = (
         F.when(F.col("lang") == "en", F.concat(F.lit("docs\\spec-"), n, F.lit(".md")))
@@ -267,6 +267,16 @@ def spec_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORMAL_SQL = f"trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f]+(\\n|$)', '\\1', 'g'), {WS_SQL})"
 
 
+@query(
+    "spec_counts",
+    """SELECT source AS run_id, count(*) AS candidates, greatest(count(*) - 24, 0) AS omitted
+        FROM documents WHERE lang <> 'fr' AND n_chars <= 512000 GROUP BY source""",
+)
+def spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a run, and those past the limit."""
+    return profile.spec_counts(spec_files(spark, sf_dir).drop("text"))
+
+
 @query(
     "content_manifest",
     f"""SELECT run_id, count(*) AS files, sha256('[' || string_agg('{{"content_hash":"' || sha256(n) || '","path":"' || path || '"}}', ',' ORDER BY lower(path))
@@ -280,7 +290,7 @@ def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("content_hashes", f"SELECT doc_id, CASE WHEN n <> '' THEN sha256(n) END AS hash FROM (SELECT doc_id, {_NORMAL_SQL} AS n FROM documents)")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", profile.content_hash(F.col("text")).alias("hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", profile.content_hash(F.col("text")).alias("hash"))
 
 
 # ---- text ----
@@ -292,7 +302,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)""",
 )
 def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", X.shorten(F.col("text")).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.shorten(F.col("text")).alias("short"))
 
 
 @query(
@@ -302,7 +312,7 @@ def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
          trim(regexp_replace(html, '[^A-Za-z0-9_.-]+', '-', 'g').regexp_replace('-+', '-', 'g'), '-')[:64] AS suffix FROM pages""",
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         X.file_slug(F.col("url")).alias("file_slug"),
         X.branch_slug(F.col("html")).alias("branch_slug"),

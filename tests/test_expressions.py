@@ -202,5 +202,8 @@ def test_spec_discovery_and_manifest(spark):
     assert rows(found, "rank", "path", "score") == [(1, "spec.md", 0), (2, "docs/Spec-b.md", 30), (3, "x/Design-n.txt", 60)]
     entries = [{"path": p, "content_hash": hashlib.sha256(t.encode()).hexdigest()} for p, t in (("docs/Spec-b.md", "b"), ("spec.md", "a"))]
     want = hashlib.sha256(json.dumps(entries, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    lone = spark.createDataFrame([("empty", 1, "no/such.md")], "run_id string, seq int, path string")
+    bare = profile.manifest_hash(lone, files.select("run_id", "path", "text"))
+    assert rows(bare, "run_id", "files", "manifest_hash") == [("empty", 0, None)]
     got = profile.manifest_hash(found.select("run_id", F.col("rank").alias("seq"), "path"), files.select("run_id", "path", "text"))
     assert rows(got) == [("r", 2, want)]

@@ -96,4 +96,7 @@ def test_ownership_and_routing(spark):
     assert rows(routing.persona_buckets(routes)) == [("b", "backend", ["e.ts", "src/a.ts"])]
     assert rows(routing.persona_buckets(routes, 1)) == [("b", "backend", ["e.ts"])]
     assert rows(routing.unrouted_files(routes), "file") == [("b.ts",), ("d.ts",)]
-    assert rows(routing.dispatch_summary(routes)) == [("b", ["backend"], 2, 0)]
+    assert rows(routing.dispatch_summary(routes)) == [("b", ["backend"], 2, 0, 0)]
+    assert rows(routing.remaining_files(routes, 1)) == [("b", "backend", "src/a.ts")]
+    lost = spark.createDataFrame([("b", "backend")], "run_id string, persona string")
+    assert rows(routing.dispatch_summary(routes, found, lost, 1), "unrouted", "remaining", "failed_personas", "persona_findings") == [(2, 1, ["backend"], 7)]

@@ -123,3 +123,22 @@ def test_run_status(spark):
     ]
     started = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string").withColumn("started_at", F.timestamp_seconds(F.lit(0)))
     assert rows(gates.run_timeouts(started, s), "run_id", "timed_out") == [("a", False), ("b", True), ("c", True)]
+
+
+def test_first_end_at_or_after_the_trigger(spark):
+    samples = [("a", 10, "failed"), ("a", 100, "done"), ("a", 100, "completed"), ("a", 160, "error"), ("b", 5, "failed"), ("c", 50, "blocked"), ("c", 70, "failed")]
+    s = spark.createDataFrame(samples, "run_id string, at long, status string").withColumn("ts", F.timestamp_seconds("at"))
+    t = spark.createDataFrame([("a", 20), ("a", 100), ("a", 150), ("a", 161), ("b", 6), ("c", 50), ("d", 1)], "run_id string, at long").withColumn("started_at", F.timestamp_seconds("at"))
+    got = gates.run_timeouts(t, s, 30).select("run_id", F.unix_seconds("started_at"), F.unix_seconds("ended_at"), "timed_out")
+    assert sorted(map(tuple, got.collect())) == [
+        ("a", 20, 100, True), ("a", 100, 100, False), ("a", 150, 160, False), ("a", 161, None, True), ("b", 6, None, True), ("c", 50, 50, False), ("d", 1, None, True),
+    ]
+
+
+def test_asks_do_not_block_the_bridge(spark):
+    found = spark.createDataFrame([("a", "P0", "ask"), ("b", "P0", None), ("c", "P1", "allow"), ("c", "P1", "deny")], "run_id string, severity string, decision string")
+    runs = spark.createDataFrame([(r, "completed", True) for r in "abc"], "run_id string, status string, waited boolean")
+    assert rows(gates.bridge_verdicts(found, runs), "run_id", "p0", "p1", "blocking", "verdict") == [
+        ("a", 1, 0, 0, "passed"), ("b", 1, 0, 1, "blocked"), ("c", 0, 2, 1, "blocked"),
+    ]
+    assert rows(gates.bridge_verdicts(found, runs, parity=True), "verdict") == [("blocked",)] * 3

@@ -1,9 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import gates
+from siftwork.operators import gates, scan
+from siftwork.operators.scan import Rule
 from siftwork.schemas import FINDING_SCHEMA
 from siftwork.sources import findings as source, sinks
 from siftwork.sources.files import scan_files
@@ -25,9 +27,15 @@ def test_source_tree(spark, tmp_path):
     for i in range(40):
         (tmp_path / f"flat{i}.md").write_text(str(i))
     for parts in (1, 4, 64):
-        got = {r.file: r.text for r in scan_files(spark, str(tmp_path), "run", parts, ("own",)).collect()}
+        files = scan_files(spark, str(tmp_path), "run", parts, ("own",))
+        got = {r.file: r.text for r in files.filter("skipped IS NULL").collect()}
         want = {k: v for k, v in tree.items() if v != "no"} | {f"flat{i}.md": str(i) for i in range(40)}
         assert got == want
+        assert {(r.file, r.skipped, r.text) for r in files.filter("skipped IS NOT NULL").collect()} == {("bin.dat", "not text", None), ("big.txt", "too large", None)}
+    found = scan.scan_rules(files, [Rule("x")]).unionByName(scan.skipped_findings(files))
+    assert {"big.txt", "bin.dat"} <= {r.file for r in found.filter("decision = 'ask'").collect()}
+    assert gates.run_verdicts(files, found).first().ask_count == 2
+    assert scan_files(spark, str(tmp_path), "run", max_bytes=1 << 30).filter("skipped IS NOT NULL").count() == 1
     assert scan_files(spark, str(tmp_path), "run").select("run_id").distinct().collect()[0].run_id == "run"
 
 
@@ -71,6 +79,44 @@ def test_reports(spark, tmp_path):
     assert rows(read_reports(spark, str(tmp_path))) == [("run1", "osv-scanner", "{}"), ("run1", "tsc", "a\nb")]
 
 
+def test_unreadable_file_fails_the_scan(spark, tmp_path):
+    (tmp_path / "a.py").symlink_to(tmp_path / "b.py")
+    (tmp_path / "b.py").write_text("x")
+    assert scan_files(spark, str(tmp_path)).count() == 2
+    (tmp_path / "loop").mkdir()
+    (tmp_path / "f.py").write_text("x")
+    (tmp_path / "f.py").chmod(0)
+    if os.access(tmp_path / "f.py", os.R_OK):
+        pytest.skip("this user reads everything")
+    with pytest.raises(Exception, match="Permission"):
+        scan_files(spark, str(tmp_path)).count()
+
+
+def test_feed_order_survives_files(spark, tmp_path):
+    lines = [json.dumps({"gateId": "g", "title": f"t{k}", "file": "f" * (k % 50)}) for k in range(3000)]
+    (tmp_path / "feed.jsonl").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        back = source.read_findings(spark, str(tmp_path))
+        assert back.rdd.getNumPartitions() > 3
+        got = [r.title for r in back.orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [f"t{k}" for k in range(3000)]
+
+
+def test_merged_rows_keep_every_key(spark, tmp_path):
+    docs = ['{"title":"T","zeta":{"b":[1,null],"a":""},"impact":"","severity":"P1"}', '{"title":"T","severity":"P1","other":1}', '{"fingerprint":"x","n":1.5}']
+    df = spark.createDataFrame([("r", i, d) for i, d in enumerate(docs)], "run_id string, seq long, j string")
+    rows_ = gates.loose_findings(df.select("run_id", "seq", F.parse_json("j").alias("raw")))
+    fp = gates.fingerprint(*[F.col(c) for c in ("given", "severity", "kind", "file", "line", "title")])
+    keyed = rows_.withColumn("fingerprint", fp)
+    sinks.write_merged(gates.merge_feeds(keyed, keyed), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out").rglob("part-*"))
+    assert sorted(text.splitlines()) == ['{"fingerprint":"x","n":1.5}', '{"impact":"","severity":"P1","title":"T","zeta":{"a":"","b":[1,null]}}']
+
+
 @pytest.mark.parametrize("by_run", [True, False])
 def test_round_trip(spark, tmp_path, by_run):
     data = [("r1", 0, "g", "t", "P1", "f", 3, "caf\u00e9 \"q\"", "", None, 0.5, None, "e", "deny"), ("r2", 0, "g", "t", "P3", "f", 0, "T", "d", "id", 1.0, "fix", None, None)]
@@ -79,7 +125,7 @@ def test_round_trip(spark, tmp_path, by_run):
     sinks.write_findings(df, out, by_run)
     back = source.read_findings(spark, out + "/*" if by_run else out, mode="strict")
     assert rows(back) == rows(df)
-    line = next(p for p in (tmp_path / "out").rglob("*.json")).read_text().splitlines()[0]
+    line = next(p for p in (tmp_path / "out").rglob("*.json") if p.stat().st_size).read_text().splitlines()[0]
     assert {"gateId", "recommendedFix", "decision"} <= set(json.loads(line))
 
 

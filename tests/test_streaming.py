@@ -1,6 +1,7 @@
 """Streams in several micro-batches give what the batch operators give."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,22 +81,31 @@ def test_late_rows_are_counted(spark, tmp_path):
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "seq long, run_id string, severity string, at long")
     src = stream_of(spark, df.withColumn("ts", F.timestamp_seconds("at")), tmp_path, "seq", 6)
     at = folder(spark)
-    q = S.severity_windows(src).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/c")
+    late = S.LateRows()
+    spark.streams.addListener(late)
+    q = S.severity_windows(src).writeStream.queryName("windows").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/c")
     q = q.trigger(availableNow=True).start()
     q.awaitTermination()
-    assert S.late_rows(q) == 1
+    for _ in range(100):  # events reach listeners a little later
+        if late.dropped.get("windows"):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.dropped["windows"] == 1
     assert rows(spark.read.parquet(f"{at}/rows"), "p0", "p1") == [(0, 1), (1, 0), (1, 0)]
 
 
 def test_run_ends_time_out(spark, tmp_path):
-    data = [("a", 10, "queued"), ("a", 100, "completed"), ("b", 200, "queued"), ("b", 1200, "failed"), ("c", 90_000, "queued"), ("z", 99_000, "queued"), ("z", 99_001, "failed")]
+    data = [("a", 10, "queued"), ("a", 100, "completed"), ("b", 200, "queued"), ("b", 1200, "failed"), ("c", 90_000, "queued"), ("z", 99_000, "queued"), ("z", 99_001, "failed"), ("z", 99_003, "error"), ("q", 250_000, "queued"), ("q", 250_001, "failed")]
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "seq long, run_id string, at long, status string")
     src = stream_of(spark, df.withColumn("ts", F.timestamp_seconds("at")), tmp_path, "seq", 7)
     triggers = src.filter("status = 'queued'").select("run_id", F.col("ts").alias("started_at"))
     at = folder(spark)
     out = S.run_ends(triggers, src.select("run_id", "ts", "status"))
     run(out.writeStream.format("parquet").option("path", f"{at}/rows"), at)
-    assert rows(spark.read.parquet(f"{at}/rows"), "run_id", "timed_out") == [("a", False), ("b", True), ("c", True), ("z", False)]
+    ended = F.unix_seconds("ended_at")
+    # One row per trigger with its first end; the last trigger is still open.
+    assert rows(spark.read.parquet(f"{at}/rows").select("run_id", "timed_out", ended)) == [("a", False, 100), ("b", True, None), ("c", True, None), ("z", False, 99_001)]
 
 
 def test_shared_folder_is_the_clusters(spark):
