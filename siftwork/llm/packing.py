@@ -27,7 +27,7 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 TASK_TOKENS = 6_000_000
 K1, B = 1.2, 0.75
-_CACHED = 1_200_000  # words, and word stems, that a worker remembers; about 25 bytes each
+_CACHED = 800_000  # words, and word stems, that a worker remembers; about 25 bytes each
 
 # A stem of Latin letters and the marks behind it are one token group each by the vocabulary's rule; apostrophes are not.
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -83,8 +83,14 @@ class WordIds:
             self.words, self.groups = _Known(self.type), _Known(self.type)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(ids), self.type), np.fromiter(map(len, ids), np.int64, len(ids))
+        """Ids of all texts, one behind the other, and how many each has."""
+        flat, size = [np.zeros(0, self.type)], [np.zeros(0, np.int64)]
+        # The tokenizer's result for a text is far larger than its ids, so few are alive at a time.
+        for k in range(0, len(texts), 2000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(ids), self.type))
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.concatenate(flat), np.concatenate(size)
 
     def _of_groups(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that are one token group each."""
