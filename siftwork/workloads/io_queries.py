@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.functions import variants as V
-from siftwork.operators import gates, normalize
+from siftwork.operators import gates, normalize, scan
 from siftwork.plans.pin import exploded, pinned
 from siftwork.plans.ranking import first_per_group
 from siftwork.plans.session import shared_folder
 from siftwork.schemas import as_findings
 from siftwork.sources import findings as source, sinks
-from siftwork.workloads.inputs import CHAT_HITS_SQL, DOC_HITS_SQL, EVENTS_SQL, WS_SQL, by_kind, events, report_rows_sql, reports, table
+from siftwork.sources.files import scan_files
+from siftwork.sources.reports import read_reports
+from siftwork.workloads.inputs import (
+    CHAT_HITS_SQL, DOC_FILE_SQL, DOC_HITS_SQL, EVENTS_SQL, RULES, WS_SQL, by_kind, events, report_rows_sql, reports, table,
+)
 from siftwork.workloads.registry import query
 from siftwork.workloads.scan_queries import chat_findings, doc_findings
 
@@ -213,3 +219,89 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", *[F.col(f"counts.{s}").alias(s.lower()) for s in ("P0", "P1", "P2", "P3")], "blocking", "verdict",
         F.array_join(shown, ",").alias("gates"),
     )
+
+
+def _files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write each row's ``payload`` to the file ``name`` below the folder, from the tasks; the names that were written."""
+
+    def write(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for name, payload in zip(names, batch.column("payload").to_pylist()):
+                fs.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                    f.write(payload.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+
+    return rows.select("name", "payload").mapInArrow(write, "name string")
+
+
+@query(
+    "reports_read",
+    f"""SELECT run_id, tool, severity, file, line, title FROM ({report_rows_sql('tflint')}) WHERE run_id || tool || title IN (
+          SELECT first(run_id || 'tflint' || 'Event ' || event_id ORDER BY event_id) FROM ({EVENTS_SQL}) WHERE kind <> 'signup' GROUP BY run_id)
+        UNION ALL SELECT run_id, tool, severity, file, line, title FROM ({report_rows_sql('tsc')}) WHERE run_id || tool || title IN (
+          SELECT first(run_id || 'tsc' || 'Event ' || event_id ORDER BY event_id) FROM ({EVENTS_SQL}) WHERE kind <> 'signup' GROUP BY run_id)""",
+)
+def reports_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first readable report of two tools of each run, as files of a folder per run, read back and normalised."""
+    raw = reports(spark, sf_dir, "tflint", "tsc").join(events(spark, sf_dir).filter("kind <> 'signup'").select("event_id"), "event_id")
+    first = first_per_group(raw, ["run_id", "tool"], [F.col("event_id")])
+    ending = F.when(F.col("tool") == "tsc", ".txt").otherwise(".json")
+    folder = fresh_folder(spark)
+    _files(first.withColumn("name", F.concat("run_id", F.lit("/"), "tool", ending)), folder).count()
+    found = normalize.normalize_reports(read_reports(spark, folder))
+    return found.select("run_id", "tool", "severity", "file", F.col("line").cast("long").alias("line"), "title")
+
+
+@query(
+    "tree_scan",
+    f"""SELECT run_id, file, line, rule_no, CAST(NULL AS VARCHAR) AS skipped FROM (SELECT 'tree' AS run_id, file, line, CAST(rule_no AS BIGINT) AS rule_no FROM ({DOC_HITS_SQL})
+          WHERE file IN (SELECT {DOC_FILE_SQL} FROM documents WHERE lang <> 'fr' AND strlen(text) <= 2000))
+        UNION ALL SELECT 'tree', {DOC_FILE_SQL}, 0, 0, 'File was not scanned: too large' FROM documents WHERE lang <> 'fr' AND strlen(text) > 2000""",
+)
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a source tree, some in an excluded folder; files past the size limit come out as findings."""
+    d = table(spark, sf_dir, "documents")
+    file = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+    name = F.when(F.col("lang") == "fr", F.concat(F.lit("node_modules/"), file)).otherwise(file)
+    folder = fresh_folder(spark)
+    _files(d.select(name.alias("name"), F.col("text").alias("payload")), folder).count()
+    files = scan_files(spark, folder, "tree", max_bytes=2000)
+    found = scan.scan_rules(files, RULES).unionByName(scan.skipped_findings(files))
+    return found.select("run_id", "file", F.col("line").cast("long").alias("line"), F.col("seq").alias("rule_no"), F.when(F.col("rule_id") == "policy:not-scanned", F.col("description")).alias("skipped"))
+
+
+@query(
+    "judge_files",
+    f"""SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY event_id) - 1 AS BIGINT) AS n, 'Event ' || event_id AS title FROM ({EVENTS_SQL})""",
+)
+def judge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One judge file per run, a list or an object with findings, read by the reader."""
+    item = F.to_json(F.struct(F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title")))
+    # A run's file is one JSON text by its format.
+    listed = events(spark, sf_dir).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))).alias("items"))
+    body = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ",\n"), F.lit("]"))
+    body = F.when(F.length("run_id") % 2 == 0, F.concat(F.lit('{"findings":'), body, F.lit("}"))).otherwise(body)
+    folder = fresh_folder(spark)
+    _files(listed.select(F.concat("run_id", F.lit(".json")).alias("name"), body.alias("payload")), folder).count()
+    back = source.read_judge_json(spark, folder)
+    run = F.regexp_extract("file_name", r"([^/]+)\.json$", 1)
+    return back.select(run.alias("run_id"), F.col("seq").cast("long").alias("n"), V.text_at(F.col("raw"), "$.title").alias("title"))
+
+
+@query(
+    "custom_gate",
+    f"""SELECT run_id, gate_id, count(*) AS n FROM (SELECT run_id, 'slow' AS gate_id FROM ({EVENTS_SQL}) WHERE value > 300
+          UNION ALL SELECT run_id, 'policy' FROM ({DOC_HITS_SQL})) GROUP BY run_id, gate_id""",
+)
+def custom_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's gate, held to the schema, beside the scan."""
+
+    def gate(e: DataFrame) -> DataFrame:
+        slow = e.filter(F.col("value") > 300)
+        return slow.select("run_id", F.lit("slow").alias("gate_id"), F.lit("timer").alias("tool"), F.lit("P2").alias("severity"), "file", F.lit("Slow").alias("title"))
+
+    found = gates.combine(gates.run_custom_gate(events(spark, sf_dir), gate), doc_findings(spark, sf_dir))
+    return found.groupBy("run_id", "gate_id").agg(F.count(F.lit(1)).alias("n"))

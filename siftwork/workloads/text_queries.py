@@ -309,14 +309,18 @@ def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "slugs",
     """SELECT page_id, coalesce(nullif(left(trim(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), '.-'), 160), ''), 'manual-trigger') AS file_slug,
          lower(trim(regexp_replace(html, '[^A-Za-z0-9]+', '-', 'g'), '-'))[:60] AS branch_slug,
-         trim(regexp_replace(html, '[^A-Za-z0-9_.-]+', '-', 'g').regexp_replace('-+', '-', 'g'), '-')[:64] AS suffix FROM pages""",
+         trim(regexp_replace(html, '[^A-Za-z0-9_.-]+', '-', 'g').regexp_replace('-+', '-', 'g'), '-')[:64] AS suffix,
+         'findings-run-' || page_id || '-2' || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-p.' || page_id ELSE '-x-y' END AS name FROM pages""",
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    part = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("/p."), n, F.lit(" "))).when(F.col("page_id") % 3 == 2, "-x /- y--").otherwise("--")
     return table(spark, sf_dir, "pages").select(
         "page_id",
         X.file_slug(F.col("url")).alias("file_slug"),
         X.branch_slug(F.col("html")).alias("branch_slug"),
         X.artifact_suffix(F.col("html")).alias("suffix"),
+        X.artifact_name(F.concat(F.lit("run-"), n), F.lit(2), part).alias("name"),
     )
 
 
@@ -350,7 +354,8 @@ def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lenient_numbers",
     f"""SELECT event_id, CASE kind WHEN 'click' THEN value WHEN 'error' THEN -line - 0.5 WHEN 'view' THEN line * 1000.0 END AS d,
           CAST(CASE kind WHEN 'click' THEN floor(value) WHEN 'error' THEN -line WHEN 'view' THEN line * 1000 END AS BIGINT) AS n,
-          CAST(CASE kind WHEN 'signup' THEN NULL WHEN 'view' THEN NULL WHEN 'click' THEN CASE WHEN value = line THEN NULL END END AS BIGINT) AS w
+          CAST(CASE kind WHEN 'click' THEN line WHEN 'error' THEN -line WHEN 'purchase' THEN NULL WHEN 'signup' THEN 9223372036854775807 END AS BIGINT) AS w,
+          CAST(CASE kind WHEN 'click' THEN line WHEN 'error' THEN -line END AS INTEGER) AS i
         FROM ({EVENTS_SQL})""",
 )
 def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +365,14 @@ def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), F.col("value").cast("string"), F.lit("\n")), F.concat(F.lit("-"), n, F.lit(".5")),
         text("1.0f"), text("0x1A"), F.concat(F.lit("+"), n, F.lit("e3")),
     )
-    return e.select("event_id", N.lenient_double(raw).alias("d"), N.lenient_long(raw).alias("n"), N.whole_long(raw).alias("w"))
+    # Signs and white space, one past the largest number, the largest, and no whole number.
+    whole = by_kind(
+        F.concat(F.lit(" +"), n, F.lit("\n")), F.concat(F.lit("-00"), n), text("9223372036854775808"), text("9223372036854775807"),
+        F.concat(n, F.lit(".0")),
+    )
+    return e.select(
+        "event_id", N.lenient_double(raw).alias("d"), N.lenient_long(raw).alias("n"), N.whole_long(whole).alias("w"), N.whole_int(whole).alias("i")
+    )
 
 
 @query(
@@ -381,10 +393,15 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "csv_lists",
-    f"SELECT event_id, kind || '|' || file AS items, CAST(2 AS BIGINT) AS n FROM ({EVENTS_SQL})",
+    f"""SELECT event_id, CASE WHEN k < 30 THEN kind || '|' || file WHEN k < 60 THEN kind || '|' || kind || '|x y' ELSE '' END AS items,
+          CAST(CASE WHEN k < 30 THEN 2 WHEN k < 60 THEN 3 ELSE 0 END AS BIGINT) AS n FROM ({EVENTS_SQL})""",
 )
 def csv_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = X.csv_items(F.concat(F.lit(" ,"), "kind", F.lit(" ,, "), "file", F.lit(",")))
+    k = F.col("k")
+    raw = F.when(k < 30, F.concat(F.lit(" ,"), "kind", F.lit(" ,, "), "file", F.lit(","))).when(
+        k < 60, F.concat("kind", F.lit(","), "kind", F.lit(" , x y\t"))
+    ).otherwise(F.lit(" , ,"))
+    items = X.csv_items(raw)
     return events(spark, sf_dir).select("event_id", F.array_join(items, "|").alias("items"), F.size(items).cast("long").alias("n"))
 
 
