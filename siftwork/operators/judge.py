@@ -139,21 +139,19 @@ def judge(
     words = F.concat_ws(" ", "title", "description")
     hays = {"exclusion": F.concat_ws(" ", words, "category"), "precedent": words}
     tested = pinned(c, _early=early)
-    # Whether a phrase occurs depends on the words alone, so hits are found per distinct text and come back by its hash.
-    for kind, hay in hays.items():
-        tested = tested.withColumn(f"_at_{kind}", F.when(F.col("_early").isNull(), F.sha2(F.encode(F.concat_ws(":", F.lit(kind), hay), "UTF-8"), 256)))
+    # Whether a phrase occurs depends on the words alone, so hits come back by a hash of the words.
+    key = F.when(F.col("_early").isNull(), F.sha2(F.encode(F.concat_ws("\0", "title", "description", "category"), "UTF-8"), 256))
+    tested = tested.withColumn("_at", key)
     stays = tested.filter(F.col("_early").isNull()).select(
-        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_at_{k}").alias("_at"), h.alias("hay")) for k, h in hays.items()]))
+        "_at", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hay")) for k, h in hays.items()]))
     )
-    hits = phrase_hits(stays.distinct(), phrases, ["_at"], "hay", on=["kind"], carry_text=True).select("kind", "_at").distinct()
-    flagged = tested
-    for kind in hays:
-        own = hits.filter(F.col("kind") == kind).select(F.col("_at").alias(f"_at_{kind}"), F.lit(True).alias(f"_{kind}"))
-        flagged = lookup(flagged, own, [f"_at_{kind}"])
+    hits = phrase_hits(stays, phrases, ["_at"], "hay", on=["kind"], carry_text=True)
+    # Exclusions are tested before precedents, and come first by name.
+    flagged = lookup(tested, hits.groupBy("_at").agg(F.min("kind").alias("_kind")), ["_at"])
     failed = F.coalesce(
         F.col("_early"),
-        F.when(F.col("_exclusion"), fail("exclusion", F.lit("matches hard exclusion"))),
-        F.when(F.col("_precedent"), fail("precedent", F.lit("matches known-safe precedent"))),
+        F.when(F.col("_kind") == "exclusion", fail("exclusion", F.lit("matches hard exclusion"))),
+        F.when(F.col("_kind") == "precedent", fail("precedent", F.lit("matches known-safe precedent"))),
     )
     rule = strip(F.coalesce(F.col("_rule"), F.lit("")))
     fallback = F.when(F.col("category") != "", F.concat(F.lit("llm:"), F.col("category"))).otherwise("llm:unknown")
