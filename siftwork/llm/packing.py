@@ -8,6 +8,7 @@ The last neighbour is cut where the window ends and its rest is the next seed, s
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain
@@ -27,7 +28,7 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 TASK_TOKENS = 6_000_000
 K1, B = 1.2, 0.75
-_CACHED = 800_000  # words, and word stems, that a worker remembers; about 25 bytes each
+_CACHED = 1_200_000  # words, and word stems, that a worker remembers; about 25 bytes each
 
 # A stem of Latin letters and the marks behind it are one token group each by the vocabulary's rule; apostrophes are not.
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -75,6 +76,8 @@ class WordIds:
 
     def load(self) -> None:
         if self.tokenizer is None:
+            # Spark's tasks are the parallelism; the library's own threads would compete with them.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
