@@ -3,7 +3,8 @@
 A score of junk is fitted on one half of the labelled documents. On the other half, the holdout, cutoffs are tested per
 stratum (language): a cutoff may be used only if an exact binomial bound says that it rejects at most a stated share of the
 good documents. Per stratum the cutoffs are tested in a fixed order, from the one that rejects least, until the first that
-fails, which needs no correction; over the strata the error probability is divided by their number (Bonferroni).
+fails, which needs no correction; over the strata the error probability is divided by their number (Bonferroni), without
+those whose holdout is too small for any cutoff.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ ERROR = 0.1  # probability that any stratum's limit is broken
 FIT_ROWS = 20_000  # labelled documents that the score is fitted on, at most
 # Shares of the good documents of the fitting half that the tested cutoffs reject there, in the order of the tests.
 TRIED = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008, 0.012, 0.016)
+QUANTILES = 20_000  # accuracy of the tried cutoffs' places; exact up to about as many good documents
 # A good document that is lost counts as much as so many junk documents that stay.
 PRICE = 10.0
 # The symbols that are counted.
@@ -154,56 +156,75 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.mapInArrow(apply, "doc_id long, stratum string, junk boolean, holdout boolean, x array<double>")
 
 
+def _score_column(rules: Rules):
+    """The score of ``rules`` from the array ``x`` of features."""
+    total = F.lit(float(rules.weights[0]))
+    for i in range(len(FEATURES)):
+        z = (F.col("x")[i] - F.lit(float(rules.mean[i]))) / F.lit(float(rules.scale[i]))
+        total = total + F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z)) * F.lit(float(rules.weights[i + 1]))
+    return total
+
+
+def testable(sizes: dict[str | None, int], most: float, error: float) -> list[str | None]:
+    """The strata whose holdouts have enough good documents to certify a cutoff when the error is divided among them.
+
+    ``sizes`` are numbers of good documents in the holdout. The choice does not see how many a cutoff rejects, so the bounds
+    hold; strata that could never pass take nothing from the others' share of the error.
+    """
+    order = sorted(sizes, key=lambda s: (-sizes[s], s is not None, s or ""))
+    while order and tail(0, sizes[order[-1]], most) > error / len(order):
+        order.pop()
+    return order
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: float = MOST_REJECTED, error: float = ERROR, fit_rows: int = FIT_ROWS) -> Rules:
     """Fit the score and choose the cutoffs. Without labels of both kinds no document is rejected.
 
-    The fit and the order of the tests use a sample of at most ``fit_rows`` documents, the smallest by a hash of their id;
-    the tests count all labelled documents of the holdout.
+    The weights of the score use a sample of at most ``fit_rows`` documents, the smallest by a hash of their id. Cutoffs to be
+    tried and what they gain count all labelled documents of the fitting half; the tests count all of the holdout.
     """
     from siftwork.llm.common import Scratch
 
-    scratch = Scratch(text_session(docs.sparkSession), "quality")
+    spark = text_session(docs.sparkSession)
+    scratch = Scratch(spark, "quality")
     rows = scratch.keep(labelled(docs, labels), "labelled")
-    fit = rows.filter("not holdout").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()
+    fit = rows.filter("not holdout").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "junk").collect()
     nothing = Rules(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1), {})
     if len({r.junk for r in fit}) < 2:
         return nothing
-    x, junk = np.array([r.x for r in fit]), np.array([r.junk for r in fit])
-    rules = Rules(*fit_score(x, junk.astype(float)), {})
-    score = rules.score(x)
-    stratum = np.array([r.stratum if r.stratum is not None else "\0" for r in fit], dtype=object)
-    tests = {}
-    for s in sorted(set(stratum)):
-        good = np.sort(score[(stratum == s) & ~junk])[::-1]
-        if len(good):
-            # Each cutoff lies between two neighbouring scores of good documents.
-            at = [min(int(f * len(good)), len(good) - 1) for f in TRIED]
-            above = [good[0] + 0.5 if k == 0 else (good[k] + good[k - 1]) / 2 for k in at]
-            tests[None if s == "\0" else s] = sorted(set(above), reverse=True)
-
-    mean, scale, weights = rules.mean, rules.scale, rules.weights
-    z = [F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("x")[i] - F.lit(float(mean[i]))) / F.lit(float(scale[i])))) * F.lit(float(weights[i + 1])) for i in range(len(FEATURES))]
-    total = F.lit(float(weights[0]))
-    for term in z:
-        total = total + term
+    rules = Rules(*fit_score(np.array([r.x for r in fit]), np.array([r.junk for r in fit], float)), {})
+    scored = scratch.keep(rows.select("stratum", "junk", "holdout", _score_column(rules).alias("score")), "scored")
+    mine, held = F.col("junk") | F.col("holdout"), ~F.col("junk") & F.col("holdout")
+    good = F.when(~mine, F.col("score"))
+    strata = scored.groupBy("stratum").agg(
+        F.sum(held.cast("long")).alias("held"), F.max(good).alias("top"), F.percentile_approx(good, [1 - f for f in TRIED], QUANTILES).alias("at")
+    )
+    known = {r.stratum: r for r in strata.filter("held > 0 and top is not null").collect()}
+    strata = testable({s: r.held for s, r in known.items()}, most, error)
+    if not strata:
+        return rules
+    # Each cutoff lies between two neighbouring scores of good documents.
+    grid = spark.createDataFrame([(s, float(v)) for s in strata for v in sorted(set(known[s].at))], "s string, v double")
+    same = F.col("stratum").eqNullSafe(F.col("s"))
+    above = scored.filter(~mine).join(F.broadcast(grid), same).groupBy("s", "v").agg(F.min(F.when(F.col("score") > F.col("v"), F.col("score"))).alias("next")).collect()
+    tests = {s: sorted({(r.v + r.next) / 2 if r.next is not None else r.v + 0.5 for r in above if r.s == s}, reverse=True) for s in strata}
     pairs = [(s, k, float(c)) for s, cuts in tests.items() for k, c in enumerate(cuts)]
-    grid = docs.sparkSession.createDataFrame(pairs, "s string, k int, cut double")
-    held = rows.filter("holdout and not junk").select("stratum", total.alias("score"))
-    counts = held.join(F.broadcast(grid), F.col("stratum").eqNullSafe(F.col("s"))).groupBy("s", "k").agg(F.count("*").alias("n"), F.sum((F.col("score") >= F.col("cut")).cast("long")).alias("hit")).collect()
-    counted = {(r.s, r.k): (r.n, r.hit) for r in counts}
+    grid = spark.createDataFrame(pairs, "s string, k int, cut double")
+    over = F.col("score") >= F.col("cut")
+    counts = scored.join(F.broadcast(grid), same).groupBy("s", "k")
+    counts = counts.agg(*(F.sum((what & over).cast("long")).alias(name) for what, name in ((held, "hit"), (F.col("junk") & ~F.col("holdout"), "bad"), (~mine, "good"))))
+    counted = {(r.s, r.k): r for r in counts.collect()}
     cutoffs = {}
     for s, cuts in tests.items():
-        mine = stratum == ("\0" if s is None else s)
-        bad, good = score[mine & junk], score[mine & ~junk]
         best = 0.0
         for k, cut in enumerate(cuts):
-            n, hit = counted.get((s, k), (0, 0))
-            if not n or tail(hit, n, most) > error / len(tests):
+            r = counted[s, k]
+            if tail(r.hit, known[s].held, most) > error / len(tests):
                 break
-            gain = (bad >= cut).sum() - PRICE * (good >= cut).sum()
+            gain = r.bad - PRICE * r.good
             if gain > best:
                 best, cutoffs[s] = gain, float(cut)
-    return Rules(mean, scale, weights, cutoffs)
+    return Rules(rules.mean, rules.scale, rules.weights, cutoffs)
 
 
 _KINDS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,score:double,base_failed:boolean,kept:boolean>"

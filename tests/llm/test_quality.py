@@ -77,3 +77,22 @@ def test_odd_inputs(spark):
     got = quality.judged(docs, none).select("doc_id", "lang", "quality.kept", "quality.base_failed").collect()
     assert sorted((r.doc_id or 0, r.lang or "", r.kept, r.base_failed) for r in got) == [(0, "", False, True), (1, "", False, True), (3, "", False, False), (3, "en", True, False)]
     assert quality.judged(docs_of(spark, []), none).collect() == []
+
+
+def test_a_stratum_that_the_sample_misses_gets_its_cutoff(spark):
+    rows, labels = corpus(4000)
+    # The rare language has a good share of the documents and next to none of the sample that fits the score.
+    rows = [(i, text, "rare" if i < 1000 else "en") for i, text, _ in rows]
+    docs, known = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = quality.learn(docs, known, fit_rows=20)
+    assert set(rules.cutoffs) == {"rare", "en"}
+    got = {r.doc_id: r.quality.kept for r in quality.judged(docs, rules).select("doc_id", "quality").collect()}
+    junk = [i for i, q, _ in labels if not q and i < 1000]
+    assert sum(not got[i] for i in junk) > 0.9 * len(junk)
+    assert sum(got[i] for i, q, _ in labels if q) > 0.97 * sum(q for _, q, _ in labels)
+
+
+def test_strata_that_cannot_pass_cost_the_others_nothing():
+    sizes = {"en": 1000, "de": 190, None: 170} | {f"x{k}": 3 for k in range(5000)}
+    assert quality.testable(sizes, 0.02, 0.1) == ["en", "de", None]
+    assert quality.testable({"en": 113}, 0.02, 0.1) == [] and quality.testable({}, 0.02, 0.1) == []
