@@ -82,3 +82,39 @@ def test_search_finds_every_neighbour(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         got = {(r.a, r.b): r.n_near for r in simhash.neighbours(df.union(df), Scratch(spark, "test")).collect()}
         assert got == want
+
+
+def test_copies_with_changed_words_are_neighbours(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(20_000)]
+    rows = []
+    for i in range(80):
+        text = [rng.choice(words) for _ in range(rng.choice([200, 500]))]
+        rows.append((2 * i, " ".join(text)))
+        for k in rng.sample(range(len(text)), 1 + i % 3):
+            text[k] = rng.choice(words)
+        rows.append((2 * i + 1, " ".join(text)))
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(40)]
+    got = {r.doc_id: r.n_near for r in simhash.fingerprinted(docs_of(spark, rows)).collect()}
+    assert sum(got[i] == 1 for i in range(160)) >= 154 and not any(got[1000 + i] for i in range(40))
+
+
+def test_wide_search_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (25, 2), dtype=np.uint64)
+    prints = [base]
+    for _ in range(8):
+        flips = np.zeros((25, 2), np.uint64)
+        for i in range(25):
+            for bit in rng.choice(128, rng.integers(0, 15), replace=False):
+                flips[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        prints.append(base ^ flips)
+    p = np.unique(np.concatenate(prints), axis=0)
+    df = spark.createDataFrame([tuple(int(x) for x in r.view(np.int64)) for r in p], "a long, b long")
+    near = [int((simhash.distance(x, p) <= 16).sum()) - 1 for x in p]
+    want = {tuple(int(v) for v in x.view(np.int64)): n for x, n in zip(p, near) if n}
+    for block, deeper in ((2048, (512, 16384)), (2048, (0, 16384)), (7, (0, 1))):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "DEEPER", deeper)
+        got = {(r.a, r.b): r.n_near for r in simhash.neighbours(df, Scratch(spark, "test"), 16).collect()}
+        assert got == want
