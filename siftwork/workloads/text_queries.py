@@ -118,7 +118,7 @@ def excluded_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.regexp_extract("url", "^https?://[^/]+(.*)", 1)
     file = (
         F.when(tail.contains("#top"), F.concat(F.lit("pkg/node_modules"), tail))
-        .when(tail.endswith("/"), F.concat(F.substring(tail, 2, 4096), F.lit(".git/x")))
+        .when(tail.endswith("/"), F.concat(tail.substr(F.lit(2), F.length(tail)), F.lit(".git/x")))
         .otherwise(F.concat(F.lit("builds/.github"), tail))
     )
     rows = p.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("run_id"), file.alias("file"), F.length("html").alias("size"))

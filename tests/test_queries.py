@@ -36,3 +36,13 @@ def test_entry(spark):
 def test_every_query_has_sql():
     assert set(load()[1]) == set(load()[0])
     assert set(load()[0]) <= set(entry.queries())
+
+
+def test_excluded_dirs_of_a_very_long_url(spark, tmp_path):
+    urls = [f"https://a.example/{'d' * 4095}/", f"https://a.example/{'d' * 5000}/", "https://b.example/x"]
+    pages = spark.createDataFrame([(i, u, "html") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = load()[0]["excluded_dirs"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(load()[1]["excluded_dirs"]).fetchall() == [("b.example", 1)]
