@@ -72,6 +72,19 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until they hold about ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.column(text).nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column(text).nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
     """Tables of neighbouring rows that are equal in all (integer) keys; runs of fewer than ``least`` rows are left out.
 
@@ -189,20 +202,7 @@ class Texts:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.zeros(len(self.starts), np.uint64)
-        at = 0
-        with np.errstate(over="ignore"):
-            while at < len(self.starts):
-                low = self.starts[at]
-                end = max(at + 1, int(np.searchsorted(self.ends, low + (1 << 19), "right")))
-                high = self.ends[end - 1]
-                up, down = _tables(int(high - low) + 1)
-                total = np.zeros(high - low + 1, np.uint64)
-                np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
-                s, e = self.starts[at:end] - low, self.ends[at:end] - low
-                out[at:end] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
-                at = end
-        return mix(out)
+        return span_hashes(self.data, self.starts, self.ends)
 
     def windows(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n neighbouring words, and the number of the first window of each text (the total at the end)."""
@@ -214,6 +214,24 @@ class Texts:
         return chain(h, at, n), first
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; the spans come in order and do not overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            low = starts[at]
+            end = max(at + 1, int(np.searchsorted(ends, low + (1 << 19), "right")))
+            high = ends[end - 1]
+            up, down = _tables(int(high - low) + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+            s, e = starts[at:end] - low, ends[at:end] - low
+            out[at:end] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+            at = end
+    return mix(out)
+
+
 def chain(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n values that begin at each place, in order."""
     with np.errstate(over="ignore"):

@@ -9,18 +9,18 @@ The last neighbour is cut where the window ends and its rest is the next seed, s
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import public_tokenizers
-import xxhash
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from siftwork.llm.common import Scratch, Texts, blocks, mix, text_session
+from siftwork.llm.common import Scratch, Texts, blocks, gathered, mix, span_hashes, text_session
 
 WINDOW = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,43 +28,111 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 TASK_TOKENS = 6_000_000
 K1, B = 1.2, 0.75
-_CACHED = 1_200_000  # words, and word stems, that a worker remembers; about 25 bytes each
-
-# A stem of Latin letters and the marks behind it are one token group each by the vocabulary's rule; apostrophes are not.
-_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+GATHERED = 6 << 20  # bytes of text whose groups are looked up at once
+_CACHED = 2_000_000  # groups that a worker remembers; about 30 bytes each
+_JOINED = 1 << 16  # bytes of new groups that one call of the tokenizer gets
+
+# Kinds of bytes. Runs of letters, single digits and runs of marks are one token group each by the vocabulary's rule.
+_LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[list(range(65, 91)) + list(range(97, 123))] = _LETTER
+_KIND[48:58] = _DIGIT
+# An apostrophe may begin a group of its own, so words with one are odd, as are words with control characters.
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
+# The letters of Latin-1 are the byte C3 and one of these.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+
+
+def token_groups(t: Texts, added: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes, the start and end of each token group, and whether a group is a whole odd word.
+
+    A word that holds anything but ASCII letters, digits and marks and Latin-1 letters is one group in its own spelling,
+    as is one that may hold one of the ``added`` tokens.
+    """
+    data, n = t.data, len(t.data)
+    kind = _KIND[data]
+    pair = np.zeros(n, bool)
+    if n > 1:
+        pair[:-1] = (data[:-1] == 0xC3) & _SECOND[data[1:]]
+        second = np.flatnonzero(pair) + 1
+        kind[pair] = _LETTER
+        kind[second] = _LETTER
+        for a, b in {tuple(token.encode()[:2]) for token in added}:
+            kind[:-1][(data[:-1] == a) & (data[1:] == b)] = _ODD
+    kind[~t.word_bytes] = 0
+    total = np.concatenate([[0], np.cumsum(kind == _ODD)])
+    odd = total[t.ends] > total[t.starts]
+    small = _SMALL[data]
+    if n > 1:
+        large = second[data[second] < 0x9F]
+        small[large] = data[large] + 32
+    if odd.any():
+        turn = np.zeros(n + 1, np.int8)
+        turn[t.starts[odd]] += 1
+        turn[t.ends[odd]] -= 1
+        inside = np.cumsum(turn[:-1], dtype=np.int8).astype(bool)
+        kind[inside] = _ODD
+        small[inside] = data[inside]
+    new = kind == _DIGIT
+    new[1:] |= kind[1:] != kind[:-1]
+    new[:1] = True
+    new &= t.word_bytes
+    new[t.starts] = True
+    last = t.word_bytes.copy()
+    last[:-1] &= new[1:] | ~t.word_bytes[1:]
+    starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
+    return small, starts, ends, kind[starts] == _ODD
 
 
 class _Known:
-    """Lists of ids under 64-bit hashes: a sorted array of hashes beside a pool of ids."""
+    """Lists of ids under 64-bit hashes: two sorted arrays of hashes, the newer one merged when it has grown, and a pool of ids."""
 
     def __init__(self, kind: np.dtype):
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, kind)
-
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+        self.count = 0
+        self.levels = [self._level(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        self.pool, self.used = np.zeros(1 << 16, kind), 0
+
+    @staticmethod
+    def _level(keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], at[order], size[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each key begin in the pool (-1: unknown), and how many they are."""
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for own, where, many in self.levels:
+            if len(own):
+                place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[place] == keys
+                at[hit], size[hit] = where[place[hit]], many[place[hit]]
+        return at, size
 
     def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        """Keys that are missing, sorted, with their ids one behind the other."""
-        place = np.searchsorted(self.keys, keys)
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, begin), (self.size, size)))
-        self.pool = np.concatenate([self.pool, ids])
-
-    def get(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of ``keys[back]``, one behind the other, and how many each has."""
-        at = np.searchsorted(self.keys, keys)[back]
-        size = self.size[at]
-        behind = np.cumsum(size)
-        return self.pool[np.arange(int(size.sum())) + np.repeat(self.at[at] - behind + size, size)], size
+        """Keys that are missing, with their ids one behind the other."""
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            pool = np.zeros(max(end, 2 * len(self.pool)), self.pool.dtype)
+            pool[: self.used] = self.pool[: self.used]
+            self.pool = pool
+        self.pool[self.used : end] = ids
+        fresh = (keys, self.used + np.cumsum(size) - size, size)
+        self.used, self.count = end, self.count + len(keys)
+        old, new = self.levels[0], tuple(np.concatenate(x) for x in zip(self.levels[1], fresh))
+        if len(new[0]) * 4 > len(old[0]):
+            old, new = tuple(np.concatenate(x) for x in zip(old, new)), tuple(x[:0] for x in new)
+            old = self._level(*old)
+        self.levels = [old, self._level(*new)]
 
 
 class WordIds:
-    """Token ids of texts, word by word: white space always ends a token here, so words are tokenised once and remembered.
+    """Token ids of texts, group by group: groups of a kind end at other kinds and at white space, so each is tokenised once
+    and remembered under a 64-bit hash.
 
-    Words are known by a 64-bit hash. Give ``by_word=False`` for a tokenizer whose tokens may reach over white space.
+    Give ``by_word=False`` for a tokenizer whose tokens may reach over white space or over kinds of characters.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -81,9 +149,13 @@ class WordIds:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
-            self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-            self.words, self.groups = _Known(self.type), _Known(self.type)
+            vocabulary = self.tokenizer.get_vocab()
+            self.type = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+            self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+            # A group's last token says so.
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            self.known = _Known(self.type)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and how many each has."""
@@ -95,27 +167,26 @@ class WordIds:
             size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
         return np.concatenate(flat), np.concatenate(size)
 
-    def _of_groups(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that are one token group each."""
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
-        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.groups.keys) + len(own) > _CACHED:
-            self.groups = _Known(self.type)
-        new = self.groups.missing(own)
-        if new.any():
-            self.groups.add(own[new], *self._encode([texts[i] for i in first[new]]))
-        return self.groups.get(own, back)
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        split = [_STEM.fullmatch(w) for w in words]
-        simple = np.array([m is not None for m in split], bool)
-        if simple.any():
-            # A stem and its marks; a word without marks has an empty group, which has no ids.
-            ids, size = self._of_groups([g for m in split if m for g in (m[1].lower(), m[2])])
-            size = size.reshape(-1, 2).sum(axis=1)
-            self.words.add(keys[simple], ids, size)
-        if not simple.all():
-            self.words.add(keys[~simple], *self._encode([w for w, m in zip(words, split) if not m]))
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Groups that are not odd, many in one text with spaces between them."""
+        length = ends - starts + 1
+        behind = np.cumsum(length)
+        joined = np.append(data, np.uint8(32))[np.minimum(np.arange(behind[-1]) + np.repeat(starts - behind + length, length), len(data))]
+        joined[behind - 1] = 32
+        at = 0
+        while at < len(keys):
+            begin = behind[at] - length[at]
+            end = max(at + 1, int(np.searchsorted(behind, begin + _JOINED, "right")))
+            ids = np.array(self.tokenizer.encode(joined[begin : behind[end - 1]].tobytes().decode(), add_special_tokens=False).ids, self.type)
+            last = np.flatnonzero(self.closes[ids])
+            if len(last) != end - at or not len(ids) or last[-1] != len(ids) - 1:
+                # A vocabulary that does not close its groups.
+                text = joined.tobytes()
+                ids, size = self._encode([text[b - n : b - 1].decode() for b, n in zip(behind[at:end], length[at:end])])
+            else:
+                size = np.diff(last, prepend=-1)
+            self.known.add(keys[at:end], ids, size)
+            at = end
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         self.load()
@@ -123,16 +194,33 @@ class WordIds:
             ids, size = self._encode([t or "" for t in column.to_pylist()])
             return np.split(ids, np.cumsum(size)[:-1])
         t = Texts(column)
-        keys, first, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
-        new = self.words.missing(keys)
-        if len(self.words.keys) + int(new.sum()) > _CACHED:
-            self.words = _Known(self.type)
-            new[:] = True
+        data, starts, ends, odd = token_groups(t, self.added)
+        # An odd word's hash is of its own kind: "K" is not "k".
+        back, keys = pd.factorize(span_hashes(data, starts, ends) ^ odd.astype(np.uint64))
+        order = np.argsort(keys)  # a search in order is several times faster
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        keys, back = keys[order], rank[back]
+        at, size = self.known.find(keys)
+        new = at < 0
         if new.any():
-            data = t.data.tobytes()
-            self._learn(keys[new], [data[a:b].decode() for a, b in zip(t.starts[first[new]], t.ends[first[new]])])
-        tokens, size = self.words.get(keys, back)
-        cuts = np.concatenate([[0], np.cumsum(size)])[t.first]
+            if self.known.count + int(new.sum()) > _CACHED:
+                self.known = _Known(self.type)
+                new[:] = True
+            first = np.zeros(len(keys), np.int64)
+            first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+            plain, strange = (np.flatnonzero(new & x) for x in (~odd[first], odd[first]))
+            if len(plain):
+                plain = plain[np.argsort(first[plain])]
+                self._learn(keys[plain], data, starts[first[plain]], ends[first[plain]])
+            if len(strange):
+                self.known.add(keys[strange], *self._encode([data[a:b].tobytes().decode() for a, b in zip(starts[first[strange]], ends[first[strange]])]))
+            at, size = self.known.find(keys)
+        at, size = at[back], size[back]
+        behind = np.cumsum(size)
+        total = int(behind[-1]) if len(behind) else 0
+        tokens = self.known.pool[np.arange(total) + np.repeat(at - behind + size, size)]
+        cuts = np.concatenate([[0], behind])[np.searchsorted(starts, t.offsets)]
         return [tokens[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -141,7 +229,7 @@ def tokenised(docs: DataFrame, ids_of: WordIds, end_id: int = END_ID) -> DataFra
 
     def apply(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for b in blocks(batches, "text"):
+        for b in blocks(gathered(batches, "text", GATHERED), "text", GATHERED):
             n, place, ids = [], [], []
             for got in ids_of(b.column("text")):
                 tokens = np.append(got, ids_of.type.type(end_id))
