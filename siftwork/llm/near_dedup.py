@@ -208,6 +208,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if many > CLUSTER_SHINGLES:
             links = scratch.keep(components(links, scratch, "parts"), "roots").select(F.col("node").alias("u"), F.col("root").alias("v"))
     out = sig.select("doc_id", "n_shingles", "fp").join(reps.select("fp", "rep"), "fp", "left")
+    # An id with several texts links the representatives of all its sets.
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("doc_id")
+    several = scratch.keep(out.filter("rep is not null").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "several")
+    if several.head():
+        links = several if links is None else links.select("u", "v").union(several)
+        links = scratch.keep(components(links, scratch, "ids"), "linked").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if links is None:
         out = out.withColumn("v", F.lit(None).cast("long"))
     else:

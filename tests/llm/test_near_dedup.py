@@ -85,3 +85,14 @@ def test_estimate_is_corrected(spark):
         other = np.concatenate([one[:both], rng.integers(0, 1 << 63, 4000 - both, dtype=np.uint64)])
         a, b = (near_dedup.packed(near_dedup.minima(x)) for x in (one, other))
         assert near_dedup.estimates(a, b[None, :])[0] == pytest.approx(share, abs=0.17)
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue pink grey brown", "x y z")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (11, c), (12, d), (12, c), (20, "p q r"), (30, None), (30, a)]
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    parts = {(r.doc_id, r.n_shingles): r.component_id for r in got}
+    assert {i: parts[k] for k in parts for i in [k[0]] if i in (3, 5, 7)} == {3: 3, 5: 3, 7: 3}
+    assert {parts[k] for k in parts if k[0] in (9, 11, 12)} == {9} and parts[20, 1] == 20
+    assert [r.component_id for r in got if r.doc_id == 30 and r.n_shingles] == [3]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
