@@ -73,3 +73,12 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_with_clashing_names_stay(spark, folder):
+    at, rows = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet").withColumns({n: F.lit(n) for n in ("verdict", "_Verdict", "language", "_language", "n", "rank")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns
+        assert out.select("verdict", "_Verdict", "language", "_language", "n", "rank").distinct().collect() == [("verdict", "_Verdict", "language", "_language", "n", "rank")]
