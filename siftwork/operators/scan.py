@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from siftwork.functions import patterns, text as X
 from siftwork.functions.paths import base_name, in_excluded_dir
 from siftwork.functions.severity import known_or_p2
+from siftwork.plans.lookup import lookup
 from siftwork.plans.pin import pinned
 from siftwork.schemas import SEVERITIES, as_findings
 
@@ -212,12 +213,12 @@ def scan_run_rules(files: DataFrame, rules: DataFrame, policy_file: str = "polic
     """Findings where every run brings its own rules, any number of runs.
 
     A run's rules are one array, so a file meets them in one joined row and its lines are made once. Spark broadcasts the
-    arrays when they are small; AQE splits a hot run otherwise.
+    arrays when they are small; else the files of a run go to several places, each with a copy of its array.
     """
     prepared = prepare_rules(rules)
     good = prepared.filter(F.col("reject_kind").isNull()).withColumn("severity", known_or_p2(F.col("severity")))
     listed = good.groupBy("run_id").agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _RULE])).alias("_rules"))
-    met = files.select("run_id", "file", "text").join(listed, "run_id")
+    met = lookup(files.select("run_id", "file", "text"), listed, ["run_id"], "inner")
     found = _matched(met, F.col("_rules"))
     hits = as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
     return hits.unionByName(rejected_rules(prepared, policy_file))

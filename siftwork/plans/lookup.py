@@ -10,7 +10,7 @@ _HASHABLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.Timestamp
 
 
 def lookup(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "left", slices: int = 8) -> DataFrame:
-    """Join ``many`` with ``one`` (a row per key) on ``keys``; ``how`` is ``left`` or ``left_anti``.
+    """Join ``many`` with ``one`` (a row per key) on ``keys``; ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
 
     Where ``one`` comes out of an aggregate on the keys it is already partitioned by them, and a
     plain join would put every row of a hot key into the one task that holds it; AQE does not split
