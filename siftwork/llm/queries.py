@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.llm import katz, langid, mixing, near_dedup, packing, quality, sharding, simhash, url_filter, warc
+from siftwork.llm import katz, langid, mixing, near_dedup, packing, quality, secrets, sharding, simhash, url_filter, vector_codes, warc, whitening
 from siftwork.plans.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under the model that the training documents give."""
     return katz.scored(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.scanned(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and exact errors of every vector."""
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_vector_codes"] = vector_codes.SQL
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
