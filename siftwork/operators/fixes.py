@@ -62,6 +62,14 @@ def admit_fixes(
         )
     else:
         winners = top_per_group(first, ["build_id"], [F.col("first_seq")], limit)
+    return decided(requests, winners, limit)
+
+
+def decided(requests: DataFrame, winners: DataFrame, limit: int = FIX_LIMIT) -> DataFrame:
+    """Decisions on requests where the accepted ids of their builds are known, ``winners(build_id, finding_id, first_seq)``.
+
+    The request with the first ``seq`` of an accepted id is accepted; it is null where that request lies in the past.
+    """
     out = lookup(requests, winners.withColumn("_won", F.lit(True)), ["build_id", "finding_id"])
     won, now = F.col("_won").isNotNull(), F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
     name = F.col("finding_id")

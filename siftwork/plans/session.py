@@ -60,3 +60,11 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="siftwork-")
     return _own_folder[app]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared storage that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.plans.session import shared_folder
+from siftwork.plans.session import remove, shared_folder
 from siftwork.streaming import queries as S
+from siftwork.streaming.stateful import state_settings
 from siftwork.workloads import fix_queries, quota_queries
 from siftwork.workloads.inputs import EVENTS_SQL, by_kind, events, table
 from siftwork.workloads.registry import query
@@ -47,23 +48,26 @@ def run_to_files(spark: SparkSession, stream: DataFrame) -> DataFrame:
         .start()
     )
     q.awaitTermination()
+    remove(spark, f"{at}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def run_batches(spark: SparkSession, stream: DataFrame, mode: str, make) -> str:
-    """Run with a micro-batch function made for a fresh folder; that folder."""
+def run_batches(spark: SparkSession, stream: DataFrame, make) -> str:
+    """Run with a micro-batch function made for a fresh folder; that folder. The checkpoint goes when the input has ended."""
     at = folder(spark)
-    q = (
-        stream.writeStream.foreachBatch(make(f"{at}/out"))
-        .outputMode(mode)
-        .option("checkpointLocation", f"{at}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    writer = stream.writeStream.foreachBatch(make(f"{at}/out")).option("checkpointLocation", f"{at}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    remove(spark, f"{at}/checkpoint")
     return f"{at}/out"
 
 
+def run_state(spark: SparkSession, stream: DataFrame) -> str:
+    """Run an aggregation in update mode for its state alone; the checkpoint that holds it."""
+    at = f"{folder(spark)}/checkpoint"
+    stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return at
+
+
 _SEVERITY = ("P2", "P0", "P1", "P3", "P1")
 _SEVERITY_SQL = "CASE kind WHEN 'click' THEN 'P2' WHEN 'error' THEN 'P0' WHEN 'signup' THEN 'P3' ELSE 'P1' END"
 
@@ -90,11 +94,25 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_files(spark, S.unique_findings(rows, "60 days")).select("run_id", "fingerprint")
 
 
+@query(
+    "stream_merge",
+    f"""SELECT run_id, fingerprint, feed_rank, event_id FROM (
+          SELECT run_id, kind || ':' || k AS fingerprint, CAST(CASE WHEN value >= 60 THEN 0 ELSE 1 END AS INTEGER) AS feed_rank, event_id,
+            row_number() OVER (PARTITION BY run_id, kind, k ORDER BY CASE WHEN value >= 60 THEN 0 ELSE 1 END, event_id) AS n
+          FROM ({EVENTS_SQL})) WHERE n = 1""",
+)
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of high value as the backend's feed, the others as the local one."""
+    e = events(streamed(spark, sf_dir), sf_dir)
+    rank = F.when(F.col("value") >= 60, 0).otherwise(1)
+    rows = e.select("run_id", F.concat_ws(":", "kind", F.col("k").cast("string")).alias("fingerprint"), rank.alias("feed_rank"), F.col("event_id").alias("seq"))
+    return S.merged_state(spark, run_state(spark, S.merged_findings(rows)), rows.schema).withColumnRenamed("seq", "event_id")
+
+
 @query("stream_quota", quota_queries.LATEST_SQL)
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = quota_queries.quota_log(streamed(spark, sf_dir), sf_dir)
-    at = run_batches(spark, S.quota_state(log), "update", S.snapshot_batch)
-    out = S.latest_snapshot(spark, at, "stream_key")
+    out = S.quota_now(spark, run_state(spark, S.quota_state(log)))
     return out.withColumn("reason", F.substring_index("reason", ": util", 1))
 
 
@@ -104,16 +122,17 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = fix_queries.commands(streamed(spark, sf_dir), sf_dir).drop("body")
-    at = run_batches(spark, asked, "append", S.admit_fixes_batch)
+    with state_settings(spark, empty_batches=False):
+        at = run_batches(spark, S.with_accepted(asked), S.decide_batch)
     return S.read_decisions(spark, at).select(
         "build_id", "seq", "finding_id", "accepted", "already_attempted", "rate_limited"
     )
 
 
-# A trigger's row comes out once the watermark, the slower of the two inputs less ten minutes, passes its limit.
+# An end comes out when it arrives; a time-out once the watermark, ten minutes behind the newest row, has passed the limit.
 _ENDS_SQL = f"""
-    SELECT t.run_id, t.event_id, t.ts + INTERVAL 7200 SECOND < (SELECT least(max(ts) FILTER (kind = 'signup'),
-        max(ts) FILTER (kind IN ('error', 'purchase'))) - INTERVAL 10 MINUTE FROM ({EVENTS_SQL})) AS closed, count(s.event_id) AS n
+    SELECT t.run_id, t.event_id, t.ts + INTERVAL 7200 SECOND < (SELECT max(ts) - INTERVAL 10 MINUTE
+        FROM ({EVENTS_SQL}) WHERE kind IN ('signup', 'error', 'purchase')) AS closed, count(s.event_id) AS n
     FROM ({EVENTS_SQL}) t LEFT JOIN ({EVENTS_SQL}) s
       ON s.run_id = t.run_id AND s.kind IN ('error', 'purchase') AND s.ts BETWEEN t.ts AND t.ts + INTERVAL 7200 SECOND
     WHERE t.kind = 'signup' GROUP BY t.run_id, t.event_id, t.ts"""
@@ -122,7 +141,7 @@ _ENDS_SQL = f"""
 @query(
     "stream_run_ends",
     f"""SELECT run_id, count(*) FILTER (n = 0) AS timed_out, count(*) FILTER (n > 0) AS ended
-        FROM ({_ENDS_SQL}) WHERE closed GROUP BY run_id""",
+        FROM ({_ENDS_SQL}) WHERE closed OR n > 0 GROUP BY run_id""",
 )
 def stream_run_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups trigger runs; errors and purchases of the same user end them if within two hours."""
@@ -130,7 +149,8 @@ def stream_run_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     triggers = e.filter(F.col("kind") == "signup").select("run_id", F.col("ts").alias("started_at"))
     status = by_kind(*[F.lit(s) for s in ("running", "failed", "completed", "queued", "queued")])
     samples = e.select("run_id", "ts", status.alias("status"))
-    out = run_to_files(spark, S.run_ends(triggers, samples, wait_seconds=7200))
+    with state_settings(spark):
+        out = run_to_files(spark, S.run_ends(triggers, samples, wait_seconds=7200))
     return out.groupBy("run_id").agg(
         F.count_if("timed_out").alias("timed_out"), F.count("ended_at").alias("ended")
     )
