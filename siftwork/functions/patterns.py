@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from siftwork.functions.paths import glob_regex
@@ -123,6 +124,47 @@ def required_literal(pattern: str) -> str | None:
     return max(best, run, key=len) or None
 
 
+# A rule is found by so many characters of its required text. What is shorter than the least is in most texts, so a rule
+# that requires no more is tried on all of them.
+KEY_CHARS, LEAST_KEY_CHARS = 8, 3
+
+
+def index_key(literal: str | None) -> str | None:
+    """The stretch of a required text by which a text is looked up: the one with most characters that are no small letters."""
+    if literal is None or len(literal) < LEAST_KEY_CHARS:
+        return None
+    starts = range(max(1, len(literal) - KEY_CHARS + 1))
+    return max((literal[k : k + KEY_CHARS] for k in starts), key=lambda s: sum(not c.islower() and c != " " for c in s))
+
+
+def _quoted(c: str) -> str:
+    return c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+
+def any_key_regex(keys: Sequence[str]) -> str:
+    """A Java regex whose group 1 is, at every place where a key begins, the longest such key.
+
+    The keys are a tree of characters, so a place costs a few steps however many keys there are, and a place whose
+    character begins no key costs one. Keys that begin a longer key are found with it.
+    """
+    tree: dict = {}
+    for key in keys:
+        node = tree
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [_quoted(c) + written(after) for c, after in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        return f"(?:{body})?" if "" in node else body
+
+    first = "".join(_quoted(c) for c in sorted(tree))
+    return f"(?=[{first}])(?=({written(tree)}))"
+
+
 def text_gate_is_exact(pattern: str) -> bool:
     """A match in a line is also a match in the whole text.
 

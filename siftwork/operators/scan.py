@@ -76,16 +76,22 @@ def _scoped(file: Column, glob: str | None) -> Column:
 
 # A prepared rule inside the array of rules that a file meets.
 _RULE = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("pattern", "severity", "message", "behavior", "regex", "glob", "literal", "loose")]
+    [T.StructField(n, T.StringType()) for n in ("pattern", "severity", "message", "behavior", "regex", "glob", "literal", "loose", "key")]
     + [T.StructField("rule_no", T.LongType()), T.StructField("gate", T.BooleanType())]
 )
 
 
-def _matched(files: DataFrame, rules: Column) -> DataFrame:
+# From so many rules on, the texts are first looked through for the rules' required texts, all at once.
+INDEXED_RULES = 16
+NO_KEY = "(?!)()"
+
+
+def _matched(files: DataFrame, rules: Column, index: Column | None = None) -> DataFrame:
     """``(run_id, file, line, line_text)`` and the rule, for every rule of the array that matches a line.
 
     One row per file and one per line of files that some rule can match, whatever the number of rules: the rules are
-    elements of an array, so the plan does not grow with them and no text is copied per rule.
+    elements of an array, so the plan does not grow with them and no text is copied per rule. ``index`` is a regex that
+    finds the keys of all rules in one pass over a text; only rules whose key occurs, and those without one, are then tried.
     """
     text, file, line = F.col("text"), F.col("file"), F.col("line_text")
 
@@ -98,7 +104,14 @@ def _matched(files: DataFrame, rules: Column) -> DataFrame:
         held = r["literal"].isNull() | line.contains(r["literal"])
         return held & (r["loose"].isNull() | F.rlike(line, r["loose"])) & F.rlike(line, r["regex"])
 
-    near = pinned(files, _near=F.filter(rules, possible)).filter(F.size("_near") > 0)
+    candidates = rules
+    if index is not None:
+        keys = F.coalesce(F.array_distinct(F.regexp_extract_all(text, index, F.lit(1))), F.array().cast("array<string>"))
+        files = pinned(files, _keys=keys)
+        keyless = F.filter(rules, lambda r: r["key"].isNull())
+        found = F.filter(rules, lambda r: r["key"].isNotNull() & F.exists("_keys", lambda k: k.startswith(r["key"])))
+        candidates = F.when(F.size("_keys") > 0, F.concat(keyless, found)).otherwise(keyless)
+    near = pinned(files, _near=F.filter(candidates, possible)).filter(F.size("_near") > 0)
     lines = X.explode_lines(near.select("run_id", "file", "text", "_near"), "text", "run_id", "file", "_near")
     found = pinned(lines, _hits=F.filter(F.col("_near"), hit)).filter(F.size("_hits") > 0)
     return found.select("run_id", "file", "line", "line_text", F.inline("_hits"))
@@ -138,12 +151,13 @@ def scan_rules(files: DataFrame, rules: Sequence[Rule], policy_file: str = "poli
     """Findings of one rule list on all files of ``(run_id, file, text)``.
 
     The rules are one literal of the plan, so one corpus pass serves all of them, nothing is joined and
-    no row is shuffled. A file is split into lines only if some rule can match its text; inside, a
+    no row is shuffled. Many rules are indexed by the texts that their matches must hold, so a file meets those only whose
+    text it has. A file is split into lines only if some rule can match its text; inside, a
     rule's fixed text is looked for before its regex runs. A rule that cannot be used becomes a denying
     finding of every run and leaves the others as they are.
     """
     jvm = files.sparkSession._jvm
-    prepared = [_checked(jvm, patterns.prepare(r.pattern.strip(), r.in_glob)) for r in rules]
+    prepared = _checked(jvm, [patterns.prepare(r.pattern.strip(), r.in_glob) for r in rules])
     good = [(i, r, p) for i, (r, p) in enumerate(zip(rules, prepared), 1) if p.reject_kind is None]
     bad = [(i, p) for i, p in enumerate(prepared, 1) if p.reject_kind is not None]
     if not rules:
@@ -152,11 +166,14 @@ def scan_rules(files: DataFrame, rules: Sequence[Rule], policy_file: str = "poli
         {
             "rule_no": i, "pattern": r.pattern.strip(), "severity": _severity(r), "message": r.message, "behavior": r.behavior,
             "regex": p.regex, "glob": p.glob, "literal": p.literal, "loose": p.loose, "gate": p.gate,
+            "key": patterns.index_key(p.literal),
         }
         for i, r, p in good
     ]
+    keys = sorted({r["key"] for r in table if r["key"]})
+    index = F.lit(patterns.any_key_regex(keys)) if len(keys) >= INDEXED_RULES else None
     # One literal, whatever the number of rules.
-    found = _matched(files, F.from_json(F.lit(json.dumps(table)), T.ArrayType(_RULE)))
+    found = _matched(files, F.from_json(F.lit(json.dumps(table)), T.ArrayType(_RULE)), index)
     out = as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
     if not bad:
         return out
@@ -165,30 +182,46 @@ def scan_rules(files: DataFrame, rules: Sequence[Rule], policy_file: str = "poli
     return out.unionByName(as_findings(runs, **_rejected_columns(policy_file)))
 
 
-def _checked(jvm, p: patterns.Prepared) -> patterns.Prepared:
-    """The rule, or its rejection where the scan's regex engine refuses one of its patterns."""
-    for regex in (p.regex, p.glob, p.loose):
-        if regex is not None:
-            try:
-                jvm.java.util.regex.Pattern.compile(regex)
-            except (Py4JJavaError, IllegalArgumentException) as exc:
-                return patterns.Prepared("invalid-regex", str(exc).splitlines()[0])
-    return p
+def _refused(compile_, patterns_: Sequence[str]) -> dict[str, str]:
+    """Those of the patterns that the scan's regex engine refuses, with its reason.
+
+    Each is well-formed by itself, so many are tried as alternatives of one; only where that fails are they tried in halves.
+    """
+    try:
+        if patterns_:
+            compile_("|".join(f"(?:{p})" for p in patterns_) if len(patterns_) > 1 else patterns_[0])
+        return {}
+    except (Py4JJavaError, IllegalArgumentException) as exc:
+        if len(patterns_) == 1:
+            return {patterns_[0]: str(exc).splitlines()[0]}
+    half = len(patterns_) // 2
+    return _refused(compile_, patterns_[:half]) | _refused(compile_, patterns_[half:])
+
+
+def _checked(jvm, rules: Sequence[patterns.Prepared]) -> list[patterns.Prepared]:
+    """The rules, those rejected of which the scan's regex engine refuses a pattern."""
+    used = sorted({x for p in rules for x in (p.regex, p.glob, p.loose) if x is not None})
+    refused = _refused(jvm.java.util.regex.Pattern.compile, used)
+    if not refused:
+        return list(rules)
+    reasons = [next((refused[x] for x in (p.regex, p.glob, p.loose) if x in refused), None) for p in rules]
+    return [p if why is None else patterns.Prepared("invalid-regex", why) for p, why in zip(rules, reasons)]
 
 
-_PREPARED = "reject_kind string, reject_reason string, regex string, glob string, literal string, loose string, gate boolean"
+_PREPARED = "reject_kind string, reject_reason string, regex string, glob string, literal string, loose string, gate boolean, key string"
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """Check and translate the rules of ``(run_id, rule_no, pattern, severity, message, in_glob, behavior)``.
 
-    The only Python in a scan; it sees rules, never corpus lines.
+    Python sees rules in a scan, never corpus lines.
     """
     prepare = patterns.prepare
 
     def run(pattern: pd.Series, glob: pd.Series) -> pd.DataFrame:
         rows = [prepare(p, g or None) for p, g in zip(pattern, glob)]
-        return pd.DataFrame(rows, columns=list(patterns.Prepared._fields))
+        out = pd.DataFrame(rows, columns=list(patterns.Prepared._fields))
+        return out.assign(key=[patterns.index_key(x.literal) for x in rows])
 
     udf = F.pandas_udf(run, _PREPARED)
     named = rules.withColumn("pattern", X.strip(F.col("pattern"))).filter(F.col("pattern") != "")
@@ -218,7 +251,15 @@ def scan_run_rules(files: DataFrame, rules: DataFrame, policy_file: str = "polic
     prepared = prepare_rules(rules)
     good = prepared.filter(F.col("reject_kind").isNull()).withColumn("severity", known_or_p2(F.col("severity")))
     listed = good.groupBy("run_id").agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _RULE])).alias("_rules"))
+    # A run with few rules has an index that finds nothing, and all its rules are tried.
+    def index_of(keys: pd.Series) -> pd.Series:
+        return pd.Series([patterns.any_key_regex(sorted(set(k))) if len(k) >= INDEXED_RULES else NO_KEY for k in keys])
+
+    keys = F.filter(F.transform("_rules", lambda r: r["key"]), lambda k: k.isNotNull())
+    listed = pinned(listed, _index=F.pandas_udf(index_of, "string")(keys))
+    few = F.col("_index") == NO_KEY
+    listed = listed.withColumn("_rules", F.when(few, F.transform("_rules", lambda r: r.withField("key", F.lit(None).cast("string")))).otherwise(F.col("_rules")))
     met = lookup(files.select("run_id", "file", "text"), listed, ["run_id"], "inner")
-    found = _matched(met, F.col("_rules"))
+    found = _matched(met, F.col("_rules"), F.col("_index"))
     hits = as_findings(found, **_finding_columns(F.col("rule_no"), F.col("pattern"), F.col("message")))
     return hits.unionByName(rejected_rules(prepared, policy_file))

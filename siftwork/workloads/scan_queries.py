@@ -144,6 +144,27 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "file", long("line"), F.col("seq").alias("rule_no"))
 
 
+# Rules of which hundreds match: secrets by their first two digits, addresses by their first number, mail by its number.
+_FINE_RULES = [(f'token = "{k:02x}', f'token = "{k:02x}[0-9a-f]{{14,}}') for k in range(256)]
+_FINE_RULES += [(f"{k}.", rf"\b{k}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\b") for k in range(1, 256)]
+_FINE_RULES += [(f".{k}@", rf"[a-z]+\.{k}@[a-z0-9.-]+") for k in range(100)]
+_FINE_RULES += [(f"never{k}here", rf"\bnever{k}here\b") for k in range(389)]
+_FINE_SQL = r"""
+    SELECT *, CAST('0x' || unnest(list_distinct(regexp_extract_all(t, 'token = "([0-9a-f]{2})[0-9a-f]{14}', 1))) AS BIGINT) + 1 AS rule_no FROM l
+    UNION ALL SELECT * FROM (SELECT *, 256 + CAST(unnest(list_distinct(regexp_extract_all(t, '\b([1-9][0-9]{0,2})\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', 1))) AS BIGINT) AS rule_no FROM l) WHERE rule_no < 512
+    UNION ALL SELECT *, 512 + CAST(unnest(list_distinct(regexp_extract_all(t, '[a-z]\.(0|[1-9][0-9]?)@[a-z0-9.-]', 1))) AS BIGINT) AS rule_no FROM l"""
+
+
+@query(
+    "many_matching_rules",
+    f"""WITH l AS ({lines_sql("source", DOC_FILE_SQL, "documents")}) SELECT run_id, file, CAST(line AS BIGINT) AS line, rule_no FROM ({_FINE_SQL})""",
+)
+def many_matching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rules with texts of their own, found through their index."""
+    out = scan.scan_rules(files(spark, sf_dir), [Rule(p, "P1") for _, p in _FINE_RULES])
+    return out.select("run_id", "file", long("line"), F.col("seq").alias("rule_no"))
+
+
 _COUNTS_SQL = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in SEVERITIES)
 
 

@@ -165,3 +165,35 @@ def test_a_thousand_rules(spark, corpus):
     start = time.time()
     got = rows(scan.scan_rules(df, RULES + many), *COLS)
     assert got == brute(corpus, RULES) and time.time() - start < 60
+
+
+def test_the_index_finds_every_key():
+    rnd = random.Random(6)
+    letters = "ab(.é\n\\-"
+    for _ in range(300):
+        keys = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 12))}
+        text = "".join(rnd.choice(letters) for _ in range(40))
+        # The same syntax in Python, but for the braces of its escapes.
+        regex = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", patterns.any_key_regex(sorted(keys)))
+        found = {m[1] for m in re.finditer(regex, text)}
+        assert found <= keys
+        assert {k for k in keys if any(f.startswith(k) for f in found)} == {k for k in keys if k in text}
+    assert patterns.index_key("abc") == "abc" and patterns.index_key("ab") is None and patterns.index_key(None) is None
+    assert patterns.index_key("never17here") in "never17here" and "17" in patterns.index_key("never17here")
+
+
+MANY = [Rule(p) for p in ["to+ken", "ken", "k", "(?i)TOKEN", "a|b", "x{2}y", "é.+z", r"\(\)", "end$", "tokens", "oken", "to", "[0-9]+ab", "b-", "-b-c", "c++", "ab", "abc", "bca", "cab"]]
+
+
+def test_indexed_rules_equal_brute_force(spark):
+    rnd = random.Random(9)
+    bits = ["token", "tooken", "xxy", "é", "z", "()", "end", "\n", " ", "12ab", "b-b-c", "cc", "ab", "bc", "ca"]
+    corpus = [(f"r{i % 3}", f"f{i}", "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))) for i in range(150)] + [("r0", "none", None)]
+    df = spark.createDataFrame(corpus, "run_id string, file string, text string")
+    many = [r for r in MANY if r.pattern != "c++"] + [Rule(f"idle{k}x") for k in range(30)]
+    want = brute([c for c in corpus if c[2] is not None], many)
+    assert want and rows(scan.scan_rules(df, many), *COLS) == want
+    table = [(f"r{i}", no, *r) for i in range(3) for no, r in enumerate(many if i else many[:6], 1)]
+    rules = spark.createDataFrame(table, "run_id string, rule_no int, pattern string, severity string, message string, in_glob string, behavior string")
+    few = brute([c for c in corpus if c[2] is not None and c[0] == "r0"], many[:6])
+    assert rows(scan.scan_run_rules(df, rules), *COLS) == sorted([w for w in want if w[0] != "r0"] + few, key=lambda t: tuple((x is not None, str(x)) for x in t))
