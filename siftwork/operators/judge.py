@@ -10,7 +10,7 @@ from siftwork.functions import variants as V
 from siftwork.functions.numbers import is_finite, lenient_double
 from siftwork.functions.paths import inside_base
 from siftwork.functions.text import blank_to_null, first_text, line_array, strip
-from siftwork.operators.phrases import phrase_hits
+from siftwork.operators.phrases import Book, contains_phrase, phrase_book, phrase_hits
 from siftwork.plans.lookup import lookup
 from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
@@ -139,15 +139,11 @@ def judge(
     words = F.concat_ws(" ", "title", "description")
     hays = {"exclusion": F.concat_ws(" ", words, "category"), "precedent": words}
     tested = pinned(c, _early=early)
-    # Whether a phrase occurs depends on the words alone, so hits come back by a hash of the words.
-    key = F.when(F.col("_early").isNull(), F.sha2(F.encode(F.concat_ws("\0", "title", "description", "category"), "UTF-8"), 256))
-    tested = tested.withColumn("_at", key)
-    stays = tested.filter(F.col("_early").isNull()).select(
-        "_at", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hay")) for k, h in hays.items()]))
-    )
-    hits = phrase_hits(stays, phrases, ["_at"], "hay", on=["kind"], carry_text=True)
-    # Exclusions are tested before precedents, and come first by name.
-    flagged = lookup(tested, hits.groupBy("_at").agg(F.min("kind").alias("_kind")), ["_at"])
+    book = phrase_book(phrases, ["kind"])
+    if book:
+        flagged = _flagged_in_place(tested, hays, book)
+    else:
+        flagged = _flagged_by_join(tested, hays, phrases)
     failed = F.coalesce(
         F.col("_early"),
         F.when(F.col("_kind") == "exclusion", fail("exclusion", F.lit("matches hard exclusion"))),
@@ -167,6 +163,35 @@ def judge(
     return out.select(*FINDING_COLUMNS, "category", "_fail.reject_class", "_fail.reject_reason")
 
 
+def _flagged_in_place(tested: DataFrame, hays: Mapping[str, Column], book: Book) -> DataFrame:
+    """``_kind``: the first kind of phrase that a candidate holds. No row moves.
+
+    The exclusion text holds all words of the other, so its words serve both.
+    """
+    lowered = pinned(tested, _hay=F.when(F.col("_early").isNull(), F.struct(*[F.lower(h).alias(k) for k, h in hays.items()])))
+    near = pinned(lowered, _near=F.when(F.col("_hay").isNotNull(), book.candidates(F.col("_hay.exclusion"))))
+
+    def holds(kind: str) -> Column:
+        return F.exists("_near", lambda e: (e["kind"] == kind) & contains_phrase(F.col(f"_hay.{kind}"), e["phrase"]))
+
+    some = F.size("_near") > 0
+    kind = F.when(some & holds("exclusion"), "exclusion").when(some & holds("precedent"), "precedent")
+    return near.withColumn("_kind", kind).drop("_hay", "_near")
+
+
+def _flagged_by_join(tested: DataFrame, hays: Mapping[str, Column], phrases: DataFrame) -> DataFrame:
+    """The same for a phrase list too large for every task."""
+    # Whether a phrase occurs depends on the words alone, so hits come back by a hash of the words.
+    key = F.when(F.col("_early").isNull(), F.sha2(F.encode(F.concat_ws("\0", "title", "description", "category"), "UTF-8"), 256))
+    tested = tested.withColumn("_at", key)
+    stays = tested.filter(F.col("_early").isNull()).select(
+        "_at", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hay")) for k, h in hays.items()]))
+    )
+    hits = phrase_hits(stays, phrases, ["_at"], "hay", on=["kind"], carry_text=True)
+    # Exclusions are tested before precedents, and come first by name.
+    return lookup(tested, hits.groupBy("_at").agg(F.min("kind").alias("_kind")), ["_at"])
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return as_findings(judged.filter(F.col("reject_class").isNull()))
 

@@ -87,7 +87,7 @@ def test_idle_phrases_change_no_verdict(spark):
         assert got == dict(zip([i["title"] for i in items], ["exclusion", None, "precedent", None, "precedent"]))
 
 
-@pytest.mark.parametrize("carry", [True, False])
+@pytest.mark.parametrize("carry", [True, False, None])
 def test_phrase_hits_equal_brute_force(spark, carry):
     rnd = random.Random(11)
     words = ["rate", "limit", "café", "été", "x1", "don", "t", "кот", "c"]
@@ -101,6 +101,32 @@ def test_phrase_hits_equal_brute_force(spark, carry):
     assert sorted(map(tuple, P.phrase_hits(df, phrases, ["id"], "t", carry_text=carry).collect())) == want
 
 
+def test_large_lists_give_the_same_verdicts(spark, monkeypatch):
+    rnd = random.Random(21)
+    words = ["rate", "limit", "café", "log", "url", "++", "safe"]
+    items = [{**BASE, "title": " ".join(rnd.choices(words, k=3)), "description": " ".join(rnd.choices(words, k=3))} for _ in range(60)]
+    df = spark.createDataFrame([("r", i, json.dumps(x)) for i, x in enumerate(items)], "run_id string, seq long, j string").select("run_id", "seq", V.parse(F.col("j")).alias("raw"))
+    book = [("exclusion", "rate limit"), ("exclusion", "log sql"), ("precedent", "url safe"), ("precedent", "++"), ("exclusion", "safe sql"), ("odd", "rate")]
+    args = df, spark.createDataFrame([("sql",)], "category string"), spark.createDataFrame(book, "kind string, phrase string")
+    small = rows(J.judge(*args), "seq", "reject_class")
+    assert {c for _, c in small} == {None, "exclusion", "precedent"}
+    monkeypatch.setattr(P, "BOOK_ROWS", 3)
+    assert P.phrase_book(args[2], ["kind"]) is None
+    assert rows(J.judge(*args), "seq", "reject_class") == small
+
+
+def test_words_without_a_phrase_stay_in_their_partition(spark):
+    texts = spark.range(2000).select("id", F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" common "), (F.col("id") % 7).cast("string")).alias("t"))
+    book = spark.createDataFrame([("word17",), ("no such thing",)], "phrase string")
+    out = P.phrase_hits(texts, book, ["id"], "t", carry_text=True)
+    assert rows(out) == [(17, "word17")]
+    bits = P._key_set(P._book(book, []))
+    kept = texts.select(F.explode(F.filter(P._keys(F.col("t")), lambda k: P._may_be_key(bits, k))).alias("k"))
+    assert kept.count() < 30 and kept.filter("k = 'word17'").count() == 1
+    plan = P.phrase_hits(texts, book, ["id"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_inputs_fail_closed(spark):
     conf = [("ok", "f.json", "/r"), ("skip", "", "/r"), ("gone", "g.json", "/r"), ("out", "../x.json", "/r"), ("bad", "b.jsonl", "/r"), ("odd", "o.json", "/r")]
     files = [("ok", "f.json", '{"findings":[{"a":1},{"a":2}]}'), ("out", "../x.json", "[]"), ("bad", "b.jsonl", '{"a":1}\n{"a":'), ("odd", "o.json", '[{"a":1},7]')]
