@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftwork.plans.session import shared_folder
 
@@ -17,8 +17,8 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 # Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-# A side of at most so many rows of a few numbers may be broadcast (a few dozen MB).
-BROADCAST_ROWS = 1_000_000
+# A side of at most so many bytes may be broadcast; a row of a hash table costs its fixed-width columns and about so much more.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 40
 
 
 def text_session(spark: SparkSession) -> SparkSession:
@@ -56,8 +56,10 @@ class Scratch:
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side of narrow rows whose count was measured and is small; else leave the choice to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Broadcast a side whose rows were counted, where all of its columns are numbers and its bytes are few; else leave the
+    choice to Spark."""
+    fixed = all(isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in df.schema)
+    return F.broadcast(df) if fixed and rows * (ROW_BYTES + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

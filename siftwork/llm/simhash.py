@@ -24,7 +24,7 @@ RADIUS = 3
 COPY_RADIUS = 16
 AGREE = 3
 PAIR_WEIGHT, WORD_WEIGHT = 1.0, 0.5
-BLOCK = 2048  # fingerprints of one table key that a task compares, or a 32nd of all if that is more
+BLOCK = 8192  # fingerprints of one table key that a task compares
 DEEPER = (512, 16384)  # a key with more fingerprints is searched by one further block, or by two
 PAIRS = 1 << 18  # pairs that are compared at a time
 # Documents are sorted in stretches of about so many rows.
@@ -222,15 +222,14 @@ def neighbours(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Dat
     fingerprints share are compared part against part, each pair once.
     """
     distinct = scratch.keep(prints.select("a", "b").distinct(), "distinct")
-    block = max(BLOCK, distinct.count() // 32)
     signed = [[int(x) for x in m.view(np.int64)] for m in _masks(radius)[: radius + 1]]
     key = [F.xxhash64(F.lit(k), F.col("a").bitwiseAND(F.lit(m[0])), F.col("b").bitwiseAND(F.lit(m[1]))) for k, m in enumerate(signed)]
     table = distinct.select("a", "b", F.posexplode(F.array(*key)).alias("t", "key"))
-    hot = scratch.keep(table.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot")
+    hot = scratch.keep(table.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot")
     n_hot = hot.count()
     if n_hot:
         table = table.join(maybe_broadcast(hot, n_hot), ["t", "key"], "left")
-        n = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
+        n = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
         table = table.withColumn("own", F.pmod(F.xxhash64("a", "b", F.lit("block")), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
         table = table.select("a", "b", "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     else:
