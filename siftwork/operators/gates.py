@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwork.functions import severity as S, variants as V
 from siftwork.functions.numbers import whole_int
 from siftwork.functions.text import first_text, permalink, shorten, strip
 from siftwork.operators.normalize import gate_of, parse_failed
+from siftwork.plans.carry import next_known
 from siftwork.plans.lookup import lookup
 from siftwork.plans.ranking import first_per_group, top_per_group
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
@@ -138,17 +139,18 @@ def bridge_verdicts(findings: DataFrame, status: DataFrame, gate: str = "P1", pa
     )
 
 
-def run_timeouts(triggers: DataFrame, samples: DataFrame, wait_seconds: int = 900) -> DataFrame:
+def run_timeouts(triggers: DataFrame, samples: DataFrame, wait_seconds: int = 900, span_seconds: int = 3600) -> DataFrame:
     """Per trigger: the first terminal status at or after it, and whether that came within the wait limit.
 
     Ends before a trigger belong to something else. One row per trigger; a run's triggers and ends are ordered together,
-    so a trigger is not paired with every end.
+    so a trigger is not paired with every end, and in buckets of ``span_seconds``, so a run of any length is spread.
     """
     starts = triggers.select("run_id", F.col("started_at").alias("_at"), F.lit(True).alias("_start"))
     ends = samples.filter(is_terminal(F.col("status"))).select("run_id", F.col("ts").alias("_at"), F.lit(False).alias("_start"))
+    both = starts.unionByName(ends).withColumn("_us", F.unix_micros(F.col("_at").cast("timestamp")))
     # A trigger sorts before an end of the same moment.
-    later = Window.partitionBy("run_id").orderBy("_at", F.desc("_start")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ordered = starts.unionByName(ends).withColumn("ended_at", F.min(F.when(~F.col("_start"), F.col("_at"))).over(later))
+    ended = F.when(~F.col("_start"), F.col("_at"))
+    ordered = next_known(both, "run_id", "_us", [F.col("_at"), F.desc("_start")], ended, "ended_at", span_seconds * 1_000_000)
     limit = F.col("started_at") + F.make_dt_interval(secs=F.lit(wait_seconds))
     found = ordered.filter("_start").select("run_id", F.col("_at").alias("started_at"), "ended_at")
     return found.withColumn("timed_out", F.coalesce(F.col("ended_at") > limit, F.lit(True)))

@@ -1,7 +1,9 @@
-"""Last known value per key, carried forward through an ordered log."""
+"""Last known and next known values per key, through an ordered log cut into buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -42,3 +44,18 @@ def carry_forward(
         F.coalesce(F.last(f"_in_{n}", ignorenulls=True).over(inside), F.col(f"_start_{n}")).alias(n) for n in values
     ]
     return out.select(*[F.col(c) for c in df.columns], *picked)
+
+
+def next_known(df: DataFrame, key: str, at: str, order: Sequence[Column], value: Column, name: str, span: int) -> DataFrame:
+    """Add ``name``, the first non-null ``value`` at or after the row; values never fall along the log.
+
+    The mirror of ``carry_forward``: a key's log is cut into buckets of ``span`` of the whole number ``at``. Each bucket
+    yields its smallest value (a partial aggregate), a window over these summaries gives every bucket the first value of
+    later buckets, and a second window, by ``order``, runs inside buckets only, so a hot key is spread over its buckets.
+    """
+    cut = df.withColumns({"_bucket": F.floor(F.col(at) / span), "_value": value})
+    later = Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    ends = cut.groupBy(key, "_bucket").agg(F.min("_value").alias("_least")).select(key, "_bucket", F.min("_least").over(later).alias("_later"))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = cut.withColumn("_inside", F.min("_value").over(inside)).alias("c").join(ends.alias("e"), (F.col(f"c.{key}").eqNullSafe(F.col(f"e.{key}"))) & (F.col("c._bucket") == F.col("e._bucket")), "left")
+    return found.select(*[F.col(f"c.{c}") for c in df.columns], F.coalesce("c._inside", "e._later").alias(name))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftwork.functions import variants as V
 from siftwork.functions.numbers import lenient_double
-from siftwork.functions.text import explode_lines, first_text, strip
+from siftwork.functions.text import RARE_BREAK, first_text, line_array, strip
 from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import JSON_KEYS, as_findings
 
@@ -15,20 +15,28 @@ class BadFindings(ValueError):
     """A strict read met lines that are not JSON objects."""
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of text files: ``file_name``, ``split`` (the byte at which the line's piece of the file begins), ``row`` (the
+    line's number in its task) and ``value``."""
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("split"), row.alias("row"), "value"
+    )
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    lines = pinned(lines.filter(F.col("value") != ""), raw=V.parse(F.col("value")))
+    return lines.withColumn("bad", ~V.is_object(F.col("raw")))
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of JSON-lines files with source ``file_name``, ``raw`` VARIANT and ``bad`` flag.
 
     ``position`` orders the lines of a file: the byte at which the line's split of the file begins,
     plus the number of the row in its task. A line has a byte at least, so splits do not overlap.
     """
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_name"),
-        (F.col("_metadata.file_block_start") + row).alias("position"),
-        strip(F.col("value")).alias("value"),
-    )
-    lines = pinned(lines.filter(F.col("value") != ""), raw=V.parse(F.col("value")))
-    return lines.withColumn("bad", ~V.is_object(F.col("raw")))
+    lines = _lines(spark, path).select("file_name", (F.col("split") + F.col("row")).alias("position"), strip(F.col("value")).alias("value"))
+    return _parsed(lines)
 
 
 def read_loose(spark: SparkSession, path: str) -> DataFrame:
@@ -36,19 +44,42 @@ def read_loose(spark: SparkSession, path: str) -> DataFrame:
     return read_rows(spark, path).filter(~F.col("bad")).select("file_name", "position", "raw")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of text files with its number in the file, ``line``, from 1; files are read in splits, however large.
+
+    Each split counts its lines, a window over the counts of a file's splits gives every split its first number, and a window
+    inside a split numbers its lines. A line holds ``breaks`` more lines where its text has rarer line breaks than those
+    at which files are cut; they count.
+    """
+    lines = _lines(spark, path)
+    # What follows keeps a break at the end from being dropped.
+    held = F.when(F.col("value").rlike(RARE_BREAK), F.size(line_array(F.concat("value", F.lit("."))))).otherwise(1)
+    lines = lines.withColumn("_n", held.cast("long"))
+    splits = lines.groupBy("file_name", "split").agg(F.sum("_n").alias("_lines"))
+    before = Window.partitionBy("file_name").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file_name", "split", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("file_name", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    out = lines.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["file_name", "split"])
+    return out.select("file_name", (F.col("_start") + F.col("_before") + 1).alias("line"), (F.col("_n") - 1).alias("breaks"), "value")
+
+
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line number of every line that a strict read refuses, per file.
 
-    Line numbers need the file's order, so each file is read as one value; only use it to explain a
-    failure that the line-wise read has already found.
+    A line that holds rarer line breaks is bad as a whole if it is not one object; then each of its lines is tested, and
+    the first is named where all of them are fine by themselves.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), "value")
-    v = V.parse(strip(F.col("line_text")))
-    return (
-        explode_lines(whole, "value", "file_name")
-        .filter((strip(F.col("line_text")) != "") & ~V.is_object(v))
-        .select("file_name", "line", F.when(v.isNull(), "not JSON").otherwise("not an object").alias("why"))
-    )
+    bad = _parsed(numbered_lines(spark, path).withColumns({"text": F.col("value"), "value": strip(F.col("value"))})).filter("bad")
+    whole = F.struct(F.lit(0).cast("long").alias("at"), F.when(F.col("raw").isNull(), "not JSON").otherwise("not an object").alias("why"))
+
+    def tested(line: Column, at: Column) -> Column:
+        v = V.parse(strip(line))
+        why = F.when(strip(line) == "", None).when(v.isNull(), "not JSON").when(~V.is_object(v), "not an object")
+        return F.struct(at.cast("long").alias("at"), why.alias("why"))
+
+    found = F.filter(F.transform(line_array(F.col("text")), tested), lambda t: t["why"].isNotNull())
+    each = F.when((F.col("breaks") == 0) | (F.size(found) == 0), F.array(whole)).otherwise(found)
+    return bad.select("file_name", "line", F.inline(each)).select("file_name", (F.col("line") + F.col("at")).cast("int").alias("line"), "why")
 
 
 def read_strict(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """One key holds most rows: joins on it are split at run time and give the whole result."""
 
+import bisect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,23 @@ def test_top_rows_of_a_hot_run(spark):
     )
     top = gates.top_findings(found).filter("run_id = 'hot'").orderBy("rank").collect()
     assert [int(r.file) for r in top] == [i for i in range(20) if i % 3 > 0][:10]
+
+
+def test_ends_of_a_hot_run(spark, unbroadcast):
+    log = wide(spark).withColumn("ts", F.timestamp_seconds(F.col("id") * 7))
+    triggers = log.filter("id % 5 = 0").select(F.col("key").alias("run_id"), F.col("ts").alias("started_at"))
+    samples = log.filter("id % 5 = 3").select(F.col("key").alias("run_id"), "ts", F.lit("failed").alias("status"))
+    df = gates.run_timeouts(triggers, samples, 60)
+    out = {(r.run_id, r.started_at): (r.ended_at, r.timed_out) for r in df.collect()}
+    by_run = {}
+    for r in samples.orderBy("ts").collect():
+        by_run.setdefault(r.run_id, []).append(r.ts)
+    for r in triggers.collect():
+        ends = by_run.get(r.run_id, [])
+        k = bisect.bisect_left(ends, r.started_at)
+        end = ends[k] if k < len(ends) else None
+        assert out[r.run_id, r.started_at] == (end, end is None or (end - r.started_at).total_seconds() > 60)
+    assert len(out) == triggers.count()
+    # Rows are dealt by run and hour; only the summaries of a run's hours meet.
+    groups = triggers.groupBy("run_id", F.floor(F.unix_seconds("started_at") / 3600)).count()
+    assert groups.agg(F.max("count")).first()[0] < 200

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,28 @@ def test_strict_mode_names_the_line(spark, findings_file):
     assert rows(source.bad_lines(spark, findings_file), "line", "why") == [(4, "not JSON"), (5, "not an object"), (6, "not JSON")]
 
 
+def test_line_numbers_of_files_in_many_splits(spark, tmp_path):
+    rnd = random.Random(3)
+    odd = ["{", "[1]", "7", '{"a":1}\x0b{"b":2}', '{"a":1}\x0c[3]\x1d', "", "  ", "\u2028", '{"t":"x\u2028y"}', "\x85{"]
+    want, odd_ok = [], {'{"a":1}\x0b{"b":2}': [(0, "not JSON")], '{"a":1}\x0c[3]\x1d': [(1, "not an object")], "\x85{": [(1, "not JSON")], "{": [(0, "not JSON")], "[1]": [(0, "not an object")], "7": [(0, "not an object")]}
+    for name in ("a.jsonl", "b.jsonl"):
+        lines = [rnd.choice(odd) if rnd.random() < 0.2 else json.dumps({"n": k, "pad": "p" * rnd.randrange(60)}) for k in range(400)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n", newline="")
+        at = 1
+        for text in lines:
+            want += [(name, at + k, why) for k, why in odd_ok.get(text, [])]
+            at += len((text + ".").splitlines())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = source.bad_lines(spark, str(tmp_path))
+        assert source._lines(spark, str(tmp_path)).select("file_name", "split").distinct().count() > 20
+        assert rows(got.select(F.substring_index("file_name", "/", -1), "line", "why")) == rows(spark.createDataFrame(want, "f string, l int, w string"))
+        assert "wholetext" not in got._jdf.queryExecution().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_judge_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"x":1},\n{"x":2}]')
     (tmp_path / "b.json").write_text('{"Findings":[{"x":3}]}')
