@@ -28,9 +28,9 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 TASK_TOKENS = 6_000_000
 K1, B = 1.2, 0.75
-GATHERED = 6 << 20  # bytes of text whose groups are looked up at once
-_CACHED = 2_000_000  # groups that a worker remembers; about 30 bytes each
-_JOINED = 1 << 16  # bytes of new groups that one call of the tokenizer gets
+GATHERED = 2 << 20  # bytes of text whose groups are looked up at once
+_CACHED = 1_000_000  # groups that a worker remembers; about 30 bytes each
+_JOINED = 1 << 14  # bytes of new groups that one call of the tokenizer gets
 
 # Kinds of bytes. Runs of letters, single digits and runs of marks are one token group each by the vocabulary's rule.
 _LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
