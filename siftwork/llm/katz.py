@@ -1,13 +1,18 @@
-"""Scoring documents with a Katz back-off model that the corpus itself trains.
+"""Scoring documents with a Katz back-off model of any order that the corpus itself trains.
 
-p(w | h) is the Good-Turing discounted share of the pair (h, w) where training has it, else the back-off weight of h times
-the discounted share of w; a word that training lacks has the mass that the discounts of single words free. The weights are
-such that the probabilities of all words, the unknown one included, sum to one after every history.
+p(w | h) is the Good-Turing discounted share of the n-gram (h, w) where training has it, else the back-off weight of h times
+p(w | h') with h' the history without its first word, and so on down to the discounted share of w; a word that training lacks
+has the mass that the discounts of single words free. The weights are such that the probabilities of all words, the unknown
+one included, sum to one after every history. A token's history are the words before it in its text, the beginning included,
+as far as the order goes.
 
 The corpus is cut into chunks of a bounded number of tokens. A chunk asks, per part of the hash range, for the counts of its
-distinct words and pairs, with its own training counts; a part adds up what all chunks send it and answers each chunk in the
-order of its question. So counts are gathered and looked up by the same exchange, no task holds the model, and what moves
-grows with the distinct words and pairs of the chunks. The chunks are a table bucketed by chunk, so they are not moved.
+distinct words and n-grams, with its own training counts; a part adds up what all chunks send it and answers each chunk in
+the order of its question. So counts are gathered and looked up by the same exchange, no task holds the model, and what moves
+grows with the distinct n-grams of the chunks. The chunks are a table bucketed by chunk, so they are not moved.
+
+From order 3 on, most n-grams need no question: one that begins or ends with an n-gram that no other chunk has lies in this
+chunk alone, so its count is the chunk's own; one that begins or ends with an n-gram that training lacks has no count.
 """
 
 from __future__ import annotations
@@ -19,16 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.llm.common import Scratch, Texts, blocks, map_runs, mix, text_session
+from siftwork.llm.common import Scratch, Texts, blocks, map_runs, mix, settings, text_session
 
-CHUNK_TOKENS = 1_500_000
-PART_TOKENS = 1_500_000  # parts: one for so many tokens of the corpus
+CHUNK_TOKENS = 1_000_000
+PART_TOKENS = 1_000_000  # parts: one for so many tokens of the corpus
 MOST_DISCOUNTED = 5  # counts above are taken as they are
 # A history with more than this share of the training tokens is dealt to several parts, by the words that follow.
 HOT = 1 / 512
 SALTS = 16
+ORDER = 3
 _END = np.uint64(0xE17A1465D5C7EA8F)
 _BEGIN = np.uint64(0xB0B1A5E5C0FFEE11)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -127,6 +133,7 @@ class Chunk:
         self.end = np.cumsum(self.length.astype(np.int64))
         self.begin = self.end - self.length
         self.train = np.repeat(self.held == 0, self.length)
+        self.within = np.arange(len(self.local)) - np.repeat(self.begin, self.length)
         self.by_hash = np.argsort(self.words)
 
     def word_asks(self, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -179,26 +186,171 @@ class Chunk:
             six = low[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
             yield p, pack(self.h[first[a:b][cuts]], small(np.diff(np.append(cuts, b - a))), np.ascontiguousarray(six).reshape(-1), small(train[a:b]), small(counts[second[a:b]]))
 
-    def scores(self, words: Words, pairs: Discount, answers: dict[int, list[bytes]]) -> tuple[np.ndarray, ...]:
-        """Per document: tokens, known tokens, base score, score."""
-        counts = self.word_counts(answers[1])
-        self.pairs(counts, words.tokens)
-        c = np.zeros(len(self.keys), np.int64)
-        c[self.order] = np.concatenate([unpack(x)[0].astype(np.int64) for x in answers[2]])
+    def level_two(self, words: Words, pairs: Discount, answers: dict[int, list[bytes]]) -> Level:
+        self.counts = self.word_counts(answers[1])
+        self.pairs(self.counts, words.tokens)
+        c, alone = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), bool)
+        got = [unpack(x) for x in answers[2]]
+        c[self.order], alone[self.order] = (np.concatenate([g[k] for g in got]) for k in (0, 1))
         _, order = self.histories()
         got = [unpack(x) for x in answers[3]]
         seen, weight = np.zeros(len(order), np.int64), np.zeros(len(order))
-        seen[order] = np.concatenate([g[0].astype(np.int64) for g in got])
-        weight[order] = np.concatenate([g[1] for g in got])
-        share = words.share(counts)
-        total = seen[self.first]
+        seen[order], weight[order] = (np.concatenate([g[k] for g in got]) for k in (0, 1))
         # A history all of whose counts are large gives up one occurrence.
-        kept = pairs.counts(c) / np.maximum(total + (weight[self.first] < 0), 1)
-        p = np.where(c > 0, kept, np.where(total > 0, np.abs(weight[self.first]), 1.0) * share[self.second])
-        log, base, known = np.log10(p)[self.back], words.base(counts)[self.local], (counts > 0)[self.local]
+        of = np.maximum(seen + (weight < 0), 1)
+        share = words.share(self.counts)[self.second]
+        p = np.where(c > 0, pairs.counts(c) / of[self.first], np.where(seen[self.first] > 0, np.abs(weight[self.first]), 1.0) * share)
+        return Level(self.back, self.second, self.second, mix(self.h[self.first] ^ mix(self.words[self.second])), c, alone, p, of)
+
+    def levels(self, model: Model, answers: dict[int, list[bytes]]) -> list[Level]:
+        """The chunk's n-grams of each order, as far as the model knows them."""
+        out = [self.level_two(model.words, model.discounts[0], answers)]
+        for k in range(1, len(model.discounts)):
+            out.append(Grams(self, out[-1], k + 2, model).level(model.discounts[k], model.hot[k - 1], answers.get(k + 3, [])))
+        return out
+
+    def gram_asks(self, model: Model, row: dict, parts: int) -> Iterator[tuple[int, bytes]]:
+        """Questions for the n-grams of the first order that the model does not know yet."""
+        levels = self.levels(model, sorted_answers(row))
+        grams = Grams(self, levels[-1], len(levels) + 2, model)
+        yield row["chunk"] % parts, pack(np.array(_stats(grams.own[grams.known]), np.int64))
+        yield from grams.asks(parts)
+
+    def scores(self, model: Model, answers: dict[int, list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Per document: tokens, known tokens, base score, score."""
+        p = np.ones(len(self.local))
+        for level in self.levels(model, answers):
+            # The highest order whose history the text has decides.
+            p = np.where(level.back >= 0, level.share[level.back] if len(level.share) else 1.0, p)
+        log, base, known = np.log10(p), model.words.base(self.counts)[self.local], (self.counts > 0)[self.local]
         return self.length, *(np.add.reduceat(x, self.begin) for x in (known.astype(np.int64), base, log))
 
 
+@dataclass(frozen=True)
+class Level:
+    """Distinct n-grams of one order in a chunk, and what training says of them."""
+
+    back: np.ndarray  # of each token: the n-gram that it ends, -1 where its text is too short
+    suffix: np.ndarray  # the n-gram without its first word, one order below
+    last: np.ndarray  # the last word
+    hash: np.ndarray
+    count: np.ndarray  # in all training documents
+    alone: np.ndarray  # no other chunk has it
+    share: np.ndarray  # p(last word | the words before)
+    of: np.ndarray  # of each n-gram one order below: occurrences that it has to give as a history
+
+
+@dataclass(frozen=True)
+class Model:
+    """What all chunks need: the words, a discount per order from 2 on, the sums of hot histories per order from 3 on."""
+
+    words: Words
+    discounts: tuple[Discount, ...]
+    hot: tuple[tuple[np.ndarray, ...], ...] = ()
+
+
+class Grams:
+    """A chunk's distinct n-grams of an order from 3 on: which of them must be asked for, and where.
+
+    The counts of an n-gram whose first or last n - 1 words no other chunk has are the chunk's own. Of those that lie in a
+    history that other chunks have too, the chunk sends their sums per history.
+    """
+
+    def __init__(self, chunk: Chunk, lower: Level, order: int, model: Model):
+        self.lower, self.discount, n = lower, model.discounts[order - 3], max(len(lower.count), 1)
+        at = np.flatnonzero(chunk.within >= order - 2)
+        keys, back = np.unique(lower.back[at - 1] * n + lower.back[at], return_inverse=True)
+        self.back = np.full(len(chunk.local), -1, np.int64)
+        self.back[at] = back
+        self.prefix, self.suffix = keys // n, keys % n
+        self.last = lower.last[self.suffix]
+        self.words = chunk.words
+        self.own = np.bincount(back, chunk.train[at], len(keys)).astype(np.int64)
+        self.hot = (lower.count > HOT * model.words.tokens) & ~lower.alone
+        there, self.home, hot = lower.count[self.prefix] > 0, lower.alone[self.prefix], self.hot[self.prefix]
+        self.known = self.home | (lower.alone[self.suffix] & ~hot)
+        asked = there & (lower.count[self.suffix] > 0) & ~self.known
+        # A row per history; the n-grams of a hot one are dealt to several rows by their last word.
+        g = np.flatnonzero(there & ~self.home & (~hot | asked))
+        low = self.words[self.last[g]] & _LOW48
+        salt = np.where(hot[g], 1 + (low % np.uint64(SALTS)).astype(np.int64), 0)
+        rows, row = np.unique(self.prefix[g] * (SALTS + 1) + salt, return_inverse=True)
+        self.history, salt = rows // (SALTS + 1), rows % (SALTS + 1)
+        h = lower.hash[self.history]
+        with np.errstate(over="ignore"):
+            route = np.where(salt > 0, mix(h + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
+        order_ = np.argsort(route)
+        rank = np.empty(len(rows), np.int64)
+        rank[order_] = np.arange(len(rows))
+        row, self.history, self.route = rank[row], self.history[order_], route[order_]
+        a = np.flatnonzero(asked[g])
+        a = a[np.lexsort((low[a], row[a]))]
+        self.asked, self.low, self.per_row = g[a], low[a], np.bincount(row[a], minlength=len(rows))
+        # Rows that will need a back-off weight: an n-gram of theirs may be one that training lacks.
+        self.need = np.bincount(row, self.own[g] == 0, len(rows)) > 0
+        self.g, self.row = g, row
+
+    def kept(self, at: np.ndarray) -> np.ndarray:
+        """Discounted counts, one order below, of the last words of these n-grams."""
+        return self.discount.counts(self.lower.count[self.suffix[at]])
+
+    def asks(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        n = len(self.history)
+        own = np.flatnonzero(self.known[self.g] & (self.own[self.g] > 0))
+        g, row = self.g[own], self.row[own]
+        sums = [np.bincount(row, self.own[g] == r, n).astype(np.int64) for r in range(1, MOST_DISCOUNTED + 1)]
+        kept = np.bincount(row, self.kept(g), n)
+        of, hot = self.lower.of[self.lower.suffix[self.history]], self.hot[self.history]
+        h, end = self.lower.hash[self.history], np.concatenate([[0], np.cumsum(self.per_row)])
+        count, low = self.own[self.asked], self.lower.count[self.suffix[self.asked]]
+        for p, a, b in _stretches(part_of(self.route, parts)):
+            x, y = end[a], end[b]
+            six = self.low[x:y].view(np.uint8).reshape(-1, 8)[:, :6]
+            per_row = [h[a:b], small(self.per_row[a:b]), small(of[a:b]), hot[a:b], self.need[a:b], *(small(s[a:b]) for s in sums), kept[a:b]]
+            yield p, pack(*per_row, np.ascontiguousarray(six).reshape(-1), small(count[x:y]), small(low[x:y]))
+
+    def level(self, discount: Discount, hot: tuple[np.ndarray, ...], answers: list[bytes]) -> Level:
+        """The n-grams with the answers to their questions."""
+        lower, n = self.lower, len(self.lower.count)
+        got = [unpack(x) for x in answers]
+        count, alone = np.where(self.known, self.own, 0), self.known.copy()
+        freed, share, least = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        of_lower = lower.of[lower.suffix] if n else np.zeros(0, np.int64)
+        g = np.flatnonzero(self.home & (self.own > 0))
+        freed[:] = np.bincount(self.prefix[g], self.own[g] - discount.counts(self.own[g]), n)
+        share[:] = np.bincount(self.prefix[g], self.kept(g), n) / np.maximum(of_lower, 1)
+        gives = freed > 0
+        if got:
+            count[self.asked], alone[self.asked], least = (np.concatenate([x[k] for x in got]) for k in (0, 1, 2))
+            gives[self.history] = least <= len(discount.factors)
+            needy = self.history[self.need]
+            freed[needy] = discount.freed(np.array([np.concatenate([x[k] for x in got]) for k in range(3, 3 + MOST_DISCOUNTED)], np.float64))
+            share[needy] = np.concatenate([x[3 + MOST_DISCOUNTED] for x in got])
+        if len(hot[0]):
+            mine = np.flatnonzero(self.hot)
+            at = np.minimum(np.searchsorted(hot[0], lower.hash[mine]), len(hot[0]) - 1)
+            mine, at = (x[hot[0][at] == lower.hash[mine]] for x in (mine, at))
+            freed[mine], share[mine] = discount.freed(np.array([x[at] for x in hot[1:-1]])), hot[-1][at]
+            gives[mine] = freed[mine] > 0
+        of = np.maximum(lower.count + ~gives, 1)
+        rest = np.maximum(1 - share, 1e-300)
+        weight = np.where(lower.count > 0, np.where(gives, freed, 1 / of * lower.count) / (np.maximum(lower.count, 1) * rest), 1.0)
+        p = np.where(count > 0, discount.counts(count) / of[self.prefix], weight[self.prefix] * lower.share[self.suffix])
+        return Level(self.back, self.suffix, self.last, mix(lower.hash[self.prefix] ^ mix(self.words[self.last])), count, alone, p, of)
+
+
+def _stats(c: np.ndarray) -> list[int]:
+    """Occurrences, distinct ones, and how many occur 1, 2, ... times."""
+    return [int(c.sum()), int((c > 0).sum()), *_of_counts(c)]
+
+
+def sorted_answers(row: dict) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for a in sorted(row["answers"], key=lambda a: (a["level"], a["part"])):
+        out.setdefault(a["level"], []).append(a["block"])
+    return out
+
+
 def _stretches(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cuts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(part))):
@@ -270,7 +422,7 @@ def _count_words(run: pa.Table) -> pa.Table:
     asks = [unpack(x) for x in run.column("block").to_pylist()]
     _, back = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
     c = np.bincount(back, np.concatenate([a[1] for a in asks])).astype(np.int64)
-    rows = [(1, -1, part, None, [int(c.sum()), int((c > 0).sum()), *_of_counts(c)])]
+    rows = [(1, -1, part, None, _stats(c))]
     return _answer(rows + _replies(run, asks, part, lambda a, b: (small(c[back[a:b]]),)))
 
 
@@ -293,7 +445,7 @@ def _count_pairs(words: Words, parts: int):
         c = np.bincount(back, np.concatenate([a[3] for a in asks])).astype(np.int64)
         of_word = np.concatenate([a[4] for a in asks])[at].astype(np.int64)
         seen = c > 0
-        rows = [(1, -1, part, None, [int(c.sum()), int(seen.sum()), *_of_counts(c)])]
+        rows = [(1, -1, part, None, _stats(c))]
         # What each history needs for its weight; the parts of a hot history send theirs to the part of its hash.
         h, where = np.unique(first[at][seen], return_inverse=True)
         c, share = c[seen], words.share(of_word[seen])
@@ -303,7 +455,8 @@ def _count_pairs(words: Words, parts: int):
         for p, a, b in _stretches(home[by_home]):
             rows.append((2, -1, p, pack(*(x[by_home[a:b]] for x in sums)), None))
         c = np.bincount(back, np.concatenate([a[3] for a in asks])).astype(np.int64)
-        return _answer(rows + _replies(run, asks, part, lambda a, b: (small(c[back[a:b]]),)))
+        alone = np.bincount(back) == 1
+        return _answer(rows + _replies(run, asks, part, lambda a, b: (small(c[back[a:b]]), alone[back[a:b]])))
 
     return work
 
@@ -338,19 +491,79 @@ def _weigh(pairs: Discount):
     return work
 
 
+def _count_grams(lower: Discount):
+    """Counts of the n-grams of a part and sums of their histories; the sums of hot histories are parts of a whole."""
+
+    def work(run: pa.Table) -> pa.Table:
+        part = run.column("part")[0].as_py()
+        got = [(k, unpack(x)) for k, x in zip(run.column("chunk").to_pylist(), run.column("block").to_pylist())]
+        rows = [(1, -1, part, None, a[0].tolist()) for _, a in got if len(a) == 1]
+        chunks, asks = [k for k, a in got if len(a) > 1], [a for _, a in got if len(a) > 1]
+        if not asks:
+            return _answer(rows)
+        h, per_row, of, hot, need, *sums, kept, six, own, low_count = (np.concatenate(x) for x in zip(*asks))
+        history, row = np.unique(h, return_inverse=True)
+        n = len(history)
+        low = np.zeros((len(own), 8), np.uint8)
+        low[:, :6] = six.reshape(-1, 6)
+        mine = np.repeat(row, per_row.astype(np.int64))
+        _, at, back = np.unique(mix(history[mine] ^ mix(low.reshape(-1).view(np.uint64))), return_index=True, return_inverse=True)
+        c, alone = np.bincount(back, own, len(at)).astype(np.int64), np.bincount(back, minlength=len(at)) == 1
+        rows.append((1, -1, part, None, _stats(c)))
+        seen = np.flatnonzero(c)
+        owner, c_seen = mine[at[seen]], c[seen]
+        of_history = np.ones(n)
+        of_history[row] = of
+        share = (np.bincount(owner, lower.counts(low_count[at[seen]].astype(np.int64)), n) + np.bincount(row, kept, n)) / of_history
+        sums = np.array([np.bincount(owner, c_seen == r, n) + np.bincount(row, s, n) for r, s in enumerate(sums, 1)]).astype(np.int64)
+        least = np.where(sums.any(axis=0), sums.astype(bool).argmax(axis=0) + 1, MOST_DISCOUNTED + 1).astype(np.uint8)
+        is_hot = np.zeros(n, bool)
+        is_hot[row[hot]] = True
+        if is_hot.any():
+            rows.append((2, -1, part, pack(history[is_hot], *sums[:, is_hot], share[is_hot]), None))
+        x = y = 0
+        for chunk, ask in zip(chunks, asks):
+            grams, mine = back[x : x + len(ask[-1])], row[y : y + len(ask[0])]
+            needy = mine[ask[4]]
+            reply = pack(small(c[grams]), alone[grams], least[mine], *(small(s[needy]) for s in sums), share[needy])
+            rows.append((0, chunk, part, reply, None))
+            x, y = x + len(grams), y + len(mine)
+        return _answer(rows)
+
+    return work
+
+
+def _hot_sums(answers: DataFrame) -> tuple[np.ndarray, ...]:
+    """Hashes, counts of counts and shares of the hot histories. Fewer than 1 / HOT histories are hot, each in SALTS rows at most."""
+    got = [unpack(r.block) for r in answers.filter("kind = 2").select("block").collect()]
+    if not got:
+        return tuple(np.zeros(0, np.uint64) for _ in range(MOST_DISCOUNTED + 2))
+    h, *sums = (np.concatenate(x) for x in zip(*got))
+    h, back = np.unique(h, return_inverse=True)
+    return h, *(np.bincount(back, s) for s in sums)
+
+
 def _totals(answers: DataFrame) -> list[int]:
     n = MOST_DISCOUNTED + 3
     row = answers.filter("kind = 1").agg(*[F.sum(F.col("stats")[i]) for i in range(n)]).first()
     return [int(x or 0) for x in row]
 
 
-def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
+def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_tokens: int = PART_TOKENS, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row (doc_id, text).
 
-    A null or empty text is its end alone. Without training documents every token is unknown and has probability 1. Rows of
+    ``order``: words of the longest n-grams, 2 at least. A null or empty text is its end alone. Without training documents every token is unknown and has probability 1. Rows of
     one id are scored apart. An empty table gives an empty table.
     """
     spark = text_session(docs.sparkSession)
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    # What a step shuffled is of no use once its table is written.
+    with settings(spark, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        return _scored(spark, docs, chunk_tokens, part_tokens, order)
+
+
+def _scored(spark: SparkSession, docs: DataFrame, chunk_tokens: int, part_tokens: int, order: int) -> DataFrame:
     scratch = Scratch(spark, "katz")
     name = f"llm_katz_{uuid.uuid4().hex}"
     scratch.paths["chunks"] = scratch.path("chunks")
@@ -379,12 +592,6 @@ def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_tokens: int =
             every = t if every is None else every.union(t)
         return chunks.join(every.groupBy("chunk").agg(F.collect_list("answer").alias("answers")), "chunk")
 
-    def sorted_answers(row: dict) -> dict[int, list[bytes]]:
-        out: dict[int, list[bytes]] = {}
-        for a in sorted(row["answers"], key=lambda a: (a["level"], a["part"])):
-            out.setdefault(a["level"], []).append(a["block"])
-        return out
-
     asks = asking(chunks, lambda c, _: c.word_asks(parts))
     first = scratch.keep(map_runs(asks, ["part"], _count_words, _ANSWERS), "words")
     tokens, distinct, *n = _totals(first)
@@ -397,11 +604,17 @@ def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_tokens: int =
     asks = asking(chunks, lambda c, _: c.history_asks(parts)).union(second.filter("kind = 2").select("part", "chunk", "block"))
     third = scratch.keep(map_runs(asks, ["part"], _weigh(pairs), _ANSWERS), "weights")
 
+    model, tables = Model(words, (pairs,)), [first, second, third]
+    for k in range(3, order + 1):
+        asks = asking(answered(*tables), lambda c, row, model=model: c.gram_asks(model, row, parts))
+        tables.append(scratch.keep(map_runs(asks, ["part"], _count_grams(model.discounts[-1]), _ANSWERS), f"grams-{k}"))
+        model = Model(words, (*model.discounts, Discount.of([0, *_totals(tables[-1])[2:]])), (*model.hot, _hot_sums(tables[-1])))
+
     def score(batches):
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row["payload"])
-                n, known, base, log = c.scores(words, pairs, sorted_answers(row))
+                n, known, base, log = c.scores(model, sorted_answers(row))
                 ids = pa.array(c.doc_id, pa.int64(), mask=c.no_id.astype(bool))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(c.held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(log)],
@@ -409,7 +622,7 @@ def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, part_tokens: int =
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = scratch.keep(answered(first, second, third).mapInArrow(score, schema), "scores")
+    out = scratch.keep(answered(*tables).mapInArrow(score, schema), "scores")
     spark.sql(f"DROP TABLE {name}")
-    scratch.drop("chunks", "words", "pairs", "weights")
+    scratch.drop("chunks", "words", "pairs", "weights", *[f"grams-{k}" for k in range(3, order + 1)])
     return out

@@ -21,47 +21,57 @@ def is_held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(rows):
+def grams(tokens, n):
+    """(history, word) for each token with n - 1 words or the beginning before it."""
+    t = ["<s>", *tokens]
+    return [(tuple(t[k - n + 1 : k]), t[k]) for k in range(max(n - 1, 1), len(t))]
+
+
+def brute(rows, order=3):
     train = [tokens_of(t) for i, t in rows if not is_held(i)]
     one = Counter(w for t in train for w in t)
-    two = Counter(p for t in train for p in zip(["<s>", *t], t))
-    history = Counter(p[0] for t in train for p in zip(["<s>", *t], t))
+    many = {n: Counter(g for t in train for g in grams(t, n)) for n in range(2, order + 1)}
     tokens, distinct = sum(one.values()), len(one)
     counts = lambda c: [0] + [sum(v == r for v in c.values()) for r in range(1, 7)]
-    d1, d2 = katz.Discount.of(counts(one)), katz.Discount.of(counts(two))
+    d1, d = katz.Discount.of(counts(one)), {n: katz.Discount.of(counts(c)) for n, c in many.items()}
     factor = lambda d, c: d.factors[c - 1] if c <= len(d.factors) else 1.0
     freed = sum(c * (1 - factor(d1, c)) for c in one.values()) / tokens if tokens else 1.0
     scale, unknown = (1.0, freed) if freed > 0 else (tokens / (tokens + 1), 1 / (tokens + 1))
-
-    def p1(w):
-        return factor(d1, one[w]) * one[w] * scale / tokens if one[w] else unknown
-
     weights = {}
-    for h in history:
-        seen = {w: c for (a, w), c in two.items() if a == h}
-        give = sum(c * (1 - factor(d2, c)) for c in seen.values()) / history[h]
-        rest = 1 - sum(p1(w) for w in seen)
-        weights[h] = (give / rest, 0) if give > 0 else (1 / (history[h] + 1) / rest, 1)
-
-    def p2(h, w):
-        if two[h, w]:
-            return factor(d2, two[h, w]) * two[h, w] / (history[h] + weights[h][1])
-        return (weights[h][0] if h in history else 1.0) * p1(w)
-
-    for h in list(history)[:20]:
-        assert sum(p2(h, w) for w in [*one, "never seen"]) == pytest.approx(1)
+
+    def p(h, w):
+        if not h:
+            return factor(d1, one[w]) * one[w] * scale / tokens if one[w] else unknown
+        if h not in weights:
+            return p(h[1:], w)
+        weight, total = weights[h]
+        c = many[len(h) + 1][h, w]
+        return factor(d[len(h) + 1], c) * c / total if c else weight * p(h[1:], w)
+
+    for n in range(2, order + 1):
+        after = {}
+        for (h, w), c in many[n].items():
+            after.setdefault(h, {})[w] = c
+        for h, seen in after.items():
+            total = sum(seen.values())
+            give = sum(c * (1 - factor(d[n], c)) for c in seen.values()) / total
+            rest = 1 - sum(p(h[1:], w) for w in seen)
+            weights[h] = (give / rest, total) if give > 0 else (1 / (total + 1) / rest, total + 1)
+        for h in list(after)[:20]:
+            assert sum(p(h, w) for w in [*one, "never seen"]) == pytest.approx(1)
     out = []
     for i, text in rows:
         t = tokens_of(text)
         base = sum(math.log10((one[w] + 1) / (tokens + distinct + 1)) for w in t)
-        score = sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *t], t))
+        with_begin = ["<s>", *t]
+        score = sum(math.log10(p(tuple(with_begin[max(0, k - order + 1) : k]), with_begin[k])) for k in range(1, len(with_begin)))
         out.append((i, is_held(i), len(t), sum(one[w] > 0 for w in t), tokens, base, score))
     return out
 
 
-def same(df, rows):
+def same(df, rows, order=3):
     key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
-    got, want = sorted(map(tuple, df.collect()), key=key), sorted(brute(rows), key=key)
+    got, want = sorted(map(tuple, df.collect()), key=key), sorted(brute(rows, order), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
@@ -84,9 +94,25 @@ def test_equals_brute_force(spark):
     same(katz.scored(docs), rows)
 
 
-def test_many_chunks_and_parts(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_many_chunks_and_parts(spark, order):
     rows = corpus(seed=9) + ODD
-    same(katz.scored(docs_of(spark, rows).repartition(5), chunk_tokens=400, part_tokens=900), rows)
+    same(katz.scored(docs_of(spark, rows).repartition(5), chunk_tokens=400, part_tokens=900, order=order), rows, order)
+
+
+def test_hot_history_over_many_chunks(spark):
+    rng = random.Random(4)
+    rows = corpus(40, seed=2) + [(1000 + k, " ".join(f"the same {rng.choice('abcdefgh')}{rng.randint(0, 30)}" for _ in range(30))) for k in range(60)]
+    same(katz.scored(docs_of(spark, rows).repartition(4), chunk_tokens=300, part_tokens=700, order=4), rows, 4)
+
+
+def test_settings_are_put_back(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    katz.scored(docs_of(spark, [(1, "a b c")]))
+    assert spark.conf.get(key, None) == before
+    with pytest.raises(ValueError):
+        katz.scored(docs_of(spark, [(1, "a")]), order=1)
 
 
 def test_small_inputs(spark):
