@@ -35,6 +35,7 @@ MOST_DISCOUNTED = 5  # counts above are taken as they are
 HOT = 1 / 512
 SALTS = 16
 ORDER = 3
+ROUNDS = 2  # the questions for n-grams from order 3 on go in so many rounds, which bounds what is shuffled at a time
 _END = np.uint64(0xE17A1465D5C7EA8F)
 _BEGIN = np.uint64(0xB0B1A5E5C0FFEE11)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -209,12 +210,13 @@ class Chunk:
             out.append(Grams(self, out[-1], k + 2, model).level(model.discounts[k], model.hot[k - 1], answers.get(k + 3, [])))
         return out
 
-    def gram_asks(self, model: Model, row: dict, parts: int) -> Iterator[tuple[int, bytes]]:
-        """Questions for the n-grams of the first order that the model does not know yet."""
+    def gram_asks(self, model: Model, row: dict, parts: int, turn: int = 0, rounds: int = 1) -> Iterator[tuple[int, bytes]]:
+        """Questions for the n-grams of the first order that the model does not know yet, to every ``rounds``-th part."""
         levels = self.levels(model, sorted_answers(row))
         grams = Grams(self, levels[-1], len(levels) + 2, model)
-        yield row["chunk"] % parts, pack(np.array(_stats(grams.own[grams.known]), np.int64))
-        yield from grams.asks(parts)
+        if not turn:
+            yield row["chunk"] % parts, pack(np.array(_stats(grams.own[grams.known]), np.int64))
+        yield from grams.asks(parts, turn, rounds)
 
     def scores(self, model: Model, answers: dict[int, list[bytes]]) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
@@ -294,7 +296,7 @@ class Grams:
         """Discounted counts, one order below, of the last words of these n-grams."""
         return self.discount.counts(self.lower.count[self.suffix[at]])
 
-    def asks(self, parts: int) -> Iterator[tuple[int, bytes]]:
+    def asks(self, parts: int, turn: int, rounds: int) -> Iterator[tuple[int, bytes]]:
         n = len(self.history)
         own = np.flatnonzero(self.known[self.g] & (self.own[self.g] > 0))
         g, row = self.g[own], self.row[own]
@@ -304,6 +306,8 @@ class Grams:
         h, end = self.lower.hash[self.history], np.concatenate([[0], np.cumsum(self.per_row)])
         count, low = self.own[self.asked], self.lower.count[self.suffix[self.asked]]
         for p, a, b in _stretches(part_of(self.route, parts)):
+            if p % rounds != turn:
+                continue
             x, y = end[a], end[b]
             six = self.low[x:y].view(np.uint8).reshape(-1, 8)[:, :6]
             per_row = [h[a:b], small(self.per_row[a:b]), small(of[a:b]), hot[a:b], self.need[a:b], *(small(s[a:b]) for s in sums), kept[a:b]]
@@ -606,8 +610,12 @@ def _scored(spark: SparkSession, docs: DataFrame, chunk_tokens: int, part_tokens
 
     model, tables = Model(words, (pairs,)), [first, second, third]
     for k in range(3, order + 1):
-        asks = asking(answered(*tables), lambda c, row, model=model: c.gram_asks(model, row, parts))
-        tables.append(scratch.keep(map_runs(asks, ["part"], _count_grams(model.discounts[-1]), _ANSWERS), f"grams-{k}"))
+        made = None
+        for turn in range(ROUNDS):
+            asks = asking(answered(*tables), lambda c, row, model=model, turn=turn: c.gram_asks(model, row, parts, turn, ROUNDS))
+            counted = scratch.keep(map_runs(asks, ["part"], _count_grams(model.discounts[-1]), _ANSWERS), f"grams-{k}-{turn}")
+            made = counted if made is None else made.union(counted)
+        tables.append(made)
         model = Model(words, (*model.discounts, Discount.of([0, *_totals(tables[-1])[2:]])), (*model.hot, _hot_sums(tables[-1])))
 
     def score(batches):
@@ -624,5 +632,5 @@ def _scored(spark: SparkSession, docs: DataFrame, chunk_tokens: int, part_tokens
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = scratch.keep(answered(*tables).mapInArrow(score, schema), "scores")
     spark.sql(f"DROP TABLE {name}")
-    scratch.drop("chunks", "words", "pairs", "weights", *[f"grams-{k}" for k in range(3, order + 1)])
+    scratch.drop("chunks", "words", "pairs", "weights", *[f"grams-{k}-{turn}" for k in range(3, order + 1) for turn in range(ROUNDS)])
     return out
