@@ -136,6 +136,7 @@ class Chunk:
         self.train = np.repeat(self.held == 0, self.length)
         self.within = np.arange(len(self.local)) - np.repeat(self.begin, self.length)
         self.by_hash = np.argsort(self.words)
+        self.low_rank = _ranks(self.words & _LOW48)
 
     def word_asks(self, parts: int) -> Iterator[tuple[int, bytes]]:
         h = self.words[self.by_hash]
@@ -172,11 +173,16 @@ class Chunk:
         h = np.append(self.words, _BEGIN)
         hot = np.append(counts > HOT * tokens, True)
         low = self.words[second] & _LOW48
+        # A place per history, or per history and salt; one sort of whole numbers orders the pairs by route and word.
+        places, salt = np.flatnonzero(hot), (self.words & _LOW48) % np.uint64(SALTS)
+        at = np.arange(n + 1)
+        at[places] = n + 1 + SALTS * np.arange(len(places))
         with np.errstate(over="ignore"):
-            salted = mix(h[first] + (low % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        route = np.where(hot[first], salted, h[first])
-        self.order = np.lexsort((low, route))
-        self.first, self.second, self.low, self.route, self.h = first, second, low, route, h
+            salted = mix(np.repeat(h[places], SALTS) + np.tile(np.arange(1, SALTS + 1, dtype=np.uint64), len(places)) * np.uint64(0x9E3779B97F4A7C15))
+        routes = np.append(h, salted)
+        at = at[first] + np.where(hot[first], salt.astype(np.int64)[second], 0)
+        self.order = np.argsort(_ranks(routes)[at] * max(n, 1) + self.low_rank[second])
+        self.first, self.second, self.low, self.route, self.h = first, second, low, routes[at], h
 
     def pair_asks(self, counts: np.ndarray, tokens: int, parts: int) -> Iterator[tuple[int, bytes]]:
         self.pairs(counts, tokens)
@@ -276,17 +282,17 @@ class Grams:
         g = np.flatnonzero(there & ~self.home & (~hot | asked))
         low = self.words[self.last[g]] & _LOW48
         salt = np.where(hot[g], 1 + (low % np.uint64(SALTS)).astype(np.int64), 0)
-        rows, row = np.unique(self.prefix[g] * (SALTS + 1) + salt, return_inverse=True)
+        code = self.prefix[g] * (SALTS + 1) + salt
+        first, row = _distinct(code, "stable")  # they come almost sorted
+        rows = code[first]
         self.history, salt = rows // (SALTS + 1), rows % (SALTS + 1)
         h = lower.hash[self.history]
         with np.errstate(over="ignore"):
             route = np.where(salt > 0, mix(h + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
-        order_ = np.argsort(route)
-        rank = np.empty(len(rows), np.int64)
-        rank[order_] = np.arange(len(rows))
-        row, self.history, self.route = rank[row], self.history[order_], route[order_]
+        by_route = np.argsort(route)
+        row, self.history, self.route = _ranks(route, by_route)[row], self.history[by_route], route[by_route]
         a = np.flatnonzero(asked[g])
-        a = a[np.lexsort((low[a], row[a]))]
+        a = a[np.argsort(row[a] * max(len(self.words), 1) + chunk.low_rank[self.last[g[a]]])]
         self.asked, self.low, self.per_row = g[a], low[a], np.bincount(row[a], minlength=len(rows))
         # Rows that will need a back-off weight: an n-gram of theirs may be one that training lacks.
         self.need = np.bincount(row, self.own[g] == 0, len(rows)) > 0
@@ -355,6 +361,22 @@ def sorted_answers(row: dict) -> dict[int, list[bytes]]:
     return out
 
 
+def _ranks(x: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    out = np.empty(len(x), np.int64)
+    out[np.argsort(x) if order is None else order] = np.arange(len(x))
+    return out
+
+
+def _distinct(x: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in their order, and of each value its number."""
+    order = np.argsort(x, kind=kind)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 def _stretches(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cuts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(part))):
@@ -445,7 +467,7 @@ def _count_pairs(words: Words, parts: int):
         first = np.concatenate([np.repeat(a[0], a[1]) for a in asks])
         low = np.zeros((len(first), 8), np.uint8)
         low[:, :6] = np.concatenate([a[2] for a in asks]).reshape(-1, 6)
-        _, at, back = np.unique(mix(first ^ mix(low.reshape(-1).view(np.uint64))), return_index=True, return_inverse=True)
+        at, back = _distinct(mix(first ^ mix(low.reshape(-1).view(np.uint64))))
         c = np.bincount(back, np.concatenate([a[3] for a in asks])).astype(np.int64)
         of_word = np.concatenate([a[4] for a in asks])[at].astype(np.int64)
         seen = c > 0
@@ -511,7 +533,7 @@ def _count_grams(lower: Discount):
         low = np.zeros((len(own), 8), np.uint8)
         low[:, :6] = six.reshape(-1, 6)
         mine = np.repeat(row, per_row.astype(np.int64))
-        _, at, back = np.unique(mix(history[mine] ^ mix(low.reshape(-1).view(np.uint64))), return_index=True, return_inverse=True)
+        at, back = _distinct(mix(history[mine] ^ mix(low.reshape(-1).view(np.uint64))))
         c, alone = np.bincount(back, own, len(at)).astype(np.int64), np.bincount(back, minlength=len(at)) == 1
         rows.append((1, -1, part, None, _stats(c)))
         seen = np.flatnonzero(c)
