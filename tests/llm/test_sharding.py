@@ -32,6 +32,38 @@ def test_same_seed_same_shards(spark):
     assert sorted(one) == sorted(two) != sorted(other)
 
 
+def test_equal_rows_lie_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_BUCKET_GROUP", 3)
+    docs = docs_of(spark, [(None, "same")] * 2000 + [(7, "t")] * 2000 + [(k, f"u{k}") for k in range(2000)])
+    rows = sharding._sized(docs, 1)
+    assert rows.select("hash").distinct().count() == 6000
+    assert max(Counter(r.hash % 20 for r in rows.collect()).values()) < 400
+    written, _ = sharding.shuffled_shards(docs, shards=9, bucket_bytes=6000)
+    got = rows_of(written)
+    assert Counter((r[0], r[1]) for r in got) == Counter({(None, 20): 2000, (7, 17): 2000} | {(k, 16 + len(f"u{k}")): 1 for k in range(2000) if k != 7}) + Counter([(7, 18)])
+    for s in range(9):
+        assert sorted(r[3] for r in got if r[2] == s) == list(range(len([r for r in got if r[2] == s])))
+        # Each kind of row is in each shard.
+        assert {r[0] for r in got if r[2] == s} >= {None, 7}
+
+
+def test_order_in_a_bucket_does_not_depend_on_arrival(spark):
+    laid = []
+    for order in (range(300), reversed(range(300))):
+        held = spark.createDataFrame([([(k, {"a": k}) for k in order],)], "held array<struct<hash:long,row:map<string,int>>>").coalesce(1)
+        laid.append(held.select(F.shuffle(F.array_sort("held", sharding._by_hash), F.lit(5))).first()[0])
+    assert laid[0] == laid[1] != sorted(laid[0], key=lambda x: x.hash)
+
+
+def test_rows_before_each_bucket(spark):
+    begins = sharding._begins(spark.createDataFrame([(b, b % 3 + 1) for b in range(0, 9000, 2)], "bucket long, n long"))
+    want, at = {}, 0
+    for b in range(0, 9000, 2):
+        want[b] = at
+        at += b % 3 + 1
+    assert {r.bucket: r.begin for r in begins.collect()} == want
+
+
 def test_odd_inputs(spark):
     assert rows_of(sharding.shuffled_shards(docs_of(spark, []))[0]) == []
     docs = docs_of(spark, [(None, None), (1, "a"), (1, "a"), (2, "x" * 300_000)])
