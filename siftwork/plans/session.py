@@ -16,6 +16,8 @@ TUNING = {
     # A repeated JSON key keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Sources written in Python get the filters that they can decide themselves.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

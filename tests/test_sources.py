@@ -4,12 +4,13 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import IsNotNull, IsNull, StringStartsWith
 
 from siftwork.operators import gates, scan
 from siftwork.operators.scan import Rule
 from siftwork.schemas import FINDING_SCHEMA
 from siftwork.sources import findings as source, sinks
-from siftwork.sources.files import scan_files
+from siftwork.sources.files import OPEN_BYTES, _FilteredTreeReader, _TreeReader, scan_files
 from siftwork.sources.reports import read_reports
 from tests.conftest import rows
 
@@ -40,6 +41,51 @@ def test_source_tree(spark, tmp_path):
     assert scan_files(spark, str(tmp_path), "run").select("run_id").distinct().collect()[0].run_id == "run"
 
 
+def test_source_tree_by_uri(spark, tmp_path):
+    root = tmp_path / "a b"
+    for name in ("src/x/1.py", "src/x/2.py", "src/y.py", "srcs/3.py", "docs/4.md", "5.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name * 10)
+    (root / "src" / "again").symlink_to(root / "src")
+    (root / "src" / "gone.py").symlink_to(root / "nowhere")
+    want = {"src/x/1.py", "src/x/2.py", "src/y.py", "srcs/3.py", "docs/4.md", "5.py"}
+    # As many files as the driver lists, or the tasks list the rest.
+    for listed in (1, 3, 100):
+        files = scan_files(spark, root.as_uri(), partitions=3, listed_files=listed)
+        got = files.collect()
+        assert {(r.file, r.text) for r in got} == {(w, w * 10) for w in want} and len(got) == len(want)
+        assert {r.run_id for r in got} == {"a b"}
+    assert scan_files(spark, str(tmp_path / "a b")).first().run_id == "a b"
+
+
+def test_source_tree_reads_only_what_stays(spark, tmp_path):
+    for name, n in {"src/a.py": 10, "src/in/b.py": 100, "lib/c.py": 10, "lib/d.md": 1000}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * n)
+    files = scan_files(spark, str(tmp_path), max_bytes=500)
+    for condition, want in {
+        "file LIKE 'src/%'": {"src/a.py", "src/in/b.py"}, "file LIKE '%.py' AND size < 50": {"src/a.py", "lib/c.py"}, "file = 'src/in/b.py'": {"src/in/b.py"},
+        "file IN ('lib/d.md', 'src/a.py', 'lib')": {"lib/d.md", "src/a.py"}, "size >= 100 AND skipped IS NULL": {"src/in/b.py"}, "file LIKE '%/in/%'": {"src/in/b.py"},
+        "size > 10 AND size <= 1000 AND NOT file LIKE 'src%'": {"lib/d.md"}, "skipped IS NOT NULL": {"lib/d.md"}, "size = 10 OR file = 'lib/d.md'": {"src/a.py", "lib/c.py", "lib/d.md"},
+    }.items():
+        assert {r.file for r in files.filter(condition).collect()} == want, condition
+    reader = _FilteredTreeReader({"path": str(tmp_path), "partitions": "1"})
+    assert list(reader.pushFilters([StringStartsWith(("file",), "src/in/"), IsNotNull(("size",)), IsNull(("skipped",))])) == [IsNull(("skipped",))]
+    opened = []
+    real = reader._folder
+    reader._folder = lambda fs, root, below: opened.append(below) or real(fs, root, below)
+    assert [p.files for p in reader.partitions()] == [[("src/in/b.py", 100)]]
+    assert opened == ["", "src", "src/in"]
+
+
+def test_source_tree_is_packed_by_bytes(tmp_path):
+    for k in range(100):
+        (tmp_path / f"f{k:03d}").write_text("x" * (300_000 if k < 10 else 10))
+    parts = _TreeReader({"path": str(tmp_path), "partitions": "8"}).partitions()
+    cost = [sum(n + OPEN_BYTES for _, n in p.files) for p in parts]
+    assert 8 <= len(parts) <= 10 and max(cost) < 1.2 * sum(cost) / 8 and sum(len(p.files) for p in parts) == 100
+
+
 @pytest.fixture
 def findings_file(tmp_path):
     lines = [
