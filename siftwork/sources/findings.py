@@ -15,7 +15,7 @@ class BadFindings(ValueError):
     """A strict read met lines that are not JSON objects."""
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line of text files: ``file_name``, ``split`` (the byte at which the line's piece of the file begins), ``row`` (the
     line's number in its task) and ``value``."""
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
@@ -29,7 +29,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("bad", ~V.is_object(F.col("raw")))
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Non-blank lines of JSON-lines files with source ``file_name``, ``raw`` VARIANT and ``bad`` flag.
 
     ``position`` orders the lines of a file: the byte at which the line's split of the file begins,
@@ -39,12 +39,12 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(lines)
 
 
-def read_loose(spark: SparkSession, path: str) -> DataFrame:
+def read_loose(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Object rows only; malformed lines and other JSON values are skipped."""
     return read_rows(spark, path).filter(~F.col("bad")).select("file_name", "position", "raw")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line of text files with its number in the file, ``line``, from 1; files are read in splits, however large.
 
     Each split counts its lines, a window over the counts of a file's splits gives every split its first number, and a window
@@ -63,7 +63,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file_name", (F.col("_start") + F.col("_before") + 1).alias("line"), (F.col("_n") - 1).alias("breaks"), "value")
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Line number of every line that a strict read refuses, per file.
 
     A line that holds rarer line breaks is bad as a whole if it is not one object; then each of its lines is tested, and
@@ -82,7 +82,7 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return bad.select("file_name", "line", F.inline(each)).select("file_name", (F.col("line") + F.col("at")).cast("int").alias("line"), "why")
 
 
-def read_strict(spark: SparkSession, path: str) -> DataFrame:
+def read_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Object rows; any malformed line fails the read and names its file and line."""
     rows = read_rows(spark, path)
     if not rows.filter("bad").isEmpty():
@@ -122,7 +122,7 @@ def finding_columns(rows: DataFrame, parity: bool = False) -> DataFrame:
     )
 
 
-def read_findings(spark: SparkSession, path: str, mode: str = "skip", parity: bool = False) -> DataFrame:
+def read_findings(spark: SparkSession, path: str | list[str], mode: str = "skip", parity: bool = False) -> DataFrame:
     """Findings of JSON-lines files. ``mode`` is ``skip`` or ``strict``.
 
     ``run_id`` is the ``run_id=`` folder of the file where there is one, else the file's name. ``seq``

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from siftwork.schemas import JSON_KEYS, SEVERITIES
+from siftwork.sources.committed import write_committed
 
 
 def json_findings(findings: DataFrame) -> DataFrame:
@@ -27,6 +28,16 @@ def write_findings(findings: DataFrame, path: str, by_run: bool = True, mode: st
         rows.withColumnRenamed("run_id", "runId").write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def commit_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """As ``write_findings``, all or nothing: read back with ``read_findings(spark, committed_files(path))``.
+
+    Each line has its run, so any text may name one.
+    """
+    rows = json_findings(findings)
+    line = F.to_json(F.struct(F.col("run_id").alias("runId"), *[c for c in rows.columns if c != "run_id"]), {"ignoreNullFields": "false"})
+    write_committed(rows.select("run_id", line.alias("value")), path, mode)
+
+
 def run_summaries(verdicts: DataFrame, gate_results: DataFrame, threshold: str, policies: DataFrame | None = None, dispatch: DataFrame | None = None) -> DataFrame:
     """One row per run: counts, gates, blocking, ask count. A run has as many gate rows as gates.
 
@@ -66,11 +77,19 @@ def write_merged(merged: DataFrame, path: str, mode: str = "overwrite", keys: Se
 
     Rows that carry their ``raw`` VARIANT are written as they came, every key of theirs; others by column.
     """
-    merged = merged.hint("rebalance", *keys)
+    merged_lines(merged, keys).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).text(path)
+
+
+def commit_merged(merged: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """As ``write_merged``, all or nothing: read back with ``read_committed``."""
+    write_committed(merged_lines(merged, ("run_id",)), path, mode)
+
+
+def merged_lines(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys and each row's JSON, ``value``."""
     if "raw" in merged.columns:
         # A variant keeps the keys of its objects sorted.
-        merged.select(*keys, F.to_json("raw").alias("value")).write.mode(mode).partitionBy(*keys).text(path)
-        return
+        return merged.select(*keys, F.to_json("raw").alias("value"))
     rest = sorted(c for c in merged.columns if c not in keys and c != "feed_rank")
-    merged.select(*keys, *rest).write.mode(mode).partitionBy(*keys).option("ignoreNullFields", "false").json(path)
+    return merged.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("value"))
 

@@ -15,6 +15,7 @@ from siftwork.plans.ranking import first_per_group
 from siftwork.plans.session import shared_folder
 from siftwork.schemas import as_findings
 from siftwork.sources import findings as source, sinks
+from siftwork.sources.committed import committed_files
 from siftwork.sources.files import scan_files
 from siftwork.sources.reports import read_reports
 from siftwork.workloads.inputs import (
@@ -28,11 +29,11 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query(
-    "findings_written",
-    f"""SELECT run_id, 'policy' AS gate_id, severity, file, line, title, 'policy:forbid-pattern:' || rule_no AS rule_id,
-          left(trim(t, {WS_SQL}), 240) AS evidence, decision, CAST(1 AS DOUBLE) AS confidence FROM ({DOC_HITS_SQL})""",
-)
+_WRITTEN_SQL = f"""SELECT run_id, 'policy' AS gate_id, severity, file, line, title, 'policy:forbid-pattern:' || rule_no AS rule_id,
+  left(trim(t, {WS_SQL}), 240) AS evidence, decision, CAST(1 AS DOUBLE) AS confidence FROM ({DOC_HITS_SQL})"""
+
+
+@query("findings_written", _WRITTEN_SQL)
 def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan findings after a round trip through JSON lines, one folder per run."""
     folder = fresh_folder(spark)
@@ -44,6 +45,20 @@ def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("findings_committed", _WRITTEN_SQL)
+def findings_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan findings after a round trip through a manifest, in two commits."""
+    folder = fresh_folder(spark)
+    found = doc_findings(spark, sf_dir)
+    sinks.commit_findings(found.filter("severity = 'P0'"), folder)
+    sinks.commit_findings(found.filter("severity != 'P0'"), folder, "append")
+    back = source.read_findings(spark, committed_files(folder), mode="strict")
+    return back.select(
+        "run_id", "gate_id", "severity", "file", F.col("line").cast("long").alias("line"), "title", "rule_id", "evidence",
+        "decision", "confidence",
+    )
+
+
 @query(
     "lenient_read",
     f"""SELECT severity, file, CAST(line AS BIGINT) AS line, 'Event ' || event_id AS title, 'R' || event_id AS rule_id,
