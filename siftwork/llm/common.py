@@ -53,10 +53,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-        """Write a table and read it again."""
+    def keep(self, df: DataFrame, name: str, by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+        """Write a table, compressed by ``codec`` where one is named, and read it again."""
         self.paths[name] = self.path(name)
         writer = df.write.mode("overwrite")
+        if codec:
+            writer = writer.option("compression", codec)
         (writer.partitionBy(*by) if by else writer).parquet(self.paths[name])
         return self.spark.read.schema(df.schema).parquet(self.paths[name])
 

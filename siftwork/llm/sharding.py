@@ -50,7 +50,7 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
     the same seed. An empty table gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession, "shards")
-    rows = scratch.keep(_sized(docs, seed), "rows")
+    rows = scratch.keep(_sized(docs, seed), "rows", codec="zstd")
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     n_buckets = max(1, -(-(total or 0) // bucket_bytes))
     rows = rows.withColumn("bucket", F.pmod("hash", F.lit(n_buckets).cast("long")))
@@ -64,6 +64,6 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
     # Shard s begins at place s * n div shards.
     placed = placed.withColumn("shard", F.expr(f"cast(((place + 1) * {shards}L - 1) div {n}L as int)"))
     placed = placed.withColumn("slot", F.expr(f"place - (shard * {n}L) div {shards}L")).drop("place")
-    written = scratch.keep(placed, "shards", by=["shard"])
+    written = scratch.keep(placed, "shards", by=["shard"], codec="zstd")
     scratch.drop("rows", "begins")
     return written, scratch.path("shards")
