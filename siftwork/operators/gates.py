@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftwork.functions import severity as S, variants as V
 from siftwork.functions.numbers import whole_int
 from siftwork.functions.text import first_text, permalink, shorten, strip
-from siftwork.operators.normalize import gate_of, parse_failed
+from siftwork.operators.normalize import gate_of, parse_failed, report_outcomes
 from siftwork.plans.carry import next_known
 from siftwork.plans.lookup import lookup
 from siftwork.plans.ranking import first_per_group, top_per_group
@@ -278,48 +278,50 @@ def backend_or_local(backend: DataFrame, local: DataFrame) -> DataFrame:
 # ---- tools and gates ----
 
 
-def tool_meta(reports: DataFrame, findings: DataFrame, switches: DataFrame) -> DataFrame:
-    """Per run and tool of ``switches(run_id, tool, enabled)``: invoked, reason, finding count."""
-    seen = reports.groupBy("run_id", "tool").agg(
-        F.bool_or(parse_failed(F.col("tool"), F.col("payload"))).alias("parse_error")
+def _outcomes(reports: DataFrame, findings: DataFrame | None, by: str) -> DataFrame:
+    """Per run and ``by`` (``tool`` or ``gate_id``): ``bad`` reports, the first tool with one, and ``n`` findings, the reports'
+    own or those of ``findings``."""
+    if findings is None:
+        seen = report_outcomes(reports)
+    else:
+        bad = parse_failed(F.col("tool"), F.col("payload"))
+        seen = reports.select("run_id", "tool", gate_of(F.col("tool")).alias("gate_id"), bad.alias("parse_error"), F.lit(0).alias("n"))
+    out = seen.groupBy("run_id", by).agg(
+        F.count_if("parse_error").alias("bad"),
+        F.min(F.when(F.col("parse_error"), F.col("tool"))).alias("bad_tool"),
+        F.sum("n").alias("n"),
     )
-    n = findings.groupBy("run_id", "tool").agg(F.count(F.lit(1)).alias("n"))
-    out = switches.join(seen, ["run_id", "tool"], "left").join(n, ["run_id", "tool"], "left")
-    invoked = F.col("enabled") & F.col("parse_error").isNotNull()
+    if findings is None:
+        return out
+    return out.drop("n").join(findings.groupBy("run_id", by).agg(F.count(F.lit(1)).alias("n")), ["run_id", by], "left")
+
+
+def tool_meta(reports: DataFrame, findings: DataFrame | None, switches: DataFrame) -> DataFrame:
+    """Per run and tool of ``switches(run_id, tool, enabled)``: invoked, reason, finding count.
+
+    Without ``findings`` the reports' own are counted, and each report is parsed once.
+    """
+    out = switches.join(_outcomes(reports, findings, "tool"), ["run_id", "tool"], "left")
+    invoked = F.col("enabled") & F.col("bad").isNotNull()
     return out.select(
         "run_id",
         "tool",
         invoked.alias("invoked"),
-        F.when(~F.col("enabled"), "disabled")
-        .when(F.col("parse_error").isNull(), "no-report")
-        .when(F.col("parse_error"), "parse-error")
-        .alias("reason"),
+        F.when(~F.col("enabled"), "disabled").when(F.col("bad").isNull(), "no-report").when(F.col("bad") > 0, "parse-error").alias("reason"),
         F.when(invoked, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("finding_count"),
     )
 
 
-def gate_results(reports: DataFrame, findings: DataFrame) -> DataFrame:
+def gate_results(reports: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Status and finding count per run and gate; a report that does not parse makes its gate ``error``.
 
-    One failing gate leaves the others as they are.
+    One failing gate leaves the others as they are. Without ``findings`` the reports' own are counted, and each report is
+    parsed once.
     """
-    flagged = reports.select(
-        "run_id",
-        "tool",
-        gate_of(F.col("tool")).alias("gate_id"),
-        parse_failed(F.col("tool"), F.col("payload")).alias("bad"),
-    )
-    checked = (
-        flagged.filter(F.col("gate_id").isNotNull())
-        .groupBy("run_id", "gate_id")
-        .agg(F.count_if("bad").alias("bad"), F.min(F.when(F.col("bad"), F.col("tool"))).alias("bad_tool"))
-    )
-    n = findings.groupBy("run_id", "gate_id").agg(F.count(F.lit(1)).alias("finding_count"))
-    out = checked.join(n, ["run_id", "gate_id"], "left")
-    return out.select(
+    return _outcomes(reports, findings, "gate_id").filter(F.col("gate_id").isNotNull()).select(
         "run_id",
         "gate_id",
         F.when(F.col("bad") > 0, "error").otherwise("ok").alias("status"),
-        F.coalesce("finding_count", F.lit(0)).alias("finding_count"),
+        F.coalesce("n", F.lit(0)).alias("finding_count"),
         F.concat(F.lit("unreadable report: "), "bad_tool").alias("error_message"),
     )

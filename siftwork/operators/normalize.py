@@ -15,7 +15,7 @@ from siftwork.functions.numbers import whole_int
 from siftwork.functions.paths import clean_file, posix_path
 from siftwork.functions.severity import cvss_band
 from siftwork.functions.text import explode_lines, first_text, strip, stripped_lines
-from siftwork.plans.pin import exploded, let
+from siftwork.plans.pin import exploded, let, pinned
 from siftwork.schemas import as_findings
 
 _ITEM = "array<struct<severity:string,file:string,line:int,title:string,rule_id:string>>"
@@ -116,8 +116,8 @@ def actionlint_items(payload: Column) -> Column:
 # ---- JSON reports ----
 
 
-def eslint_items(payload: Column) -> Column:
-    reports = V.objects(V.array_at(V.parse(payload)))
+def eslint_items(doc: Column) -> Column:
+    reports = V.objects(V.array_at(doc))
 
     def per_file(r: Column) -> Column:
         file = posix_path(F.coalesce(V.text_at(r, "$.filePath"), F.lit("")))
@@ -135,9 +135,9 @@ def eslint_items(payload: Column) -> Column:
     return F.flatten(F.transform(reports, per_file))
 
 
-def gitleaks_items(payload: Column) -> Column:
+def gitleaks_items(doc: Column) -> Column:
     return F.transform(
-        V.objects(V.array_at(V.parse(payload))),
+        V.objects(V.array_at(doc)),
         lambda r: _item(
             F.lit("P0"),
             _word(r, "$.File", F.lit("")),
@@ -148,7 +148,7 @@ def gitleaks_items(payload: Column) -> Column:
     )
 
 
-def semgrep_items(payload: Column) -> Column:
+def semgrep_items(doc: Column) -> Column:
     def one(r: Column) -> Column:
         check = _word(r, "$.check_id", F.lit("unknown"))
         level = F.upper(F.coalesce(V.text_at(r, "$.extra.severity"), F.lit("WARNING")))
@@ -160,10 +160,10 @@ def semgrep_items(payload: Column) -> Column:
             F.concat(F.lit("semgrep:"), check),
         )
 
-    return F.transform(V.objects(V.array_at(V.parse(payload), "$.results")), one)
+    return F.transform(V.objects(V.array_at(doc, "$.results")), one)
 
 
-def osv_items(payload: Column) -> Column:
+def osv_items(doc: Column) -> Column:
     def per_result(r: Column) -> Column:
         file = _word(r, "$.source.path", F.lit(""))
 
@@ -189,11 +189,11 @@ def osv_items(payload: Column) -> Column:
 
         return F.flatten(F.transform(V.objects(V.array_at(r, "$.packages")), per_package))
 
-    return F.flatten(F.transform(V.objects(V.array_at(V.parse(payload), "$.results")), per_result))
+    return F.flatten(F.transform(V.objects(V.array_at(doc, "$.results")), per_result))
 
 
-def checkov_items(payload: Column) -> Column:
-    v = V.parse(payload)
+def checkov_items(doc: Column) -> Column:
+    v = doc
     blocks = V.objects(F.when(V.is_object(v), F.array(v)).otherwise(V.array_at(v)))
 
     def one(c: Column) -> Column:
@@ -211,7 +211,7 @@ def checkov_items(payload: Column) -> Column:
     return F.transform(checks, one)
 
 
-def tflint_items(payload: Column) -> Column:
+def tflint_items(doc: Column) -> Column:
     def one(i: Column) -> Column:
         rule = _word(i, "$.rule.name", F.lit("unknown"))
         level = F.lower(first_text(V.text_at(i, "$.rule.severity"), F.lit("warning")))
@@ -223,10 +223,10 @@ def tflint_items(payload: Column) -> Column:
             F.concat(F.lit("tflint:"), rule),
         )
 
-    return F.transform(V.objects(V.array_at(V.parse(payload), "$.issues")), one)
+    return F.transform(V.objects(V.array_at(doc, "$.issues")), one)
 
 
-# tool name -> (gate, items expression, report is JSON)
+# tool name -> (gate, items expression of the text or, for a JSON report, of its VARIANT, report is JSON)
 TOOLS: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
     "tsc": ("static", tsc_items, False),
     "eslint": ("static", eslint_items, True),
@@ -240,11 +240,18 @@ TOOLS: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
 }
 
 
+def _is_json(tool: Column) -> Column:
+    return tool.isin(*[name for name, (_, _, is_json) in TOOLS.items() if is_json])
+
+
+def _unreadable(tool: Column, payload: Column, doc: Column) -> Column:
+    bad = doc.isNull() | ((tool == "eslint") & ~V.is_array(doc))
+    return F.coalesce(_is_json(tool) & (strip(payload) != "") & bad, F.lit(False))
+
+
 def parse_failed(tool: Column, payload: Column) -> Column:
     """A JSON tool's report that is neither blank nor JSON. It is an error, not zero findings."""
-    json_tools = [name for name, (_, _, is_json) in TOOLS.items() if is_json]
-    bad = let(V.parse(payload), lambda v: v.isNull() | ((tool == "eslint") & ~V.is_array(v)))
-    return F.when(tool.isin(*json_tools) & (strip(payload) != ""), bad).otherwise(F.lit(False))
+    return F.when(_is_json(tool), let(V.parse(payload), lambda v: _unreadable(tool, payload, v))).otherwise(F.lit(False))
 
 
 def gate_of(tool: Column) -> Column:
@@ -255,27 +262,52 @@ def gate_of(tool: Column) -> Column:
     return out
 
 
+def _items(tool: str, parity: bool = False, doc: Column | None = None) -> Column:
+    """The items of one tool's reports; ``doc`` is the parsed report where there is one already."""
+    _, build, is_json = TOOLS[tool]
+    if is_json:
+        return build(V.parse(F.col("payload")) if doc is None else doc)
+    return tsc_items(F.col("payload"), parity) if tool == "tsc" else build(F.col("payload"))
+
+
+def _items_by_tool(parity: bool = False, doc: Column | None = None) -> Column:
+    items = F.lit(None).cast(_ITEM)
+    for name in TOOLS:
+        items = F.when(F.col("tool") == name, _items(name, parity, doc).cast(_ITEM)).otherwise(items)
+    return items
+
+
 def normalize_reports(reports: DataFrame, parity: bool = False) -> DataFrame:
     """Findings of every report of ``(run_id, tool, payload)``, all tools in one pass.
 
     ``seq`` is the position inside the report.
     """
-    items = F.lit(None).cast(_ITEM)
-    for name, (_, build, _) in TOOLS.items():
-        found = tsc_items(F.col("payload"), parity) if name == "tsc" else build(F.col("payload"))
-        items = F.when(F.col("tool") == name, found.cast(_ITEM)).otherwise(items)
-    rows = exploded(reports, ["run_id", "tool"], items, "seq", "_item")
+    rows = exploded(reports, ["run_id", "tool"], _items_by_tool(parity), "seq", "_item")
     return as_findings(
         rows.select("run_id", "tool", "seq", "_item.*"), gate_id=gate_of(F.col("tool"))
     )
 
 
+def report_outcomes(reports: DataFrame, parity: bool = False) -> DataFrame:
+    """``(run_id, tool, gate_id, parse_error, n)`` of every report: whether it is unreadable and how many findings it has.
+
+    Each report is parsed once for both.
+    """
+    rows = pinned(reports.select("run_id", "tool", "payload"), _doc=F.when(_is_json(F.col("tool")), V.parse(F.col("payload"))))
+    doc = F.col("_doc")
+    return rows.select(
+        "run_id",
+        "tool",
+        gate_of(F.col("tool")).alias("gate_id"),
+        _unreadable(F.col("tool"), F.col("payload"), doc).alias("parse_error"),
+        F.coalesce(F.size(_items_by_tool(parity, doc)), F.lit(0)).cast("long").alias("n"),
+    )
+
+
 def normalize_tool(reports: DataFrame, tool: str, parity: bool = False) -> DataFrame:
     """Findings of one tool's reports."""
-    gate, build, _ = TOOLS[tool]
-    found = tsc_items(F.col("payload"), parity) if tool == "tsc" else build(F.col("payload"))
-    rows = exploded(reports.filter(F.col("tool") == tool), ["run_id", "tool"], found, "seq", "_item")
-    return as_findings(rows.select("run_id", "tool", "seq", "_item.*"), gate_id=F.lit(gate))
+    rows = exploded(reports.filter(F.col("tool") == tool), ["run_id", "tool"], _items(tool, parity), "seq", "_item")
+    return as_findings(rows.select("run_id", "tool", "seq", "_item.*"), gate_id=F.lit(TOOLS[tool][0]))
 
 
 def persona_candidates(reports: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run summaries of one scanner, written as JSON and read back; unreadable reports make an error."""
     raw = reports(spark, sf_dir, "tflint")
     found = normalize.normalize_reports(raw)
-    results = gates.gate_results(raw, found)
+    results = gates.gate_results(raw)
     verdicts = gates.run_verdicts(raw, found, "P1", errors=results.filter(F.col("status") == "error"))
     folder = fresh_folder(spark)
     summaries = sinks.run_summaries(verdicts, results, "P1")

@@ -49,7 +49,7 @@ _ALL_ROWS_SQL = " UNION ALL ".join(report_rows_sql(t) for t in normalize.TOOLS)
 )
 def gate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = reports(spark, sf_dir, *normalize.TOOLS)
-    return gates.gate_results(raw, normalize.normalize_reports(raw))
+    return gates.gate_results(raw)
 
 
 @query(
@@ -69,7 +69,7 @@ def tool_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = [("eslint", True), ("semgrep", True), ("tsc", True), ("trivy", True), ("osv-scanner", False)]
     rows = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(on).alias("enabled")) for t, on in tools])
     switches = events(spark, sf_dir).select("run_id").distinct().select("run_id", F.inline(rows))
-    return gates.tool_meta(raw, normalize.normalize_reports(raw), switches)
+    return gates.tool_meta(raw, None, switches)
 
 
 def _sandbox(spark: SparkSession, sf_dir: str) -> DataFrame:

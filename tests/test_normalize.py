@@ -137,6 +137,23 @@ def test_unreadable_reports_are_errors_and_isolated(spark):
     ]
 
 
+def test_outcomes_of_one_parse(spark):
+    issue = {"rule": {"name": "r", "severity": "error"}, "message": "m"}
+    df = spark.createDataFrame(
+        [("r", "eslint", "{}"), ("r", "eslint", " "), ("r", "gitleaks", None), ("r", "tsc", "a.ts(1,1): error TS1: m\nx"), ("q", "semgrep", '{"results":[]} x'),
+         ("q", "tflint", json.dumps({"issues": [issue, issue, 5]})), ("q", "tflint", "null"), ("q", "other", "{"), ("q", None, "{"), ("p", "checkov", "")],
+        "run_id string, tool string, payload string",
+    )
+    found = normalize.normalize_reports(df)
+    assert rows(gates.gate_results(df)) == rows(gates.gate_results(df, found))
+    switches = spark.createDataFrame([(r, t, t != "tsc") for r in "pqr" for t in normalize.TOOLS], "run_id string, tool string, enabled boolean")
+    assert rows(gates.tool_meta(df, None, switches)) == rows(gates.tool_meta(df, found, switches))
+    got = {(r.run_id, r.tool): (r.reason, r.finding_count) for r in gates.tool_meta(df, None, switches).collect()}
+    assert got["q", "tflint"] == (None, 2) and got["q", "semgrep"] == ("parse-error", 0) and got["r", "tsc"] == ("disabled", 0) and got["p", "tsc"] == ("disabled", 0) and got["p", "osv-scanner"] == ("no-report", 0)
+    plan = gates.gate_results(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson(") == 1, plan[:4000]
+
+
 def test_sandbox_log(spark):
     log = "ok\nsh: /etc/x: Operation not permitted\ncat: Permission denied: '/root/.ssh'\nconnect: Network is unreachable"
     df = spark.createDataFrame([("r", log), ("r", "")], "run_id string, payload string")
