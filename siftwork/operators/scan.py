@@ -15,7 +15,7 @@ from siftwork.functions import patterns, text as X
 from siftwork.functions.paths import base_name, in_excluded_dir
 from siftwork.functions.severity import known_or_p2
 from siftwork.plans.lookup import lookup
-from siftwork.plans.pin import pinned
+from siftwork.plans.pin import let, pinned
 from siftwork.schemas import SEVERITIES, as_findings
 
 # Fixed value: larger files are not scanned.
@@ -107,10 +107,13 @@ def _matched(files: DataFrame, rules: Column, index: Column | None = None) -> Da
     candidates = rules
     if index is not None:
         keys = F.coalesce(F.array_distinct(F.regexp_extract_all(text, index, F.lit(1))), F.array().cast("array<string>"))
-        files = pinned(files, _keys=keys)
         keyless = F.filter(rules, lambda r: r["key"].isNull())
-        found = F.filter(rules, lambda r: r["key"].isNotNull() & F.exists("_keys", lambda k: k.startswith(r["key"])))
-        candidates = F.when(F.size("_keys") > 0, F.concat(keyless, found)).otherwise(keyless)
+
+        def keyed(found: Column) -> Column:
+            mine = F.filter(rules, lambda r: r["key"].isNotNull() & F.exists(found, lambda k: k.startswith(r["key"])))
+            return F.when(F.size(found) > 0, F.concat(keyless, mine)).otherwise(keyless)
+
+        candidates = let(keys, keyed)
     near = pinned(files, _near=F.filter(candidates, possible)).filter(F.size("_near") > 0)
     lines = X.explode_lines(near.select("run_id", "file", "text", "_near"), "text", "run_id", "file", "_near")
     found = pinned(lines, _hits=F.filter(F.col("_near"), hit)).filter(F.size("_hits") > 0)
