@@ -38,7 +38,7 @@ def ownership(spark: SparkSession, sf_dir: str, key: str = "run_id") -> DataFram
     return e.select(F.col("run_id").alias(key), "file", _owner(F.col("k")).alias("persona")).distinct()
 
 
-_ROUTES_SQL = f"""
+ROUTES_SQL = f"""
     SELECT DISTINCT run_id, file, CASE WHEN k < 40 THEN 'backend' WHEN k < 60 THEN 'frontend' END AS persona
     FROM ({EVENTS_SQL}) WHERE kind IN ('error', 'purchase', 'view') AND k >= 2"""
 
@@ -50,7 +50,7 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "route_personas",
     f"""SELECT run_id, persona, string_agg(file, ',' ORDER BY file) AS files, count(*) AS n FROM (
-          SELECT *, row_number() OVER (PARTITION BY run_id, persona ORDER BY file) AS p FROM ({_ROUTES_SQL}) WHERE persona IS NOT NULL)
+          SELECT *, row_number() OVER (PARTITION BY run_id, persona ORDER BY file) AS p FROM ({ROUTES_SQL}) WHERE persona IS NOT NULL)
         WHERE p <= 10 GROUP BY run_id, persona""",
 )
 def route_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +62,14 @@ def route_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "remaining_files",
     f"""SELECT run_id, persona, file FROM (
-          SELECT *, row_number() OVER (PARTITION BY run_id, persona ORDER BY file) AS p FROM ({_ROUTES_SQL}) WHERE persona IS NOT NULL) WHERE p > 10""",
+          SELECT *, row_number() OVER (PARTITION BY run_id, persona ORDER BY file) AS p FROM ({ROUTES_SQL}) WHERE persona IS NOT NULL) WHERE p > 10""",
 )
 def remaining_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the buckets leave for a later round."""
     return routing.remaining_files(routes(spark, sf_dir), per_persona=10)
 
 
-@query("unrouted", f"SELECT run_id, file FROM ({_ROUTES_SQL}) WHERE persona IS NULL")
+@query("unrouted", f"SELECT run_id, file FROM ({ROUTES_SQL}) WHERE persona IS NULL")
 def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.unrouted_files(routes(spark, sf_dir))
 
@@ -80,7 +80,7 @@ def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
           greatest(count(*) FILTER (persona = 'backend') - 10, 0) + greatest(count(*) FILTER (persona = 'frontend') - 10, 0) AS remaining,
           CASE WHEN r.run_id LIKE '%1' THEN 'backend' ELSE '' END AS failed_personas,
           (SELECT count(*) FROM ({EVENTS_SQL}) e WHERE e.run_id = r.run_id) AS persona_findings
-        FROM ({_ROUTES_SQL}) r GROUP BY run_id""",
+        FROM ({ROUTES_SQL}) r GROUP BY run_id""",
 )
 def dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routes(spark, sf_dir)

@@ -9,7 +9,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.functions import variants as V
-from siftwork.operators import gates, normalize, scan
+from siftwork.operators import gates, normalize, routing, scan
 from siftwork.plans.pin import exploded, pinned
 from siftwork.plans.ranking import first_per_group
 from siftwork.plans.session import shared_folder
@@ -18,6 +18,7 @@ from siftwork.sources import findings as source, sinks
 from siftwork.sources.committed import committed_files
 from siftwork.sources.files import scan_files
 from siftwork.sources.reports import read_reports
+from siftwork.workloads.fix_queries import ROUTES_SQL, routes
 from siftwork.workloads.inputs import (
     CHAT_HITS_SQL, DOC_FILE_SQL, DOC_HITS_SQL, EVENTS_SQL, RULES, WS_SQL, by_kind, events, report_rows_sql, reports, table,
 )
@@ -236,6 +237,37 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "run_summary_blocks",
+    f"""WITH s AS (
+          SELECT run_id, CASE WHEN count(*) FILTER (severity IN ('P0', 'P1')) > 0 THEN 'blocked' WHEN bool_or(severity IS NULL) THEN 'error' ELSE 'passed' END AS verdict
+          FROM (SELECT run_id, severity FROM ({report_rows_sql('tflint')}) UNION ALL SELECT 'u' || user_id, NULL FROM events WHERE event_type = 'signup') GROUP BY run_id),
+        p AS (SELECT run_id, CASE WHEN bool_or(kind = 'error') THEN 'invalid' ELSE 'loaded' END AS policy_status, count(*) AS policy_rules FROM ({EVENTS_SQL}) GROUP BY run_id),
+        d AS (SELECT run_id, string_agg(DISTINCT persona, ',' ORDER BY persona) AS personas, count(*) FILTER (persona IS NULL) AS unrouted,
+          greatest(count(*) FILTER (persona = 'backend') - 10, 0) + greatest(count(*) FILTER (persona = 'frontend') - 10, 0) AS remaining FROM ({ROUTES_SQL}) GROUP BY run_id)
+        SELECT run_id, verdict, policy_status, policy_rules, coalesce(personas, '') AS personas, unrouted, remaining
+        FROM s LEFT JOIN p USING (run_id) LEFT JOIN d USING (run_id)""",
+)
+def run_summary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run summaries with what they tell of the policy and of the personas' files, written as JSON and read back."""
+    raw = reports(spark, sf_dir, "tflint")
+    results = gates.gate_results(raw)
+    verdicts = gates.run_verdicts(raw, normalize.normalize_reports(raw), "P1", errors=results.filter(F.col("status") == "error"))
+    policies = events(spark, sf_dir).groupBy("run_id").agg(
+        F.when(F.bool_or(F.col("kind") == "error"), "invalid").otherwise("loaded").alias("status"), F.count(F.lit(1)).alias("rules")
+    )
+    dispatch = routing.dispatch_summary(routes(spark, sf_dir), per_persona=10)
+    folder = fresh_folder(spark)
+    summaries = sinks.run_summaries(verdicts, results, "P1", policies, dispatch)
+    sinks.write_summaries(summaries, folder)
+    back = spark.read.schema(summaries.schema).json(folder)
+    personas = F.coalesce(F.array_join("persona_dispatch.personas", ","), F.lit(""))
+    return back.select(
+        "run_id", "verdict", F.col("policy.status").alias("policy_status"), F.col("policy.rules").alias("policy_rules"),
+        personas.alias("personas"), "persona_dispatch.unrouted", "persona_dispatch.remaining",
+    )
+
+
 def _files(rows: DataFrame, folder: str) -> DataFrame:
     """Write each row's ``payload`` to the file ``name`` below the folder, from the tasks; the names that were written."""
 

@@ -7,7 +7,7 @@ from siftwork.workloads import inputs, load, scan_queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = load()
-WRITES = {"findings_written", "findings_committed", "lenient_read", "merged_written", "run_summaries", "feed_order", "reports_read", "tree_scan", "judge_files"}
+WRITES = {"findings_written", "findings_committed", "lenient_read", "merged_written", "run_summaries", "run_summary_blocks", "feed_order", "reports_read", "tree_scan", "judge_files"}
 
 
 def plan(df):
