@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftwork.llm.common import Texts, maybe_broadcast, mix, text_session
+from siftwork.llm.common import Texts, blocks, maybe_broadcast, mix, text_session
 
 MOST_REJECTED = 0.02  # of the good documents of a stratum
 ERROR = 0.1  # probability that any stratum's limit is broken
-FIT_ROWS = 20_000  # labelled documents that the score is fitted on, at most
+BLOCK_BYTES = 512 << 10  # of text that are measured at once
 # Shares of the good documents of the fitting half that the tested cutoffs reject there, in the order of the tests.
 TRIED = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008, 0.012, 0.016)
 QUANTILES = 20_000  # accuracy of the tried cutoffs' places; exact up to about as many good documents
@@ -114,15 +114,33 @@ class Rules:
         return x @ self.weights[1:] + self.weights[0]
 
 
-def fit_score(features: np.ndarray, junk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights of a ridge logistic regression (Newton's method)."""
-    mean, scale = features.mean(0), features.std(0) + 1e-6
-    x = np.hstack([np.ones((len(features), 1)), np.clip((features - mean) / scale, -8, 8)])
-    w = np.zeros(x.shape[1])
+def fit_score(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Mean, scale and weights of a ridge logistic regression (Newton's method) on all rows (x, junk), or None without rows of
+    both kinds. Each step sums the gradient and the second derivatives in the tasks; the driver gets a row of each."""
+    x = [F.col("x")[i] for i in range(len(FEATURES))]
+    seen = rows.agg(F.count_if("junk"), F.count_if(~F.col("junk")), *map(F.avg, x), *map(F.stddev_pop, x)).first()
+    if not seen[0] or not seen[1]:
+        return None
+    mean, scale = np.array(seen[2 : 2 + len(x)]), np.array(seen[2 + len(x) :]) + 1e-6
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def apply(batches):
+            total = np.zeros((len(w), len(w) + 1))
+            for b in batches:
+                x = b.column("x").flatten().to_numpy().reshape(-1, len(mean))
+                x = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / scale, -8, 8)])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[:, 0] += x.T @ (p - b.column("junk").to_numpy(zero_copy_only=False))
+                total[:, 1:] += (x * (p * (1 - p))[:, None]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["total"])
+
+        parts = rows.select("x", "junk").mapInArrow(apply, "total array<double>").collect()  # one for each task
+        return np.array([math.fsum(c) for c in zip(*(r.total for r in parts))]).reshape(len(w), len(w) + 1)
+
+    w = np.zeros(len(mean) + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - junk) + 0.5 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), grad)
+        total = sums(w)
+        step = np.linalg.solve(total[:, 1:] + 0.5 * np.eye(len(w)), total[:, 0] + 0.5 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -145,7 +163,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.filter("low = high").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("low") == 0).alias("junk"))
 
     def apply(batches):
-        for b in batches:
+        for b in blocks(batches, "text", BLOCK_BYTES):
             m, x = measures(b.column("text"))
             use = pa.array(~base_failed(m))
             rows = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "stratum", "junk", "holdout")), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "stratum", "junk", "holdout", "x"])
@@ -177,22 +195,25 @@ def testable(sizes: dict[str | None, int], most: float, error: float) -> list[st
     return order
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: float = MOST_REJECTED, error: float = ERROR, fit_rows: int = FIT_ROWS) -> Rules:
+def learn(docs: DataFrame, labels: DataFrame, most: float = MOST_REJECTED, error: float = ERROR, fit_rows: int | None = None) -> Rules:
     """Fit the score and choose the cutoffs. Without labels of both kinds no document is rejected.
 
-    The weights of the score use a sample of at most ``fit_rows`` documents, the smallest by a hash of their id. Cutoffs to be
-    tried and what they gain count all labelled documents of the fitting half; the tests count all of the holdout.
+    The weights of the score use all labelled documents of the fitting half; only a caller that gives ``fit_rows`` has them
+    fitted on so many, the smallest by a hash of their id. Cutoffs to be tried and what they gain count all of the fitting
+    half; the tests count all of the holdout.
     """
     from siftwork.llm.common import Scratch
 
     spark = text_session(docs.sparkSession)
     scratch = Scratch(spark, "quality")
     rows = scratch.keep(labelled(docs, labels), "labelled")
-    fit = rows.filter("not holdout").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "junk").collect()
-    nothing = Rules(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1), {})
-    if len({r.junk for r in fit}) < 2:
-        return nothing
-    rules = Rules(*fit_score(np.array([r.x for r in fit]), np.array([r.junk for r in fit], float)), {})
+    fit = rows.filter("not holdout")
+    if fit_rows is not None:
+        fit = scratch.keep(fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit")
+    fitted = fit_score(fit)
+    if fitted is None:
+        return Rules(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1), {})
+    rules = Rules(*fitted, {})
     scored = scratch.keep(rows.select("stratum", "junk", "holdout", _score_column(rules).alias("score")), "scored")
     mine, held = F.col("junk") | F.col("holdout"), ~F.col("junk") & F.col("holdout")
     good = F.when(~mine, F.col("score"))
@@ -227,6 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: float = MOST_REJECTED, error
     return Rules(rules.mean, rules.scale, rules.weights, cutoffs)
 
 
+_KINDS_ARROW = pa.struct([*((c, pa.int64()) for c in _BASE), ("score", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 _KINDS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,score:double,base_failed:boolean,kept:boolean>"
 
 
@@ -239,10 +261,13 @@ def judged(docs: DataFrame, rules: Rules, column: str = "quality") -> DataFrame:
 
     @F.arrow_udf(_KINDS)
     def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
-        m, x = measures(text)
-        score, failed = rules.score(x), base_failed(m)
-        cut = np.array([rules.cutoffs.get(s, math.inf) for s in lang.to_pylist()])
-        kept = ~failed & (score < cut)
-        return pa.StructArray.from_arrays([*(pa.array(m[c]) for c in _BASE), pa.array(score), pa.array(failed), pa.array(kept)], [*_BASE, "score", "base_failed", "kept"])
+        out = []
+        for b in blocks([pa.RecordBatch.from_arrays([text, lang], ["text", "lang"])], "text", BLOCK_BYTES):
+            m, x = measures(b.column("text"))
+            score, failed = rules.score(x), base_failed(m)
+            cut = np.array([rules.cutoffs.get(s, math.inf) for s in b.column("lang").to_pylist()])
+            kept = ~failed & (score < cut)
+            out.append(pa.StructArray.from_arrays([*(pa.array(m[c]) for c in _BASE), pa.array(score), pa.array(failed), pa.array(kept)], [*_BASE, "score", "base_failed", "kept"]))
+        return pa.concat_arrays(out) if out else pa.array([], _KINDS_ARROW)
 
     return docs.withColumn(column, judge(F.col("text").cast("string"), F.col("lang").cast("string")))

@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import re
@@ -96,3 +97,17 @@ def test_strata_that_cannot_pass_cost_the_others_nothing():
     sizes = {"en": 1000, "de": 190, None: 170} | {f"x{k}": 3 for k in range(5000)}
     assert quality.testable(sizes, 0.02, 0.1) == ["en", "de", None]
     assert quality.testable({"en": 113}, 0.02, 0.1) == [] and quality.testable({}, 0.02, 0.1) == []
+
+
+def test_the_score_is_fitted_on_all_rows(spark):
+    assert inspect.signature(quality.learn).parameters["fit_rows"].default is None
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, len(quality.FEATURES)))
+    junk = rng.random(500) < 1 / (1 + np.exp(-2 * x[:, 0] + x[:, 3]))
+    rows = spark.createDataFrame([(v.tolist(), bool(j)) for v, j in zip(x, junk)], "x array<double>, junk boolean").repartition(7)
+    mean, scale, w = quality.fit_score(rows)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0) + 1e-6)
+    z = np.hstack([np.ones((500, 1)), np.clip((x - mean) / scale, -8, 8)])
+    # At the optimum the gradient of the penalised likelihood over all rows is zero.
+    assert np.abs(z.T @ (1 / (1 + np.exp(-z @ w)) - junk) + 0.5 * w).max() < 1e-6
+    assert quality.fit_score(rows.filter("junk")) is None and quality.fit_score(rows.limit(0)) is None
