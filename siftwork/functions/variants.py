@@ -49,11 +49,12 @@ def kind(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+    """Without a look at the fields, which a schema of the value would take."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("ARRAY"), F.lit(False))
+    return array_at(v).isNotNull()
 
 
 def is_whole(v: Column, path: str) -> Column:

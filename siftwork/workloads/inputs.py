@@ -109,6 +109,12 @@ EVENTS_SQL = """
     FROM events"""
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in as many even parts as a shuffle has. A row's report takes a thousand times longer to print and read than
+    the row itself, so the few row groups of a small file must not decide how many tasks share that work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def by_kind(click: Column, error: Column, purchase: Column, signup: Column, view: Column) -> Column:
     kind = F.col("kind")
     return (
@@ -211,7 +217,7 @@ def payload(tool: str) -> Column:
 
 def reports(spark: SparkSession, sf_dir: str, *tools: str) -> DataFrame:
     """Reports ``(run_id, tool, payload, event_id)``, one per event and tool."""
-    e = events(spark, sf_dir)
+    e = dealt(events(spark, sf_dir))
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), payload(t).alias("payload")) for t in tools]))
     return e.select("run_id", "event_id", each.alias("_r")).select("run_id", "event_id", "_r.*")
 

@@ -164,3 +164,14 @@ def test_sandbox_log(spark):
     ]
     mac = spark.createDataFrame([("r", "sandbox: deny file-write /tmp/x")], "run_id string, payload string")
     assert rows(normalize.sandbox_violations(mac, "macos"), "kind") == [("fs_write",)]
+
+
+def test_reports_of_one_row_group_are_dealt_over_all_tasks(spark, tmp_path):
+    from siftwork.workloads import inputs
+
+    made = spark.range(400).selectExpr("id AS event_id", "id % 7 AS user_id", "'error' AS event_type", "1.5D AS value", "timestamp'2024-01-01' AS ts", "'{\"k\":3}' AS props")
+    made.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    out = inputs.reports(spark, str(tmp_path), "tsc", "eslint")
+    parts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in parts) == 800
+    assert out.select("event_id", "tool").distinct().count() == 800
