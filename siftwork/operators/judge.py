@@ -182,7 +182,8 @@ def _flagged_in_place(tested: DataFrame, hays: Mapping[str, Column], book: Book)
 def _flagged_by_join(tested: DataFrame, hays: Mapping[str, Column], phrases: DataFrame) -> DataFrame:
     """The same for a phrase list too large for every task."""
     # Whether a phrase occurs depends on the words alone, so hits come back by a hash of the words.
-    key = F.when(F.col("_early").isNull(), F.sha2(F.encode(F.concat_ws("\0", "title", "description", "category"), "UTF-8"), 256))
+    # Rows that failed before have one too: nulls would all go to one task.
+    key = F.sha2(F.encode(F.concat_ws("\0", "title", "description", "category"), "UTF-8"), 256)
     tested = tested.withColumn("_at", key)
     stays = tested.filter(F.col("_early").isNull()).select(
         "_at", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hay")) for k, h in hays.items()]))

@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from siftwork.plans.lookup import lookup
 from siftwork.plans.pin import exploded
 
 # Runs of ASCII word characters, and runs of other letters, marks and digits. A phrase with word
@@ -129,7 +130,8 @@ def phrase_hits(
     bits = _key_set(book)
     carried = ["_text"] if carry_text else []
     keyed = exploded(body, [*keep, *carried], F.filter(_keys(F.col("_text")), lambda k: _may_be_key(bits, k)), "_pos", "_key").drop("_pos")
-    near = keyed.join(book, [*on, "_key"])
+    # A common word is the key of many texts, so its texts go to several tasks.
+    near = lookup(keyed, book, [*on, "_key"], "inner")
     if not carry_text:
         near = near.select(*keep, "phrase").distinct().join(body, keep)
     return near.filter(contains_phrase(F.col("_text"), F.col("phrase"))).select(*keep, "phrase").distinct()
