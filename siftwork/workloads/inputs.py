@@ -112,7 +112,7 @@ EVENTS_SQL = """
 def dealt(df: DataFrame) -> DataFrame:
     """The rows in as many even parts as a shuffle has. A row's report takes a thousand times longer to print and read than
     the row itself, so the few row groups of a small file must not decide how many tasks share that work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns)
 
 
 def by_kind(click: Column, error: Column, purchase: Column, signup: Column, view: Column) -> Column:
