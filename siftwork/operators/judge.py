@@ -10,7 +10,7 @@ from siftwork.functions import variants as V
 from siftwork.functions.numbers import is_finite, lenient_double
 from siftwork.functions.paths import inside_base
 from siftwork.functions.text import blank_to_null, first_text, line_array, strip
-from siftwork.operators.phrases import Book, contains_phrase, phrase_book, phrase_hits
+from siftwork.operators.phrases import Book, contains_phrase, occurring, phrase_book, phrase_hits
 from siftwork.plans.lookup import lookup
 from siftwork.plans.pin import exploded, pinned
 from siftwork.schemas import FINDING_COLUMNS, SEVERITIES, as_findings
@@ -140,6 +140,10 @@ def judge(
     hays = {"exclusion": F.concat_ws(" ", words, "category"), "precedent": words}
     tested = pinned(c, _early=early)
     book = phrase_book(phrases, ["kind"])
+    if not book and not candidates.isStreaming:
+        # The exclusion text holds all of the other.
+        phrases = occurring(phrases, tested.filter(F.col("_early").isNull()), hays["exclusion"], ["kind"])
+        book = phrase_book(phrases, ["kind"])
     if book:
         flagged = _flagged_in_place(tested, hays, book)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -10,7 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siftwork.plans.lookup import lookup
-from siftwork.plans.pin import exploded
+from siftwork.plans.pin import exploded, let
+from siftwork.plans.session import shared_folder
 
 # Runs of ASCII word characters, and runs of other letters, marks and digits. A phrase with word
 # edges has the same runs where it occurs, and ASCII text never pays for Unicode classes.
@@ -83,6 +85,36 @@ def _book(phrases: DataFrame, on: Sequence[str]) -> DataFrame:
     return phrases.select(*on, "phrase").filter(F.col("phrase") != "").distinct().withColumn("_key", _key(F.col("phrase")))
 
 
+def _pairs(words: Column) -> Column:
+    """Neighbouring words, with a space between them."""
+    return let(words, lambda w: F.array_compact(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
+def _anchor(phrase: Column) -> Column:
+    """A hash of what a text must hold to hold the phrase: its longest two neighbouring words, or its key if it has fewer."""
+    longest = F.array_max(F.transform(_pairs(_words(phrase)), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
+    return F.xxhash64(F.coalesce(longest["p"], _key(phrase)))
+
+
+def _anchors(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.concat(_keys(text), _pairs(_words(text))), lambda a: F.xxhash64(a)))
+
+
+def occurring(phrases: DataFrame, texts: DataFrame, text: Column, on: Sequence[str] = ()) -> DataFrame:
+    """The phrases of a large list that some text may hold, written to the shared folder.
+
+    Only hashes of words move, each once per partition of the texts; equal hashes of different words do no harm, as the
+    phrases are tested later. Most phrases of a long list occur nowhere, so texts need not meet them.
+    """
+    spark = phrases.sparkSession
+    own = exploded(texts, [], _anchors(F.lower(text)), "_pos", "_anchor").select("_anchor").distinct()
+    listed = phrases.select(*on, "phrase").filter(F.col("phrase") != "")
+    found = listed.withColumn("_anchor", _anchor(F.col("phrase"))).join(own, "_anchor", "left_semi").drop("_anchor").distinct()
+    path = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 # Longs of the bit set that says which keys may be a phrase's; its size does not depend on the list.
 SET_LONGS = 4096
 
@@ -109,14 +141,18 @@ def phrase_hits(
     """Distinct ``(ids, on, phrase)`` where the lower-cased text holds the phrase as whole words.
 
     A phrase can only match where its longest word occurs, its key; the exact test runs on those candidates alone. A list
-    that was counted and is small is part of the plan, so texts stay where they are. A larger list is joined by key: a bit
-    set of all keys is tested first, so words that no phrase is keyed by never leave their partition. ``carry_text`` asks
-    for the join in any case: with it the text rides along with its keys, which suits short texts; without it long texts
-    are joined back by ``ids``. Phrases are lower case; empty ones match nothing.
+    that was counted and is small is part of the plan, so texts stay where they are. Of a larger list the phrases that
+    occur are found first; where they are many too, they are joined by key: a bit set of all keys is tested first, so words
+    that no phrase is keyed by never leave their partition. ``carry_text`` asks for the join in any case: with it the text
+    rides along with its keys, which suits short texts; without it long texts are joined back by ``ids``. Phrases are lower
+    case; empty ones match nothing.
     """
     keep = [*ids, *on]
     body = texts.select(*keep, F.lower(F.col(text)).alias("_text"))
     small = phrase_book(phrases, on) if carry_text is None else None
+    if carry_text is None and not small and not texts.isStreaming:
+        phrases = occurring(phrases, texts, F.col(text), on)
+        small = phrase_book(phrases, on)
     if small:
         mine = [F.col(c) for c in on]
 

@@ -152,3 +152,32 @@ def test_failed_candidates_do_not_share_a_key(spark, monkeypatch):
     out = J.judge(made, spark.createDataFrame([("x",)], "category string"), spark.createDataFrame([("exclusion", "never said")], "kind string, phrase string"))
     assert [r.reject_class for r in out.select("reject_class").collect()] == ["schema"] * 40
     assert seen[("_at",)].select("_at").distinct().count() == 40
+
+
+def test_long_lists_whose_phrases_do_not_occur_move_no_text(spark, monkeypatch):
+    monkeypatch.setattr(P, "BOOK_ROWS", 5)
+    monkeypatch.setattr(J, "_flagged_by_join", None)
+    items = [{**BASE, "title": t, "description": d} for t, d in (("Idle 7", "phrase rate limit"), ("Rate", "limit-log"), ("idle 8 phrase", "x"), ("ok", "7 phrase"))]
+    df = spark.createDataFrame([("r", i, json.dumps(x)) for i, x in enumerate(items)], "run_id string, seq long, j string").select("run_id", "seq", V.parse(F.col("j")).alias("raw"))
+    idle = spark.range(10, 300).select(F.lit("exclusion").alias("kind"), F.concat(F.lit("idle "), F.col("id").cast("string"), F.lit(" phrase")).alias("phrase"))
+    book = idle.unionByName(spark.createDataFrame([("exclusion", "rate limit"), ("precedent", "limit-log"), ("exclusion", "idle 8 phrase"), ("exclusion", "")], idle.schema))
+    out = J.judge(df, spark.createDataFrame([("sql",)], "category string"), book)
+    assert rows(out, "seq", "reject_class") == [(0, "exclusion"), (1, "exclusion"), (2, "exclusion"), (3, None)]
+
+
+def test_phrases_that_occur_are_all_found(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = ["rate", "limit", "café", "été", "x1", "don", "t", "кот", "c", "ñ"]
+    seps = [" ", "-", ". ", "’", " “", "++ ", "_", ""]
+    texts = [(i, "".join(rnd.choice(words).upper() + rnd.choice(seps) for _ in range(12))) for i in range(80)] + [(80, None), (81, "")]
+    book = {"".join(rnd.choice(words) + rnd.choice(seps) for _ in range(rnd.randint(1, 3))) for _ in range(300)} | {"-", " “", "++ ", "limit-", "’t", "never seen"}
+    df = spark.createDataFrame(texts, "id long, t string")
+    phrases = spark.createDataFrame([(p,) for p in sorted(book)] * 2, "phrase string")
+    want = sorted(map(tuple, P.phrase_hits(df, phrases, ["id"], "t", carry_text=True).collect()))
+    for most in (3, 250):
+        monkeypatch.setattr(P, "BOOK_ROWS", most)
+        assert P.phrase_book(phrases) is None
+        assert (P.phrase_book(P.occurring(phrases, df, F.col("t"))) is None) == (most == 3)
+        assert sorted(map(tuple, P.phrase_hits(df, phrases, ["id"], "t").collect())) == want
+    assert len({p for _, p in want}) > 50
+    assert {p for _, p in want} <= {r.phrase for r in P.occurring(phrases, df, F.col("t")).collect()} <= book - {"never seen"}
