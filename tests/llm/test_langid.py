@@ -181,3 +181,41 @@ def test_limits_of_repeated_values():
     each = {k: [x for x, n in zip(low[k], times[k]) for _ in range(n)] for k in low}
     assert langid.limits_of(low, ["a", "b", "c"], times=times) == pytest.approx(langid.limits_of(each, ["a", "b", "c"]))
     assert langid.limits_of(low, ["a"], rejected=0.5, times=times) == [0.4]
+
+
+def test_models_beyond_the_budget_keep_their_order_and_results(spark, monkeypatch):
+    rows = corpus(600) + [(900, None, "aa"), (901, "Ünï straße", "bb"), (902, "xqwv vvq 12", None)]
+    docs = docs_of(spark, rows)
+    want = langid.learn(docs)
+    monkeypatch.setattr(langid, "MODEL_BYTES", 20 * 120)
+    monkeypatch.setattr(langid, "SHARD_ROWS", 300)
+    monkeypatch.setattr(langid, "STORED_WORDS", 7)
+    monkeypatch.setattr(langid, "_READ", 1)
+    got = langid.learn(docs)
+    assert isinstance(got, langid.StoredModels) and not hasattr(got, "grams")
+    assert got.order == want.order == 5 and got.langs == want.langs and len(got.counts.paths) > 3
+    assert got.limits == pytest.approx(want.limits, abs=2 / langid.GRID)
+    texts = [t for _, t, _ in rows] + ["", "zz ñó", "bana"]
+    h, chars = got.entropies(texts)
+    expected, same = want.entropies(texts)
+    assert np.allclose(h, expected, atol=1e-5) and (chars == same).all()
+    mine, theirs = ([tuple(r) for r in langid.identified(docs, m).select("doc_id", "language.lang_pred", "language.rejected").collect()] for m in (got, want))
+    assert sorted(mine, key=str) == sorted(theirs, key=str)
+
+
+def test_stored_models_give_the_probabilities_of_built_ones(spark):
+    words = {"x": [("aba", 3), ("abc", 1), ("ca", 2), ("b", 1)], "y": [("bb", 5), ("cab", 1), ("ñb", 2)]}
+    want = langid.build(words, order=3, alphabet=50)
+    rows = []
+    for lang, each in words.items():
+        count = {}
+        for w, c in each:
+            s = "\1\1" + w + "\2"
+            for i in range(2, len(s)):
+                count[s[i - 2 : i + 1]] = count.get(s[i - 2 : i + 1], 0) + c
+        rows += [(lang, g, c) for g, c in count.items()]
+    counted = spark.createDataFrame(rows + [("z", "aaa", 0)], "lang string, gram string, n long")
+    got = langid.stored(counted, "n", 3, langid.Scratch(spark, "test"), "all", alphabet=50)
+    assert got.langs == ["x", "y"]
+    texts = ["aba cab zz", "abcabc", "bb ñb ñ", "кот"]
+    assert np.allclose(got.entropies(texts)[0], want.entropies(texts)[0], atol=1e-5)
