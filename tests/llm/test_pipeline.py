@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -82,3 +83,17 @@ def test_columns_with_clashing_names_stay(spark, folder):
         out = stage(spark, docs, at)
         assert out.columns == docs.columns
         assert out.select("verdict", "_Verdict", "language", "_language", "n", "rank").distinct().collect() == [("verdict", "_Verdict", "language", "_language", "n", "rank")]
+
+
+def test_documents_outside_the_training_fold_teach_their_language(spark, folder):
+    at, _ = folder
+    rng = random.Random(5)
+    parts = {"aa": ["ba", "na", "ka", "to"], "bb": ["ri", "schu", "ez", "li"], "cc": ["привет", "мир", "ночь"]}
+    rows = []
+    for i in range(600):
+        # All documents of one language are held out of the fold that op8_langid learns from.
+        lang = "cc" if zlib.crc32(str(i).encode()) % 3 == 1 else ("aa", "bb")[i % 2]
+        rows.append([i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(60)), lang, "s"])
+    rows += [[None, "ñuós quape " * 30, "dd", "s"]] * 2
+    _, known = stage(spark, at, 1, rows)
+    assert {r[2] for r in known} == {"aa", "bb", "cc", "dd"} and len(known) >= 0.98 * len(rows)
